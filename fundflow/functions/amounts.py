@@ -45,3 +45,50 @@ def order_value(asset: Column, value: Column, spot: dict[str, float] | None = No
     for name, price in (spot or {}).items():
         out = out.when(asset == name, value * F.lit(float(price)))
     return out.otherwise(value)
+
+
+# Amounts of more digits than this are kept as text and flagged: no asset has
+# them, spam tokens do, and they would overflow exact sums.
+MAX_DIGITS = 36
+_CHUNK = 15
+
+
+def parse_amount(text: Column) -> Column:
+    """Exact integer of a decimal digit string; null when malformed or wider
+    than MAX_DIGITS."""
+    digits = F.regexp_replace(F.trim(text), "^0+(?=[0-9])", "")
+    good = digits.rlike("^[0-9]+$") & (F.length(digits) <= MAX_DIGITS)
+    return F.when(good, digits).try_cast("decimal(38,0)")
+
+
+def is_oversize(text: Column) -> Column:
+    digits = F.regexp_replace(F.trim(text), "^0+(?=[0-9])", "")
+    return F.coalesce(digits.rlike("^[0-9]+$") & (F.length(digits) > MAX_DIGITS),
+                      F.lit(False))
+
+
+def _hex_digits(text: Column) -> Column:
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit("0x0"))), "^0x0*", "")
+
+
+def _hex_chunks(digits: Column, n: int):
+    padded = F.lpad(digits, n * _CHUNK, "0")
+    return [F.conv(F.substring(padded, i * _CHUNK + 1, _CHUNK), 16, 10) for i in range(n)]
+
+
+def hex_amount(text: Column) -> Column:
+    """Exact integer of a 0x quantity up to 116 bits, from 60-bit chunks."""
+    digits = _hex_digits(text)
+    good = digits.rlike("^[0-9a-f]*$") & (F.length(digits) <= 29)
+    high, low = (c.cast("decimal(19,0)") for c in _hex_chunks(digits, 2))
+    return F.when(good, (high * F.lit(2**60).cast("decimal(19,0)") + low)
+                  .cast("decimal(38,0)"))
+
+
+def hex_double(text: Column) -> Column:
+    """Approximate value of a 0x quantity of any width up to 300 bits."""
+    digits = _hex_digits(text)
+    total = F.lit(0.0)
+    for chunk in _hex_chunks(digits, 5):
+        total = total * F.lit(float(2**60)) + chunk.cast("double")
+    return F.when(digits.rlike("^[0-9a-f]{0,75}$"), total)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fundflow.session import materialise
+
 # A key is hot when it holds more than 1/HOT_SHARE of the rows.  At most
 # HOT_SHARE keys can, which bounds the broadcast below whatever the data size.
 HOT_SHARE = 1000
@@ -22,6 +24,7 @@ def join_group_stats(rows: DataFrame, stats: DataFrame, keys: list[str],
     limit = max(n_rows // HOT_SHARE, 10_000)
     if n_rows <= limit:
         return rows.join(stats.drop(count_col), keys)
+    stats = materialise(stats, "group-stats", rebalance=False)
     hot = F.broadcast(stats.filter(F.col(count_col) > limit).drop(count_col))
     cold = stats.filter(F.col(count_col) <= limit).drop(count_col)
     return (rows.join(hot, keys)

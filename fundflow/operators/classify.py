@@ -132,7 +132,7 @@ FACT_COLUMNS = ("is_sanctioned", "is_mixer", "is_exchange", "agency_flagged",
 def classify(nodes: DataFrame, facts: DataFrame,
              high_activity: int | None) -> DataFrame:
     """Attach facts to nodes keyed by (chain, address) and give the role."""
-    out = nodes.join(facts.select(*KEY, *FACT_COLUMNS), KEY, "left")
-    for name in FACT_COLUMNS[:7]:
-        out = out.withColumn(name, F.coalesce(F.col(name), F.lit(False)))
-    return out.withColumn("role", role_of(high_activity))
+    booleans = FACT_COLUMNS[:7]
+    return nodes.join(facts.select(*KEY, *FACT_COLUMNS), KEY, "left").withColumns(
+        {c: F.coalesce(F.col(c), F.lit(False)) for c in booleans}
+    ).withColumn("role", role_of(high_activity))

@@ -88,11 +88,14 @@ class TraceResult:
 
 # ------------------------------------------------------------ one level
 
-def expand(frontier: DataFrame, ledger: DataFrame) -> DataFrame:
+def expand(frontier: DataFrame, movements, direction: str) -> DataFrame:
     """Frontier joined to the ledger on its wallet.  No broadcast hint: the
     frontier is a written table, so its measured size decides the strategy,
     and beyond the broadcast limit AQE splits skewed wallets."""
-    return frontier.select(*NODE_KEY, "depth", "bound").join(ledger, ["chain", "address"])
+    frontier = frontier.select(*NODE_KEY, "depth", "bound")
+    if hasattr(movements, "expand"):
+        return movements.expand(frontier, direction)
+    return frontier.join(ledger_side(movements, direction), ["chain", "address"])
 
 
 def ledger_side(movements: DataFrame, direction: str) -> DataFrame:
@@ -224,16 +227,16 @@ def trace_many(movements: DataFrame, seeds: DataFrame, facts: DataFrame,
                senders: DataFrame | None = None) -> TraceResult:
     """Trace every seed (trace_id, chain, address[, focus_txid]) at once.
 
-    ``movements`` needs the columns of ``schemas.MOVEMENTS``; store it bucketed
-    by the wallet column of the direction to keep the ledger join local (see
-    ``sources.ledger.write_bucketed``).  ``facts`` comes from
+    ``movements`` has the columns of ``schemas.MOVEMENTS``; store it bucketed by
+    the wallet column of the direction to keep the ledger join local (see
+    ``sources.ledger.write_bucketed``).  It may also be an object with an
+    ``expand(frontier, direction)`` method, such as ``sources.utxo.UtxoLedger``.  ``facts`` comes from
     ``classify.address_facts``.  ``legs`` and ``senders`` are needed only when
     seeds carry a ``focus_txid``.
     """
     params = params or TraceParams()
     focused = "focus_txid" in seeds.columns
     hops = params.hops(focused)
-    ledger = ledger_side(movements, params.direction)
 
     start = C.classify(
         seeds.select("trace_id", "chain", "address",
@@ -257,7 +260,8 @@ def trace_many(movements: DataFrame, seeds: DataFrame, facts: DataFrame,
 
     for depth in range(hops):
         frontier = levels[-1].filter("expand")
-        rows = expand(frontier, ledger).withColumn("focused", F.lit(False))
+        rows = expand(frontier, movements, params.direction) \
+            .withColumn("focused", F.lit(False))
         if depth == 0 and judged is not None:
             rows = rows.unionByName(focus_legs(judged, legs)
                                     .withColumn("focused", F.lit(True)))
@@ -274,7 +278,7 @@ def trace_many(movements: DataFrame, seeds: DataFrame, facts: DataFrame,
                                    params.pattern)
         if depth == 0 and judged is not None:
             chosen = chosen.unionByName(eligible.filter("focused"))
-        drawn = materialise(_as_edges(chosen, depth, params), "edges")
+        drawn = materialise(_as_edges(chosen, depth, params), "edges", rebalance=False)
         edges.append(drawn)
         if drawn.isEmpty():
             break
@@ -285,7 +289,8 @@ def trace_many(movements: DataFrame, seeds: DataFrame, facts: DataFrame,
             nodes = cap_frontier(nodes, _budget(levels, edges, params),
                                  params.max_addresses or 2**31 - 1)
         nodes = nodes.withColumn("expand", F.col("role") == S.INTERMEDIARY)
-        levels.append(materialise(nodes.select(*levels[0].columns), "nodes"))
+        levels.append(materialise(nodes.select(*levels[0].columns), "nodes",
+                                  rebalance=False))
 
     return _finish(params, hops, levels, candidates, edges, newest, judged)
 
@@ -316,6 +321,7 @@ def _finish(params, hops, levels, candidates, edges, newest, judged) -> TraceRes
     accounting = B.account(seen, walked, group)
     if newest:
         accounting = B.account_newest(accounting, _union(newest), group)
+    accounting = materialise(accounting, "accounting", rebalance=False)
     # The ledger rows of expanded wallets, reduced to one row per wallet.
     per_node = accounting.groupBy(*NODE_KEY).agg(
         F.sum("n_eligible").alias("_eligible"), F.max("capped").alias("_capped"),
@@ -324,15 +330,13 @@ def _finish(params, hops, levels, candidates, edges, newest, judged) -> TraceRes
     at_limit = F.col("expand") & (F.col("depth") >= hops)
     capped = F.coalesce(F.col("_capped"), F.lit(False))
     nodes = nodes.join(per_node, NODE_KEY, "left")
-    nodes = (nodes
-             .withColumn("max_depth_reached", at_limit)
-             .withColumn("outgoing_txs_capped", capped)
-             .withColumn("branches_unexamined",
-                         F.coalesce(F.col("branches_unexamined"), F.lit(False)))
-             .withColumn("at_rest", examined & (F.col("depth") > 0) & ~capped
-                         & (F.coalesce(F.col("_eligible"), F.lit(0)) == 0))
-             .withColumn("role", F.when(at_limit & (F.col("role") == S.INTERMEDIARY),
-                                        S.UNEXPANDED).otherwise(F.col("role")))
+    nodes = (nodes.withColumns({
+        "max_depth_reached": at_limit, "outgoing_txs_capped": capped,
+        "branches_unexamined": F.coalesce(F.col("branches_unexamined"), F.lit(False)),
+        "at_rest": (examined & (F.col("depth") > 0) & ~capped
+                    & (F.coalesce(F.col("_eligible"), F.lit(0)) == 0)),
+        "role": F.when(at_limit & (F.col("role") == S.INTERMEDIARY),
+                       S.UNEXPANDED).otherwise(F.col("role"))})
              .drop("_eligible", "_capped", "expand", "order_value"))
     rest = "no_funding_found" if params.direction == S.BACKWARD else "no_onward_movements"
     flags = [("agency_flagged", "agency_flagged"), ("shared_flagged", "shared_flagged"),
@@ -345,9 +349,8 @@ def _finish(params, hops, levels, candidates, edges, newest, judged) -> TraceRes
         (S.HIGH_ACTIVITY, "high_activity_not_expanded"))]
     nodes = nodes.withColumn("flags", F.array_compact(F.array(*marks))) \
         .withColumn("basis", C.basis_of())
-    return TraceResult(params, materialise(nodes, "trace-nodes"),
-                       drawn.drop("order_value"), seen,
-                       materialise(accounting, "accounting"), judged)
+    return TraceResult(params, materialise(nodes, "trace-nodes", rebalance=False),
+                       drawn.drop("order_value"), seen, accounting, judged)
 
 
 # ------------------------------------------------------------ reports on a run
