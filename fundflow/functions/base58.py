@@ -6,6 +6,7 @@ import hashlib
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ALPHABET = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 
@@ -24,7 +25,7 @@ def encode(hex_text: str | None) -> str | None:
     return ALPHABET[0] * zeros + "".join(reversed(digits))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def base58check(values: pd.Series) -> pd.Series:
     known = {v: encode(v) for v in values.dropna().unique()}
     return values.map(known)
