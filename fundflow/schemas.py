@@ -1,74 +1,66 @@
-"""Table schemas of the data model and the fixed vocabulary of its columns."""
+"""Table schemas (DDL text) of the data model and the words its columns use."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
+MOVEMENT_COLUMNS = {
+    "chain": "string", "txid": "string", "ts": "bigint", "from_address": "string",
+    "to_address": "string", "asset": "string", "value": "double",
+    "value_raw": "decimal(38,0)", "is_self_transfer": "boolean",
+    "token_contract": "string", "transfer_kind": "string", "oversize": "boolean"}
+MOVEMENTS = ", ".join(f"{name} {kind}" for name, kind in MOVEMENT_COLUMNS.items())
 
-AMOUNT = T.DecimalType(38, 0)
-
-
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
-
-
-MOVEMENTS = _struct(
-    "chain string, txid string, ts bigint, from_address string, "
-    "to_address string, asset string, value double, value_raw decimal(38,0), "
-    "is_self_transfer boolean, token_contract string, transfer_kind string, "
-    "oversize boolean")
-
-LABELS = _struct(
+LABELS = (
     "address string, chain string, entity_name string, category string, "
     "source string, confidence string, updated_utc string")
 
-WALLET_FLAGS = _struct(
+WALLET_FLAGS = (
     "address string, chain string, reason string, case_id bigint, "
     "created_utc string")
 
-WATCHES = _struct(
+WATCHES = (
     "address string, chain string, note string, case_id bigint, "
     "baseline_tx_count bigint, baseline_balance decimal(38,0), "
     "last_checked_utc string, alert_json string, acknowledged boolean")
 
-RAW_UTXO = _struct(
+RAW_UTXO = (
     "txid string, status struct<block_time: bigint>, "
     "vin array<struct<prevout: struct<scriptpubkey_address: string, value: bigint>>>, "
     "vout array<struct<scriptpubkey_address: string, value: bigint>>")
 
-RAW_ACCOUNT_TX = _struct(
+RAW_ACCOUNT_TX = (
     "hash string, `from` string, `to` string, value string, "
     "timeStamp string, isError string")
 
-RAW_ACCOUNT_TOKEN = _struct(
+RAW_ACCOUNT_TOKEN = (
     "hash string, `from` string, `to` string, contractAddress string, "
     "tokenSymbol string, tokenDecimal string, value string, timeStamp string")
 
-RAW_INDEXED = _struct(
+RAW_INDEXED = (
     "category string, `from` string, `to` string, hash string, asset string, "
     "rawContract struct<value: string, address: string, decimal: string>, "
     "metadata struct<blockTimestamp: string>")
 
-RAW_TRON_NATIVE = _struct(
+RAW_TRON_NATIVE = (
     "txID string, block_timestamp bigint, raw_data struct<contract: array<"
     "struct<type: string, parameter: struct<value: struct<amount: bigint, "
     "owner_address: string, to_address: string>>>>>")
 
-RAW_TRON_TOKEN = _struct(
+RAW_TRON_TOKEN = (
     "type string, `from` string, `to` string, transaction_id string, "
     "value string, block_timestamp bigint, "
     "token_info struct<address: string, symbol: string, decimals: string>")
 
-CUSTODY_LOG = _struct(
+CUSTODY_LOG = (
     "id bigint, trace_id bigint, source string, url string, "
     "http_status int, sha256 string, from_cache boolean, fetched_utc string")
 
-FLAG_PACK = _struct(
+FLAG_PACK = (
     "format string, generator string, agency struct<name: string, contact: string>, "
     "exported_utc string, note string, flag_count bigint, "
     "flags array<struct<address: string, chain: string, reason: string, "
     "flagged_utc: string>>, sha256 string")
 
-SCAM_REPORTS = _struct(
+SCAM_REPORTS = (
     "address string, chain string, fetched_utc string, count bigint, "
     "reports array<struct<id: string, scamCategory: string, createdAt: string, "
     "trusted: boolean, checked: boolean, isPrivate: boolean, description: string, "

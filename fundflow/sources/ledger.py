@@ -15,8 +15,8 @@ def movements(*parts: DataFrame) -> DataFrame:
     both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     present = set(both.columns)
     return both.select(*[
-        (F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
-        for f in S.MOVEMENTS])
+        (F.col(name) if name in present else F.lit(None)).cast(kind).alias(name)
+        for name, kind in S.MOVEMENT_COLUMNS.items()])
 
 
 def address_activity(moves: DataFrame, side: str = "any") -> DataFrame:
