@@ -1 +1,174 @@
-"""Queries."""
+"""Provenance and case tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fundflow.operators import casework as CW
+from fundflow.operators import exits as E
+from fundflow.operators import findings as G
+from fundflow.operators import provenance as P
+from fundflow.plans import fixtures as X
+from fundflow.plans import oracle as O
+from fundflow.plans import runs as R
+from fundflow.plans.catalog import query
+from fundflow.plans.q_findings import CUST_TERM, F_SQL
+
+# ----------------------------------------------------------------- captures
+
+
+def _captures(spark, sf):
+    return X.table(spark, sf, "pages").select(
+        F.col("url").alias("cache_key"), F.col("html").cast("binary").alias("body"),
+        F.lit("2024-05-01").alias("fetched_utc"), F.col("page_id").alias("seq"))
+
+
+def _again(spark, sf):
+    """Later captures: known pages with another body, and new keys twice."""
+    pages = X.table(spark, sf, "pages")
+    changed = pages.filter("page_id % 5 = 0").select(
+        F.col("url").alias("cache_key"),
+        F.concat("html", F.lit("<!-- later -->")).cast("binary").alias("body"),
+        F.lit("2024-05-02").alias("fetched_utc"), F.col("page_id").alias("seq"))
+    new = pages.select(
+        F.concat(F.lit("new:"), F.col("page_id") % 40).alias("cache_key"),
+        F.col("html").cast("binary").alias("body"), F.lit("2024-05-02").alias("fetched_utc"),
+        F.col("page_id").alias("seq"))
+    return changed.unionByName(new)
+
+
+@query("capture_hash", "SELECT url AS cache_key, sha256(html) AS sha256 FROM pages")
+def capture_hash(spark, sf):
+    return P.hash_captures(_captures(spark, sf)).select("cache_key", "sha256")
+
+
+@query("first_capture", """
+  SELECT 'new:' || page_id % 40 AS cache_key, min(page_id) AS seq,
+         min_by(sha256(html), page_id) AS sha256 FROM pages GROUP BY 1""")
+def first_capture(spark, sf):
+    return P.hash_captures(P.first_capture(_captures(spark, sf), _again(spark, sf), "seq")) \
+        .select("cache_key", "seq", "sha256")
+
+
+_LOG_SQL = """
+  SELECT page_id AS id, page_id % 25 AS trace_id, 'host' || page_id % 6 AS source, url,
+         CASE page_id % 8 WHEN 3 THEN 404 WHEN 5 THEN 500 WHEN 6 THEN NULL ELSE 200 END
+           AS http_status, CASE WHEN page_id % 5 = 0 THEN sha256(html || '<!-- later -->')
+           ELSE sha256(html) END AS sha256, page_id % 3 = 0 AS from_cache,
+         CAST(DATE '2024-05-01' + CAST(page_id % 20 AS INTEGER) AS VARCHAR) AS fetched_utc
+  FROM pages"""
+
+
+def _log(spark, sf):
+    k, page = F.col("page_id"), X.table(spark, sf, "pages")
+    later = F.concat("html", F.lit("<!-- later -->"))
+    return page.select(
+        k.alias("id"), (k % 25).alias("trace_id"),
+        F.concat(F.lit("host"), k % 6).alias("source"), "url",
+        F.when(k % 8 == 3, 404).when(k % 8 == 5, 500).when(k % 8 == 6, F.lit(None))
+        .otherwise(200).cast("int").alias("http_status"),
+        F.when(k % 5 == 0, F.sha2(later, 256)).otherwise(F.sha2("html", 256)).alias("sha256"),
+        (k % 3 == 0).alias("from_cache"),
+        F.date_add(F.lit("2024-05-01").cast("date"), (k % 20).cast("int")).cast("string")
+        .alias("fetched_utc"))
+
+
+@query("verify_hash", """
+  SELECT page_id AS id, url, CASE WHEN page_id % 10 = 7 THEN 'missing'
+    WHEN page_id % 5 = 0 THEN 'mismatch' ELSE 'ok' END AS verdict FROM pages""")
+def verify_hash(spark, sf):
+    stored = _captures(spark, sf).filter("seq % 10 <> 7")
+    return P.verify(stored, _log(spark, sf)).select("id", "url", "verdict")
+
+
+@query("custody_extract", f"SELECT * FROM ({_LOG_SQL})")
+def custody_extract(spark, sf):
+    return P.custody_extract(_log(spark, sf))
+
+
+@query("source_usage", f"""
+  SELECT source, CAST(count(*) FILTER (NOT from_cache) AS BIGINT) AS requests,
+         CAST(count(*) FILTER (from_cache) AS BIGINT) AS cache_hits,
+         CAST(count(*) FILTER (NOT from_cache AND http_status = 404) AS BIGINT) AS not_found,
+         CAST(count(*) FILTER (NOT from_cache AND (http_status IS NULL
+           OR (http_status >= 400 AND http_status <> 404))) AS BIGINT) AS failures,
+         max(fetched_utc) AS last_activity_utc FROM ({_LOG_SQL}) GROUP BY 1""")
+def source_usage(spark, sf):
+    return CW.source_usage(_log(spark, sf))
+
+
+@query("manifest", "SELECT 'pages.parquet' AS file, count(*) > 0 AS present FROM pages")
+def manifest(spark, sf):
+    """The artefact manifest of the data folder; its hash is the file's own."""
+    rows = P.manifest(spark, sf, "pages.parquet")
+    return rows.select("file", (F.length("sha256") == 64).alias("present"))
+
+
+# ------------------------------------------------------------------- cases
+
+@query("latest_trace", """
+  SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, max(c_custkey) AS trace_id
+  FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_custkey % 10 <> 0
+  GROUP BY 1, 2""")
+def latest_trace(spark, sf):
+    return CW.latest_trace(X.cases(spark, sf), R.traces(spark, sf)).select(
+        "id", "name", "trace_id")
+
+
+@query("trace_history", O.with_fx(["fx_ledger_facts"], f"""
+  SELECT CAST(c.c_nationkey AS BIGINT) AS case_id, c.c_custkey AS trace_id,
+         CAST(0 AS BIGINT) AS exits, coalesce(n.n, 0) AS addresses, coalesce(f.n, 0) AS findings
+  FROM customer c
+  LEFT JOIN (SELECT trace_id, count(*) AS n FROM t_nodes GROUP BY 1) n
+    ON n.trace_id = c.c_custkey
+  LEFT JOIN (SELECT trace_id, count(*) AS n FROM ({F_SQL['at_rest']}) GROUP BY 1) f
+    ON f.trace_id = c.c_custkey""", CUST_TERM))
+def trace_history(spark, sf):
+    inp = R.finding_inputs(spark, sf, "customers")
+    return CW.trace_history(R.traces(spark, sf), inp.result.nodes, E.exits(inp.result),
+                            G.funds_at_rest(inp)).select(
+        "case_id", "trace_id", "exits", "addresses", "findings")
+
+
+@query("id_remap", """
+  SELECT c_custkey AS trace_id, 5000 + row_number() OVER (ORDER BY c_custkey) AS new_trace_id
+  FROM customer WHERE c_nationkey = 3""")
+def id_remap(spark, sf):
+    mine = R.traces(spark, sf).filter("case_id = 3")
+    return P.trace_id_map(mine, 5000)
+
+
+_CASE_LOG = """
+  SELECT page_id AS id, page_id * 7 % 1500 AS trace_id, url FROM pages"""
+
+
+def _case_tables(spark, sf):
+    log = X.table(spark, sf, "pages").select(
+        F.col("page_id").alias("id"), (F.col("page_id") * 7 % 1500).alias("trace_id"), "url")
+    flags = X.flags(spark, sf)
+    notes = flags.select("case_id", "chain", "address", F.col("reason").alias("note"))
+    return P.export_case(3, X.cases(spark, sf), R.traces(spark, sf), log, notes, flags, flags)
+
+
+@query("case_export", f"""
+  SELECT 'custody_log' AS part, CAST(id AS VARCHAR) AS item FROM ({_CASE_LOG})
+  WHERE trace_id IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)
+  UNION ALL SELECT 'traces', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_nationkey = 3
+  UNION ALL SELECT 'cases', n_name FROM nation WHERE n_nationkey = 3""")
+def case_export(spark, sf):
+    t = _case_tables(spark, sf)
+
+    def part(name, column):
+        return t[name].select(F.lit(name).alias("part"),
+                              F.col(column).cast("string").alias("item"))
+    return part("custody_log", "id").unionByName(part("traces", "trace_id")).unionByName(
+        part("cases", "name"))
+
+
+@query("case_import", f"""
+  SELECT l.id, 5000 + m.k AS trace_id FROM ({_CASE_LOG}) l
+  JOIN (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS k FROM customer
+        WHERE c_nationkey = 3) m ON m.c_custkey = l.trace_id""")
+def case_import(spark, sf):
+    return P.import_case(_case_tables(spark, sf), 77, 5000)["custody_log"].select(
+        "id", "trace_id")

@@ -1 +1,128 @@
-"""Queries."""
+"""Streaming jobs over the event and order files, checked against batch SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fundflow.plans import fixtures as X
+from fundflow.plans import oracle as O
+from fundflow.plans import runs as R
+from fundflow.plans.catalog import query
+from fundflow.streaming import run_available
+from fundflow.streaming import live as LV
+from fundflow.streaming import watches as WT
+
+
+def read_stream(spark, sf, name):
+    """A given table as a file stream."""
+    schema = X.table(spark, sf, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet") \
+        .option("maxFilesPerTrigger", "1").parquet(sf)
+
+
+def _moves(spark, sf):
+    to = F.get_json_object("props", "$.k")
+    e = read_stream(spark, sf, "events")
+    return e.select(
+        F.lit(X.CHAIN).alias("chain"), F.col("event_id").cast("string").alias("txid"),
+        X.epoch("ts").alias("ts"), F.concat(F.lit("u"), "user_id").alias("from_address"),
+        F.concat(F.lit("u"), to).alias("to_address"), F.col("event_type").alias("asset"),
+        X.cents("value").alias("value_raw")).withColumn(
+        "event_time", F.timestamp_seconds("ts"))
+
+
+def _watched(spark, sf):
+    """Odd wallets are on the watch list."""
+    return X.wallets(X.moves(spark, sf)).filter("i % 2 = 1").select(
+        F.lit(X.CHAIN).alias("chain"), "address")
+
+
+@query("watch_alerts_stream", """
+  SELECT address, ts, before_count, after_count, before_balance, after_balance FROM (
+    SELECT 'u' || user_id AS address, CAST(floor(epoch(ts)) AS BIGINT) AS ts,
+      CAST(floor(value) AS BIGINT) % 3 AS after_count,
+      CAST(event_id % 2 AS VARCHAR) AS after_balance,
+      lag(CAST(floor(value) AS BIGINT) % 3) OVER w AS before_count,
+      lag(CAST(event_id % 2 AS VARCHAR)) OVER w AS before_balance
+    FROM events WHERE event_type <> 'error' AND user_id % 2 = 1
+    WINDOW w AS (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT), event_id))
+  WHERE before_count IS NOT NULL
+    AND (before_count <> after_count OR before_balance <> after_balance)""")
+def watch_alerts_stream(spark, sf):
+    """Every event is a snapshot of its wallet; error events are failed pulls."""
+    snaps = read_stream(spark, sf, "events").select(
+        F.lit(X.CHAIN).alias("chain"), F.concat(F.lit("u"), "user_id").alias("address"),
+        X.epoch("ts").alias("ts"), F.col("event_id").alias("seq"),
+        (F.floor("value") % 3).cast("bigint").alias("tx_count"),
+        (F.col("event_id") % 2).cast("string").alias("balance"),
+        (F.col("event_type") == "error").alias("failed"))
+    return run_available(WT.watch_alerts(snaps, _watched(spark, sf)), "alerts").drop("chain")
+
+
+@query("activity_window_stream", O.with_fx(["fx_moves"], """
+  SELECT src AS address, ts // 1800 * 1800 AS window_start, CAST(count(*) AS BIGINT) AS n_movements,
+         CAST(sum(raw) AS BIGINT) AS value_raw FROM fx_moves
+  WHERE CAST(substr(src, 2) AS BIGINT) % 2 = 1
+    AND ts // 1800 * 1800 + 1800 <= (SELECT max(ts) - 3600 FROM fx_moves)
+  GROUP BY 1, 2"""))
+def activity_window_stream(spark, sf):
+    moves = _moves(spark, sf).withColumn("address", F.col("from_address"))
+    out = run_available(WT.watch_activity(moves, _watched(spark, sf)), "activity")
+    return out.select("address", F.unix_seconds("window_start").alias("window_start"),
+                      "n_movements", "value_raw")
+
+
+_HITS = """concat_ws(',', CASE WHEN {a}.flagged THEN 'agency_flag' END,
+  CASE WHEN {a}.is_exchange THEN 'exchange' END, CASE WHEN {a}.is_mixer THEN 'mixer' END,
+  CASE WHEN {a}.shared THEN 'partner_flag' END,
+  CASE WHEN {a}.is_sanctioned THEN 'sanctioned' END,
+  CASE WHEN {a}.scam THEN 'scam_report' END)"""
+
+
+@query("live_screen_stream", O.with_fx(["fx_facts"], f"""
+  SELECT * FROM (SELECT m.txid, nullif({_HITS.format(a='a')}, '') AS from_hits,
+                        nullif({_HITS.format(a='b')}, '') AS to_hits
+    FROM fx_moves m JOIN fx_facts a ON a.address = m.src JOIN fx_facts b ON b.address = m.dst)
+  WHERE from_hits IS NOT NULL OR to_hits IS NOT NULL"""))
+def live_screen_stream(spark, sf):
+    hits = LV.live_screen(_moves(spark, sf), R.facts(spark, sf))
+    return run_available(hits, "screened").select("txid", "from_hits", "to_hits")
+
+
+@query("dedup_stream", """
+  SELECT DISTINCT 'u' || user_id AS source, event_type AS url FROM events""")
+def dedup_stream(spark, sf):
+    pulls = read_stream(spark, sf, "events").select(
+        F.concat(F.lit("u"), "user_id").alias("source"), F.col("event_type").alias("url"),
+        F.timestamp_seconds(X.epoch("ts")).alias("event_time"))
+    return run_available(LV.dedup_captures(pulls, ["source", "url"]), "pulls").select(
+        "source", "url")
+
+
+@query("sweep_stream", O.with_fx(["fx_ledger_facts"], """
+  SELECT d.dst AS feeder, f.dst AS service_address, d.txid AS deposit_txid,
+         f.txid AS sweep_txid, d.raw AS in_raw, f.raw AS value_raw
+  FROM fx_ledger d JOIN fx_ledger f ON f.src = d.dst AND f.asset = d.asset
+  JOIN fx_ledger_facts b ON b.address = f.dst AND b.activity > 250
+  WHERE f.ts - d.ts <= 259200 AND f.ts - d.ts >= -3600 AND f.raw * 100 >= d.raw * 90"""))
+def sweep_stream(spark, sf):
+    orders = read_stream(spark, sf, "orders").select(
+        "o_orderkey", "o_custkey", X.epoch("o_orderdate").alias("ts"),
+        X.cents("o_totalprice").alias("raw"))
+    chain, asset = F.lit(X.CHAIN).alias("chain"), F.lit("USDT").alias("asset")
+    deposits = orders.select(
+        chain, asset, F.concat(F.lit("p"), "o_orderkey").alias("txid"),
+        F.concat(F.lit("c"), "o_custkey").alias("from_address"),
+        F.concat(F.lit("o"), "o_orderkey").alias("to_address"),
+        F.col("raw").alias("value_raw"), F.timestamp_seconds("ts").alias("event_time"))
+    nation = X.table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    forwards = orders.filter("o_orderkey % 2 = 1").join(nation, "o_custkey").select(
+        chain, asset, F.concat(F.lit("s"), "o_orderkey").alias("txid"),
+        F.concat(F.lit("o"), "o_orderkey").alias("from_address"),
+        F.concat(F.lit("n"), "c_nationkey").alias("to_address"),
+        F.expr("raw * (80 + o_orderkey % 21) div 100").alias("value_raw"),
+        F.timestamp_seconds(F.col("ts") + (F.col("o_orderkey") % 120) * 3600)
+        .alias("event_time"))
+    busy = R.ledger_facts(spark, sf).filter(F.col("activity") > R.BUSY)
+    return run_available(LV.sweep_stream(deposits, forwards, busy), "sweeps").drop("chain")

@@ -32,7 +32,7 @@ def customer_ctes(pattern="thorough"):
 
 def nation_ctes():
     return O.trace_ctes("fx_ledger", "fx_ledger_facts", NATIONS, "backward", "thorough", 3,
-                        busy=R.BUSY)
+                        busy=R.BUSY_CUSTOMER)
 
 
 DAY = "DATE '1970-01-01' + CAST(ts // 86400 AS INTEGER)"

@@ -19,7 +19,8 @@ from fundflow.session import materialise
 from fundflow.sources.ledger import address_activity
 
 EVENT_ASSETS = ("click", "error", "purchase", "signup", "view")
-BUSY = 250
+BUSY = 250              # hot wallets of the ledger
+BUSY_CUSTOMER = 15      # customers with many orders, for the backward run
 _memo: dict[tuple, object] = {}
 
 
@@ -44,11 +45,11 @@ def facts(spark, sf) -> DataFrame:
 
 
 @shared
-def ledger_facts(spark, sf) -> DataFrame:
+def ledger_facts(spark, sf, busy: int = BUSY) -> DataFrame:
     """Facts of ledger wallets: none is labelled, only the busy ones matter."""
     none = spark.createDataFrame([], S.LABELS)
     return materialise(classify.address_facts(
-        none, activity=address_activity(X.ledger(spark, sf)), activity_above=BUSY),
+        none, activity=address_activity(X.ledger(spark, sf)), activity_above=busy),
         "ledger-facts")
 
 
@@ -109,9 +110,10 @@ def customers(spark, sf, pattern: str = S.THOROUGH) -> TraceResult:
 
 @shared
 def nations(spark, sf) -> TraceResult:
-    run = trace_many(X.ledger(spark, sf), nation_seeds(spark, sf), ledger_facts(spark, sf),
+    run = trace_many(X.ledger(spark, sf), nation_seeds(spark, sf),
+                     ledger_facts(spark, sf, BUSY_CUSTOMER),
                      TraceParams(direction=S.BACKWARD, pattern=S.THOROUGH,
-                                 high_activity=BUSY))
+                                 high_activity=BUSY_CUSTOMER))
     return run.with_edges(materialise(prices.value_usd(
         run.edges, price_table(spark, sf)), "valued"))
 
