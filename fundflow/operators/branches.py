@@ -115,6 +115,8 @@ def account(candidates: DataFrame, edges: DataFrame, group: list[str]) -> DataFr
     (and how much) were self transfers, dust, out of time, eligible, followed
     and skipped.  Skipped is the difference, so nothing can be lost."""
     keys = [*group, "asset"]
+    rows = candidates.select(*keys, "status", "value_raw").unionByName(
+        edges.select(*keys, F.lit("followed").alias("status"), "value_raw"))
 
     def n(state):
         return F.count_if(F.col("status") == state)
@@ -122,15 +124,11 @@ def account(candidates: DataFrame, edges: DataFrame, group: list[str]) -> DataFr
     def total(state):
         return F.coalesce(F.sum(F.when(F.col("status") == state, F.col("value_raw"))),
                           F.lit(0))
-    seen = candidates.groupBy(*keys).agg(
+    out = rows.groupBy(*keys).agg(
         n("self").alias("n_self"), n("dust").alias("n_dust"),
         total("dust").alias("dust_raw"), n("time").alias("n_time"),
-        n("eligible").alias("n_eligible"), total("eligible").alias("eligible_raw"))
-    followed = edges.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_followed"), F.sum("value_raw").alias("followed_raw"))
-    out = seen.join(followed, keys, "left") \
-        .na.fill(0, ["n_followed"]) \
-        .withColumn("followed_raw", F.coalesce(F.col("followed_raw"), F.lit(0)))
+        n("eligible").alias("n_eligible"), total("eligible").alias("eligible_raw"),
+        n("followed").alias("n_followed"), total("followed").alias("followed_raw"))
     return _skipped(out.withColumn("n_capped", F.lit(0).cast("bigint"))
                     .withColumn("capped", F.lit(False)))
 

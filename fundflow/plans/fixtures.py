@@ -71,29 +71,27 @@ def wallets(movements: DataFrame) -> DataFrame:
 
 
 def labels(spark: SparkSession, sf: str) -> DataFrame:
-    """Attribution rules on the wallet numbers of ``moves``."""
-    w = wallets(moves(spark, sf))
+    """Attribution rules on the wallet numbers of ``moves``, in one pass."""
     i = F.col("i")
     entity = F.get(F.array(*[F.lit(e) for e in ENTITIES]),
                    F.floor(i / 10).cast("int") % len(ENTITIES))
 
     def rule(test, name, category, source, confidence):
-        return w.filter(test).select(
-            "address", F.lit(CHAIN).alias("chain"), name.alias("entity_name"),
-            F.lit(category).alias("category"), F.lit(source).alias("source"),
-            F.lit(confidence).alias("confidence"))
+        return F.when(test, F.struct(
+            name.alias("entity_name"), F.lit(category).alias("category"),
+            F.lit(source).alias("source"), F.lit(confidence).alias("confidence")))
 
     def numbered(prefix):
         return F.concat(F.lit(prefix), i.cast("string"))
-    out = rule((i % 40 == 9) | (i % 60 == 27), numbered("SDN "), "sanctioned",
-               "ofac_sdn", "high")
-    out = out.unionByName(rule(i % 25 == 3, numbered("Mixer "), "mixer", "tagpack",
-                               "medium"))
-    out = out.unionByName(rule(i % 10 == 7, entity, "exchange", "seed", "medium"))
-    out = out.unionByName(rule(i % 20 == 4, numbered("Report "), "scam_report",
-                               "blacklist", "medium"))
-    return out.unionByName(rule(i % 35 == 2, numbered("Flagged by X: "),
-                                "shared_flag", "pack:x", "medium"))
+    rules = F.array_compact(F.array(
+        rule((i % 40 == 9) | (i % 60 == 27), numbered("SDN "), "sanctioned", "ofac_sdn",
+             "high"),
+        rule(i % 25 == 3, numbered("Mixer "), "mixer", "tagpack", "medium"),
+        rule(i % 10 == 7, entity, "exchange", "seed", "medium"),
+        rule(i % 20 == 4, numbered("Report "), "scam_report", "blacklist", "medium"),
+        rule(i % 35 == 2, numbered("Flagged by X: "), "shared_flag", "pack:x", "medium")))
+    return wallets(moves(spark, sf)).select("address", F.explode(rules).alias("l")).select(
+        "address", F.lit(CHAIN).alias("chain"), "l.*")
 
 
 def flags(spark: SparkSession, sf: str) -> DataFrame:

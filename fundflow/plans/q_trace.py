@@ -326,7 +326,7 @@ _FOCUS_CAND = f"""
     "fx_ledger", "fx_ledger_facts", f"SELECT trace_id, address FROM ({_FOCUS_SEEDS})",
     "forward", "balanced", 3, busy=R.BUSY, focus=_FOCUS_CAND)))
 def trace_focus_edges(spark, sf):
-    ledger = X.ledger(spark, sf)
+    ledger = R.ledger(spark, sf)
     biggest = X.table(spark, sf, "orders").groupBy("o_custkey").agg(F.max_by(
         "o_orderkey", F.struct("o_totalprice", -F.col("o_orderkey"))).alias("k"))
     seeds = biggest.select(

@@ -38,6 +38,17 @@ def shared(fn):
     return once
 
 
+@shared
+def moves(spark, sf) -> DataFrame:
+    """The event ledger stored as a movements table, as an import would."""
+    return materialise(X.moves(spark, sf), "moves", rebalance=False)
+
+
+@shared
+def ledger(spark, sf) -> DataFrame:
+    return materialise(X.ledger(spark, sf), "ledger", rebalance=False)
+
+
 @shared
 def facts(spark, sf) -> DataFrame:
     return materialise(classify.address_facts(
@@ -49,7 +60,7 @@ def ledger_facts(spark, sf, busy: int = BUSY) -> DataFrame:
     """Facts of ledger wallets: none is labelled, only the busy ones matter."""
     none = spark.createDataFrame([], S.LABELS)
     return materialise(classify.address_facts(
-        none, activity=address_activity(X.ledger(spark, sf)), activity_above=busy),
+        none, activity=address_activity(ledger(spark, sf)), activity_above=busy),
         "ledger-facts")
 
 
@@ -74,7 +85,7 @@ def event_params(direction: str, pattern: str, depth: int = 3) -> TraceParams:
 
 @shared
 def u5(spark, sf, direction: str, pattern: str) -> TraceResult:
-    return trace_many(X.moves(spark, sf), _u5(spark), facts(spark, sf),
+    return trace_many(moves(spark, sf), _u5(spark), facts(spark, sf),
                       event_params(direction, pattern))
 
 
@@ -101,7 +112,7 @@ def nation_seeds(spark, sf) -> DataFrame:
 
 @shared
 def customers(spark, sf, pattern: str = S.THOROUGH) -> TraceResult:
-    run = trace_many(X.ledger(spark, sf), customer_seeds(spark, sf),
+    run = trace_many(ledger(spark, sf), customer_seeds(spark, sf),
                      ledger_facts(spark, sf),
                      TraceParams(pattern=pattern, high_activity=BUSY))
     return run.with_edges(materialise(prices.value_usd(
@@ -110,7 +121,7 @@ def customers(spark, sf, pattern: str = S.THOROUGH) -> TraceResult:
 
 @shared
 def nations(spark, sf) -> TraceResult:
-    run = trace_many(X.ledger(spark, sf), nation_seeds(spark, sf),
+    run = trace_many(ledger(spark, sf), nation_seeds(spark, sf),
                      ledger_facts(spark, sf, BUSY_CUSTOMER),
                      TraceParams(direction=S.BACKWARD, pattern=S.THOROUGH,
                                  high_activity=BUSY_CUSTOMER))
