@@ -15,7 +15,7 @@ def spark():
     from fundflow.session import build_session
     session = build_session("tests", "local[8]", **{
         "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
-        "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"})
+        "spark.sql.shuffle.partitions": "2", "spark.driver.memory": "4g"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
-from helpers import edge_set, facts, movements, node_map, run, seeds
+from helpers import edge_set, facts, frame, movements, node_map, run, seeds
 from reference_walk import walk
 
 from fundflow import schemas as S
@@ -145,8 +145,8 @@ def _focus(spark, legs, senders, seed="a", txid="f", chain="bitcoin", rows=()):
     from pyspark.sql import functions as F
     base = movements(spark, list(rows) or [("z", 1, "q", "r", "X", 1000)], chain)
     start = seeds(spark, seed, chain=chain).withColumn("focus_txid", F.lit(txid))
-    pay = spark.createDataFrame([(chain, txid, s) for s in senders],
-                                "chain string, txid string, address string")
+    pay = frame(spark, [(chain, txid, s) for s in senders],
+                "chain string, txid string, address string")
     return trace_many(base, start, facts(spark), TraceParams(
         high_activity=None, max_depth=1), legs=movements(spark, legs, chain), senders=pay)
 
