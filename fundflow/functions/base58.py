@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Executors get these functions by value, so they need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 ALPHABET = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 
 

@@ -4,16 +4,20 @@ the provenance of its source; nothing here decides what a label means."""
 
 from __future__ import annotations
 
-import json
-import re
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundflow import schemas as S
 from fundflow.functions import text as X
 
+# Executors get these functions by value, so they need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 TAGPACK_NAMES = r"(?i)exchange|wallet|tornado|mixer"
 TAGPACK_MAX_BYTES = 6_000_000
 EXPLORER_CHAIN_ID = "1"

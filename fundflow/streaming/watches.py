@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+# Executors get these functions by value, so they need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 WATERMARK = "1 hour"
 INTERVAL = "30 minutes"
 
