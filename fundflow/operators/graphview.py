@@ -32,14 +32,15 @@ def overlay_traces(traces: DataFrame) -> DataFrame:
 
 
 def overlay_nodes(traces: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Union of the wallets of a case; a wallet keeps its strongest role."""
+    """Union of the wallets of a case; a wallet keeps its strongest role.  A
+    wallet stands once in a trace, so counting rows counts traces."""
     rows = overlay_traces(traces).select("case_id", "chain", "trace_id").join(
         nodes.select("trace_id", "chain", "address", "role", "depth"),
         ["trace_id", "chain"])
     best = F.min_by(F.struct("role", "depth"),
                     F.struct(role_priority(F.col("role")), "trace_id"))
     return rows.groupBy("case_id", "chain", "address").agg(
-        best.alias("b"), F.count_distinct("trace_id").alias("overlay_hits")).select(
+        best.alias("b"), F.count(F.lit(1)).alias("overlay_hits")).select(
         "case_id", "chain", "address", "b.role", "b.depth", "overlay_hits")
 
 
@@ -69,7 +70,7 @@ def convergence(traces: DataFrame, nodes: DataFrame) -> DataFrame:
     victims = chosen.select("case_id", "chain", F.col("victim").alias("address")).distinct()
     return rows.groupBy("case_id", "chain", "address").agg(
         F.count_distinct("victim").alias("n_victims"),
-        F.count_distinct("trace_id").alias("n_traces")) \
+        F.count(F.lit(1)).alias("n_traces")) \
         .filter("n_victims >= 2").join(victims, ["case_id", "chain", "address"], "left_anti")
 
 

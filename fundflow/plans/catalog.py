@@ -25,4 +25,4 @@ def query(name: str, oracle: str | None = None):
 
 def load() -> None:
     from fundflow.plans import (  # noqa: F401
-        q_cases, q_findings, q_graph, q_labels, q_sources, q_streams, q_trace)
+        q_cases, q_files, q_findings, q_graph, q_labels, q_sources, q_streams, q_trace)

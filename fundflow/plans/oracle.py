@@ -165,7 +165,8 @@ def pattern_sql(pattern: str, source: str, group: str) -> str:
 def trace_ctes(moves: str, facts: str, seeds: str, direction: str = "forward",
                pattern: str = "balanced", depth: int = 3, dust: int = 100,
                busy: int | None = None, prefix: str = "t",
-               focus: str | None = None) -> list[tuple[str, str]]:
+               focus: str | None = None, cap: int | None = None
+               ) -> list[tuple[str, str]]:
     """CTEs of an unrolled trace.  Final ones: ``{prefix}_nodes``,
     ``{prefix}_edges``, ``{prefix}_cand``.  ``seeds`` yields (trace_id, address);
     ``focus`` replaces the first level by given eligible rows."""
@@ -204,15 +205,24 @@ def trace_ctes(moves: str, facts: str, seeds: str, direction: str = "forward",
                  coalesce(ts, bound) AS bound FROM ({chosen})"""))
         seen = " UNION ALL ".join(
             f"SELECT trace_id, address FROM {prefix}_n{k}" for k in range(d + 1))
+        capped = role
+        if cap is not None:
+            counted = " UNION ALL ".join(
+                f"SELECT trace_id FROM {prefix}_n{k}" for k in range(d + 1))
+            capped = f"""CASE WHEN NOT is_exchange AND NOT is_sanctioned AND row_number() OVER (
+                PARTITION BY trace_id, is_exchange OR is_sanctioned
+                ORDER BY worth DESC, address) > greatest(0, {cap} - (
+                  SELECT count(*) FROM ({counted}) u WHERE u.trace_id = q.trace_id))
+              THEN 'unexpanded' ELSE {role} END"""
         out.append((f"{prefix}_n{d + 1}", f"""
-          SELECT *, {role} AS role FROM (
+          SELECT * EXCLUDE (worth), {capped} AS role FROM (
             SELECT a.*, {facts_sel}, f.activity FROM (
               SELECT trace_id, next AS address, {d + 1} AS depth,
                      CASE WHEN bool_or(bound IS NULL) THEN NULL
-                          ELSE {pick}(bound) END AS bound
+                          ELSE {pick}(bound) END AS bound, max(raw) AS worth
               FROM {prefix}_e{d + 1} GROUP BY 1, 2) a
             LEFT JOIN {facts} f ON f.address = a.address
-            WHERE (a.trace_id, a.address) NOT IN ({seen}))"""))
+            WHERE (a.trace_id, a.address) NOT IN ({seen})) q"""))
     every = ["trace_id", "address", "depth", "bound", "role", *fact_cols, "activity"]
     cols = ", ".join(every)
     nodes = " UNION ALL ".join(

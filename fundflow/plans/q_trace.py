@@ -256,6 +256,17 @@ def trace_many(spark, sf):
         "trace_id", "depth", "txid", "from_address", "to_address", "value_raw")
 
 
+@query("trace_capped_nodes", O.with_fx(["fx_ledger_facts"], """
+  SELECT trace_id, address, depth, role, at_rest FROM t_nodes""", O.trace_ctes(
+    "fx_ledger", "fx_ledger_facts", CUSTOMERS, "forward", "thorough", 3, busy=R.BUSY, cap=5)))
+def trace_capped_nodes(spark, sf):
+    """Size cap of five wallets per trace: the most valuable are examined."""
+    run = TR.trace_many(R.ledger(spark, sf), R.customer_seeds(spark, sf),
+                        R.ledger_facts(spark, sf), TR.TraceParams(
+        pattern=S.THOROUGH, high_activity=R.BUSY, max_addresses=5))
+    return run.nodes.select("trace_id", "address", "depth", "role", "at_rest")
+
+
 @query("at_rest", O.with_fx(["fx_ledger_facts"], """
   SELECT trace_id, address, depth FROM t_nodes WHERE at_rest AND depth > 0""",
                             customer_ctes()))

@@ -77,12 +77,13 @@ def _parse_packs(batches):
                 yield pd.DataFrame(rows, columns=columns)
 
 
-def read_tagpacks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_tagpacks(spark: SparkSession, path: str, glob: str = "*.yaml",
+                  names: str = TAGPACK_NAMES) -> tuple[DataFrame, DataFrame]:
     """Parsed tags of every pack whose name fits, and the files left out."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.yaml") \
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob) \
         .option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    files = files.filter(name.rlike(TAGPACK_NAMES))
+    files = files.filter(name.rlike(names))
     small = files.filter(F.col("length") <= TAGPACK_MAX_BYTES).select("path", "content")
     parsed = small.mapInPandas(_parse_packs, _TAG_SCHEMA)
     skipped = files.filter(F.col("length") > TAGPACK_MAX_BYTES).select(
@@ -139,10 +140,13 @@ def best_tags(tags: DataFrame, order: str) -> DataFrame:
         .select("address", "b.*")
 
 
-def load_explorer_tags(spark: SparkSession, path: str, source: str = "eth_labels"
-                       ) -> DataFrame:
-    """Explorer tag CSV, main network only, one best row per address."""
-    raw = spark.read.option("header", "true").option("enforceSchema", "false").schema(
+def load_explorer_tags(spark: SparkSession, path: str, source: str = "eth_labels",
+                       multi_line: bool = False) -> DataFrame:
+    """Explorer tag CSV, main network only, one best row per address.  Quotes
+    inside a field are doubled; set ``multi_line`` for fields with line breaks
+    (a file is then read by one task)."""
+    raw = spark.read.option("header", "true").option("enforceSchema", "false").option(
+        "escape", '"').option("multiLine", multi_line).schema(
         "address string, chainId string, label string, nameTag string").csv(path)
     # Position of a row: its file, its split, its place inside the split.
     place = raw.select("*", F.col("_metadata.file_path").alias("_f"),
