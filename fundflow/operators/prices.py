@@ -61,13 +61,17 @@ def value_usd(edges: DataFrame, prices: DataFrame,
     the calendar; the join strategy is still left to its measured size."""
     day = F.when(F.coalesce(F.col("ts"), F.lit(0)) != 0, utc_date(F.col("ts")))
     is_pegged = peg(F.col("asset"), pegged)
-    priced = edges.withColumn("_day", F.when(~is_pegged, day)).join(
+    # Movements that need no price can be most of the ledger.  They get keys
+    # that match nothing but differ, so they do not pile up on a null key.
+    spread = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64("txid"), F.lit(997)))
+    key = F.when(~is_pegged & day.isNotNull(), F.col("asset")).otherwise(spread)
+    priced = edges.withColumns({"_key": key, "_day": day}).join(
         prices.select(F.col("asset").alias("_asset"), F.col("date").alias("_date"),
                       F.col("usd").alias("_usd")),
-        (F.col("asset") == F.col("_asset")) & (F.col("_day") == F.col("_date")), "left")
+        (F.col("_key") == F.col("_asset")) & (F.col("_day") == F.col("_date")), "left")
     price = F.when(is_pegged, F.lit(1.0)).otherwise(F.col("_usd"))
     used = F.when(is_pegged, F.lit("pegged $1.00")) \
         .when(F.col("_usd").isNotNull(), F.col("_day").cast("string"))
     return priced.withColumn("usd_cents", usd_cents(F.col("value"), price)) \
         .withColumn("usd_price_date", used) \
-        .drop("_day", "_asset", "_date", "_usd")
+        .drop("_key", "_day", "_asset", "_date", "_usd")

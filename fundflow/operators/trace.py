@@ -29,6 +29,7 @@ from fundflow.operators import classify as C
 from fundflow.session import materialise
 
 DEPTH_LIMIT, EXTENDED_DEPTH = 6, 25
+PRUNE_WALLETS = 200
 NODE_KEY = ["trace_id", "chain", "address"]
 _MOVE = ["txid", "ts", "asset", "value", "value_raw", "is_self_transfer",
          "transfer_kind"]
@@ -89,13 +90,29 @@ class TraceResult:
 # ------------------------------------------------------------ one level
 
 def expand(frontier: DataFrame, movements, direction: str) -> DataFrame:
-    """Frontier joined to the ledger on its wallet.  No broadcast hint: the
-    frontier is a written table, so its measured size decides the strategy,
-    and beyond the broadcast limit AQE splits skewed wallets."""
+    """Frontier joined to the ledger on its wallet.
+
+    A short frontier is also given to the scan as a list of wallets, which
+    prunes buckets, row groups and bloom filters of the stored ledger: a trace
+    of one wallet then reads a sliver of it.  Beyond ``PRUNE_WALLETS`` the join
+    alone decides; it has no broadcast hint, because the frontier is a written
+    table whose measured size selects the strategy, and AQE splits skewed
+    wallets of a shuffled join."""
     frontier = frontier.select(*NODE_KEY, "depth", "bound")
     if hasattr(movements, "expand"):
         return movements.expand(frontier, direction)
-    return frontier.join(ledger_side(movements, direction), ["chain", "address"])
+    ledger = ledger_side(movements, direction)
+    wallets = short_list(frontier)
+    if wallets is not None:
+        ledger = ledger.filter(F.col("address").isin(wallets))
+    return frontier.join(ledger, ["chain", "address"])
+
+
+def short_list(frontier: DataFrame, most: int = PRUNE_WALLETS) -> list[str] | None:
+    """The wallets of a frontier when there are at most ``most``, else None.
+    Only this many names ever reach the driver."""
+    probe = frontier.select("address").distinct().limit(most + 1).collect()
+    return [r.address for r in probe] if len(probe) <= most else None
 
 
 def ledger_side(movements: DataFrame, direction: str) -> DataFrame:

@@ -178,10 +178,20 @@ def test_bucketed_ledger_needs_no_shuffle(spark):
     table = spark.table("moves_by_sender")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        left = frame(spark, [(f"w{i}",) for i in range(20)], "from_address string") \
-            .repartition(4, "from_address")
-        plan = left.join(table, "from_address")._jdf.queryExecution().executedPlan().toString()
-        assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+        from fundflow.operators.trace import PRUNE_WALLETS, expand
+
+        def plan_of(wallets):
+            frontier = frame(spark, [(1, "fx", w, 0, None) for w in wallets],
+                             "trace_id bigint, chain string, address string, depth int, "
+                             "bound bigint")
+            joined = expand(frontier, table, "forward")
+            return joined, joined._jdf.queryExecution().executedPlan().toString()
+        # Many wallets: the ledger side is read bucket by bucket, unshuffled.
+        _, plan = plan_of([f"w{i}" for i in range(PRUNE_WALLETS + 1)])
+        assert plan.count("Exchange") == 1 and "SelectedBucketsCount: 4 out of 4" in plan
+        # One wallet: only its bucket is read.
+        joined, plan = plan_of(["w3"])
+        assert "SelectedBucketsCount: 1 out of 4" in plan and joined.count() == 8
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE moves_by_sender")
