@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fundflow import schemas as S
 from fundflow.functions.skew import join_group_stats, number_within
-from fundflow.session import materialise
+from fundflow.session import materialise_observed
 
 COINJOIN_INPUTS, COINJOIN_EQUAL_OUTPUTS = 5, 3
 WIDE_INPUTS = 12
@@ -54,9 +54,12 @@ def cospend_edges(linking: DataFrame) -> DataFrame:
         F.col("first").alias("a"), F.col("address").alias("b")).distinct()
 
 
-def _state(edges: DataFrame):
-    return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-                     ).first()
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """Edges written once, with their number and a checksum."""
+    out, seen = materialise_observed(
+        edges, "components", F.count(F.lit(1)).alias("n"),
+        F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
+    return out, (seen["n"], seen["sum"])
 
 
 def _large_star(edges: DataFrame, n: int) -> DataFrame:
@@ -87,16 +90,14 @@ def components(edges: DataFrame) -> DataFrame:
     """
     pairs = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"),
                                           F.least("a", "b").alias("v")).distinct()
-    current = materialise(pairs, "components", rebalance=False)
-    state = _state(current)
+    current, state = _written(pairs)
     for _ in range(MAX_ROUNDS):
         if state[0] == 0:
             break
-        large = materialise(_large_star(current, state[0]), "components", rebalance=False)
-        current = materialise(_small_star(large, large.count()), "components",
-                              rebalance=False)
-        before, state = state, _state(current)
-        if tuple(state) == tuple(before):
+        large, (n_large, _) = _written(_large_star(current, state[0]))
+        before = state
+        current, state = _written(_small_star(large, n_large))
+        if state == before:
             break
     else:
         raise RuntimeError("components did not settle")

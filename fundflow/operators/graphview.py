@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundflow import schemas as S
-from fundflow.session import materialise
+from fundflow.session import materialise_observed
 
 LEAF_LIMIT, LEAVES_SHOWN = 6, 3
 
@@ -120,8 +120,10 @@ def chain_members(flows: DataFrame, nodes: DataFrame) -> DataFrame:
     A run that returns to where it started keeps its last wallet visible.
     """
     key = ["trace_id", "chain", "address"]
-    runs = materialise(_pass_through(flows, nodes), "pass-through", rebalance=False)
-    if runs.isEmpty():
+    rows_left = F.count_if(~F.col("done")).alias("n")
+    runs, seen = materialise_observed(_pass_through(flows, nodes), "pass-through",
+                                      F.count(F.lit(1)).alias("n"))
+    if seen["n"] == 0:
         return runs.select(*key, F.col("address").alias("first"),
                            F.lit(1).cast("bigint").alias("position"),
                            F.col("pred").alias("head"), F.col("succ").alias("tail"))
@@ -131,10 +133,9 @@ def chain_members(flows: DataFrame, nodes: DataFrame) -> DataFrame:
         *key, F.when(F.col("_inner"), F.col("pred")).otherwise(F.col("address")).alias("ptr"),
         F.when(F.col("_inner"), 1).otherwise(0).cast("bigint").alias("dist"),
         F.col("_inner").isNull().alias("done"))
-    state = materialise(state, "pointers", rebalance=False)
-    rounds = max(1, runs.count().bit_length() + 1)
-    for _ in range(rounds):
-        if state.filter("not done").isEmpty():
+    state, left = materialise_observed(state, "pointers", rows_left)
+    for _ in range(seen["n"].bit_length() + 1):
+        if left["n"] == 0:
             break
         target = state.select("trace_id", "chain", F.col("address").alias("ptr"),
                               F.col("ptr").alias("_ptr"), F.col("dist").alias("_dist"),
@@ -142,8 +143,8 @@ def chain_members(flows: DataFrame, nodes: DataFrame) -> DataFrame:
         moved = state.filter("not done").join(target, ["trace_id", "chain", "ptr"]).select(
             *key, F.col("_ptr").alias("ptr"), (F.col("dist") + F.col("_dist")).alias("dist"),
             F.col("_done").alias("done"))
-        state = materialise(state.filter("done").unionByName(moved), "pointers",
-                            rebalance=False)
+        state, left = materialise_observed(state.filter("done").unionByName(moved),
+                                           "pointers", rows_left)
     placed = state.filter("done").select(*key, F.col("ptr").alias("first"),
                                          (F.col("dist") + 1).alias("position"))
     rows = placed.join(runs, key)

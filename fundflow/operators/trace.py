@@ -26,7 +26,7 @@ from fundflow import schemas as S
 from fundflow.functions.amounts import DUST_TOKEN, order_value
 from fundflow.operators import branches as B
 from fundflow.operators import classify as C
-from fundflow.session import materialise
+from fundflow.session import materialise, materialise_observed
 
 DEPTH_LIMIT, EXTENDED_DEPTH = 6, 25
 PRUNE_WALLETS = 200
@@ -89,7 +89,8 @@ class TraceResult:
 
 # ------------------------------------------------------------ one level
 
-def expand(frontier: DataFrame, movements, direction: str) -> DataFrame:
+def expand(frontier: DataFrame, movements, direction: str,
+           n_frontier: int | None = None) -> DataFrame:
     """Frontier joined to the ledger on its wallet.
 
     A short frontier is also given to the scan as a list of wallets, which
@@ -102,7 +103,8 @@ def expand(frontier: DataFrame, movements, direction: str) -> DataFrame:
     if hasattr(movements, "expand"):
         return movements.expand(frontier, direction)
     ledger = ledger_side(movements, direction)
-    wallets = short_list(frontier)
+    short = n_frontier is None or n_frontier <= PRUNE_WALLETS
+    wallets = short_list(frontier) if short else None
     if wallets is not None:
         ledger = ledger.filter(F.col("address").isin(wallets))
     return frontier.join(ledger, ["chain", "address"])
@@ -111,8 +113,8 @@ def expand(frontier: DataFrame, movements, direction: str) -> DataFrame:
 def short_list(frontier: DataFrame, most: int = PRUNE_WALLETS) -> list[str] | None:
     """The wallets of a frontier when there are at most ``most``, else None.
     Only this many names ever reach the driver."""
-    probe = frontier.select("address").distinct().limit(most + 1).collect()
-    return [r.address for r in probe] if len(probe) <= most else None
+    probe = frontier.select("address").limit(most + 1).collect()
+    return sorted({r.address for r in probe}) if len(probe) <= most else None
 
 
 def ledger_side(movements: DataFrame, direction: str) -> DataFrame:
@@ -272,12 +274,15 @@ def trace_many(movements: DataFrame, seeds: DataFrame, facts: DataFrame,
         start = start.join(whole.withColumn("_whole", F.lit(True)), "trace_id", "left") \
             .withColumn("expand", F.coalesce(F.col("_whole"), F.lit(False))) \
             .drop("_whole", "focus_txid")
-    levels = [materialise(start, "nodes")]
+    first, n = materialise_observed(start, "nodes", _waiting())
+    levels = [first]
     candidates, edges, newest = [], [], []
 
     for depth in range(hops):
+        if depth > 0 and n["waiting"] == 0:
+            break
         frontier = levels[-1].filter("expand")
-        rows = expand(frontier, movements, params.direction) \
+        rows = expand(frontier, movements, params.direction, n["waiting"]) \
             .withColumn("focused", F.lit(False))
         if depth == 0 and judged is not None:
             rows = rows.unionByName(focus_legs(judged, legs)
@@ -295,9 +300,10 @@ def trace_many(movements: DataFrame, seeds: DataFrame, facts: DataFrame,
                                    params.pattern)
         if depth == 0 and judged is not None:
             chosen = chosen.unionByName(eligible.filter("focused"))
-        drawn = materialise(_as_edges(chosen, depth, params), "edges", rebalance=False)
+        drawn, n = materialise_observed(_as_edges(chosen, depth, params), "edges",
+                                        F.count(F.lit(1)).alias("edges"))
         edges.append(drawn)
-        if drawn.isEmpty():
+        if n["edges"] == 0:
             break
         fresh = not_visited(arrivals(drawn, params.direction), levels)
         nodes = C.classify(fresh.withColumn("depth", F.lit(depth + 1)), facts,
@@ -306,12 +312,16 @@ def trace_many(movements: DataFrame, seeds: DataFrame, facts: DataFrame,
             nodes = cap_frontier(nodes, _budget(levels, edges, params),
                                  params.max_addresses or 2**31 - 1)
         nodes = nodes.withColumn("expand", F.col("role") == S.INTERMEDIARY)
-        levels.append(materialise(nodes.select(*levels[0].columns), "nodes",
-                                  rebalance=False))
+        level, n = materialise_observed(nodes.select(*first.columns), "nodes", _waiting())
+        levels.append(level)
 
     return _finish(params, hops, levels, candidates, edges, newest, judged)
 
 
+def _waiting():
+    return F.count_if("expand").alias("waiting")
+
+
 def _as_edges(chosen: DataFrame, depth: int, params: TraceParams) -> DataFrame:
     here, there = F.col("address"), F.col("next_address")
     if params.direction == S.BACKWARD:

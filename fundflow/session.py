@@ -12,7 +12,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 # Settings a job of this package expects.  Sizes are left to the cluster;
 # AQE coalesces from a generous shuffle width and splits skewed partitions.
@@ -73,6 +73,14 @@ def materialise(df: DataFrame, name: str, rebalance: bool = True) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_observed(df: DataFrame, name: str, *metrics: Column,
+                         rebalance: bool = False) -> tuple[DataFrame, dict]:
+    """Like ``materialise``, and return aggregates of the rows as they were
+    written, so a loop learns its size without another job."""
+    seen = Observation(name)
+    return materialise(df.observe(seen, *metrics), name, rebalance), seen.get
+
+
 def release_scratch(spark: SparkSession) -> bool:
     """Delete the intermediate tables this application wrote."""
     app = spark.sparkContext.applicationId

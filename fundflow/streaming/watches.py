@@ -25,11 +25,9 @@ STATE_SCHEMA = "tx_count bigint, balance string"
 
 def _compare(key, batches: Iterator[pd.DataFrame], state: GroupState):
     """Alert whenever a snapshot differs from the one before.  The first one
-    only sets the baseline, and a failed snapshot changes nothing."""
+    only sets the baseline."""
     rows = pd.concat(list(batches), ignore_index=True)
-    rows = rows[~rows["failed"]].sort_values(["ts", "seq"], kind="stable")
-    if rows.empty:
-        return
+    rows = rows.sort_values(["ts", "seq"], kind="stable")
     count = rows["tx_count"].astype("int64").tolist()
     balance = rows["balance"].astype(str).tolist()
     past = state.get if state.exists else None
@@ -47,8 +45,13 @@ def watch_alerts(snapshots: DataFrame, watches: DataFrame) -> DataFrame:
     """Alerts of watched wallets from a stream of snapshots (chain, address, ts,
     seq, tx_count, balance as text, failed).  State survives restarts through
     the query's checkpoint.  Keep only the newest alert of a wallet in the
-    table (``tables.upsert`` on chain and address) until it is acknowledged."""
-    watched = snapshots.join(watches.select("chain", "address"), ["chain", "address"])
+    table (``tables.upsert`` on chain and address) until it is acknowledged.
+
+    A failed snapshot changes nothing, so it is dropped before the state.  One
+    wallet's snapshots of one micro-batch are compared together: bound them by
+    the size of a trigger (``maxFilesPerTrigger`` or the like)."""
+    watched = snapshots.filter(~F.col("failed")).drop("failed").join(
+        watches.select("chain", "address"), ["chain", "address"])
     return watched.groupBy("chain", "address").applyInPandasWithState(
         _compare, ALERT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 

@@ -211,6 +211,28 @@ def test_random_graphs_match_a_plain_walk(spark, seed):
                        ("self", "dust", "time", "followed", "skipped")]
 
 
+def test_extended_mode_follows_a_long_chain(spark):
+    names = "abcdefghij"
+    rows = [(f"t{i}", i, names[i], names[i + 1], "X", 1000) for i in range(9)]
+    out = run(spark, rows, extended=True, max_depth=1)
+    last = node_map(out)["j"]
+    assert (last.depth, last.at_rest, last.role) == (9, True, S.INTERMEDIARY)
+    hops = E.exit_paths(out, out.nodes.filter("address = 'j'")).orderBy("hop").collect()
+    assert [h.txid for h in hops] == [f"t{i}" for i in range(9)]
+
+
+def test_no_seeds_give_an_empty_result(spark):
+    none = seeds(spark, "a").filter("trace_id < 0")
+    out = trace_many(movements(spark, [("t", 1, "a", "b", "X", 1000)]), none, facts(spark))
+    assert out.nodes.isEmpty() and out.edges.isEmpty() and out.accounting.isEmpty()
+
+
+def test_parameters_are_checked():
+    for bad in ({"direction": "up"}, {"pattern": "all"}, {"max_depth": 7}):
+        with pytest.raises(ValueError):
+            TraceParams(**bad)
+
+
 def test_many_traces_equal_single_traces(spark):
     rows = [("t1", 1, "a", "b", "X", 1000), ("t2", 2, "b", "c", "X", 900),
             ("t3", 3, "c", "d", "X", 900), ("t4", 1, "z", "c", "X", 900)]
