@@ -27,13 +27,9 @@ RULES = 12
 PRECISION = 0.8    # share of low-quality texts that a rule must keep on rows set aside
 LEAST_ROWS = 5     # rows a rule must pick
 BLANK = r"[\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]+"
 STATISTICS = ("mean_word", "symbols_per_word", "repeat_share", "dup_line_share",
-              "upper_share", "bang_share", "distinct_share", "n_words")
-
-
-def _length_without(characters: str) -> Column:
-    return F.length(F.translate("text", characters, ""))
+              "bang_share", "distinct_share", "n_words")
 
 
 def statistics(docs: DataFrame, *more: str) -> DataFrame:
@@ -57,18 +53,16 @@ def statistics(docs: DataFrame, *more: str) -> DataFrame:
         " or (i > 0 and shiftrightunsigned(k, _b) = shiftrightunsigned(get(_k, i - 1), _b))),"
         " k -> k & (shiftleft(1L, _b) - 1)))"))
     lines = places.withColumn("_l", F.filter(
-        F.split("text", "\n", -1), lambda x: F.translate(x, " \t\n\x0b\x0c\r", "") != ""))
+        F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     counts = lines.select(
         "doc_id", *more, F.col("_n").cast("long").alias("n_words"),
-        _length_without(" \t\n\x0b\x0c\r").cast("long").alias("word_chars"),
-        (F.length("text") - _length_without(SYMBOLS)).cast("long").alias("n_symbols"),
+        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        (F.length("text") - F.length(F.regexp_replace("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.expr("aggregate(_p, struct(0L as n, -3L as last), (a, p) -> "
                "struct(a.n + least(3L, p - a.last) as n, p as last), a -> a.n)").alias("n_repeat_words"),
         F.size("_l").alias("_lines"), F.size(F.array_distinct("_w")).alias("_distinct"),
-        F.length("text").alias("_chars"),
-        (F.length("text") - _length_without("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).alias("_upper"),
-        (F.length("text") - _length_without("!")).alias("_bang"))
+        (F.length("text") - F.length(F.replace("text", F.lit("!"), F.lit("")))).alias("_bang"))
     n = F.greatest(F.col("n_words"), F.lit(1))
     return counts.select(
         "doc_id", *more, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -76,7 +70,6 @@ def statistics(docs: DataFrame, *more: str) -> DataFrame:
         (F.col("n_symbols") / n).alias("symbols_per_word"),
         (F.col("n_repeat_words") / n).alias("repeat_share"),
         (F.col("n_dup_lines") / F.greatest("_lines", F.lit(1))).alias("dup_line_share"),
-        (F.col("_upper") / F.greatest("_chars", F.lit(1))).alias("upper_share"),
         (F.col("_bang") / n).alias("bang_share"), (F.col("_distinct") / n).alias("distinct_share"))
 
 

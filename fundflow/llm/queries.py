@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundflow.llm import (
-    bpe, common, decontaminate, language, licences, quality, secrets_ledger, toxicity)
+    bpe, common, decontaminate, jaccard, language, licences, quality, secrets_ledger, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,6 +61,11 @@ def op7_secrets(spark, sf_dir):
     return secrets_ledger.report(secrets_ledger.by_document(docs, secrets_ledger.scan(docs)))
 
 
+@query
+def op9_jaccard(spark, sf_dir):
+    return jaccard.join(common.table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_language(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents")
