@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundflow.llm import (
-    bpe, common, decontaminate, jaccard, language, licences, quality, secrets_ledger, toxicity)
+    blocks, bpe, common, decontaminate, jaccard, language, licences, quality, secrets_ledger,
+    suffixes, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,12 +56,24 @@ def op5_quality(spark, sf_dir):
         "base_failed", "kept", "rule")
 
 
+@query
+def op6_suffixes(spark, sf_dir):
+    return suffixes.remove(common.table(spark, sf_dir, "documents")) \
+        .withColumnRenamed("n_units", "n_bytes")
+
+
 @query
 def op7_secrets(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents")
     return secrets_ledger.report(secrets_ledger.by_document(docs, secrets_ledger.scan(docs)))
 
 
+@query
+def op8_blocks(spark, sf_dir):
+    return blocks.remove(common.table(spark, sf_dir, "documents")) \
+        .withColumnRenamed("n_units", "n_words").drop("n_spans")
+
+
 @query
 def op9_jaccard(spark, sf_dir):
     return jaccard.join(common.table(spark, sf_dir, "documents"))
