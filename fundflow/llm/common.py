@@ -54,3 +54,15 @@ def per_chunk(fn: Callable[[pa.RecordBatch], list[pa.Array]], schema: pa.Schema)
             for part in chunks(batch):
                 yield pa.RecordBatch.from_arrays(fn(part), schema=schema)
     return run
+
+
+def keep_rows(docs: DataFrame, judge: Callable[[], Callable[[str], bool]]) -> DataFrame:
+    """Rows, with all their columns, whose text passes.  ``judge`` is called once
+    in each task and gives the test of one text; null texts are empty."""
+    def run(batches):
+        passes = judge()
+        for batch in batches:
+            for part in chunks(batch):
+                yield part.filter(pa.array([passes(t or "") for t in part.column("text").to_pylist()],
+                                           pa.bool_()))
+    return docs.mapInArrow(run, docs.schema)

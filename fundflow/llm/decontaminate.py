@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import re
 import sys
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -163,28 +165,49 @@ def _pass(docs: DataFrame, rows: list[tuple[int, str]]) -> DataFrame:
     return common.texts(docs).mapInArrow(run, SCHEMA)
 
 
+def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """Benchmark items in blocks of about ``BLOCK_WORDS`` words; the driver holds one."""
+    block, held = [], 0
+    for row in benchmark.select("item_id", "text").filter("text IS NOT NULL").distinct().toLocalIterator():
+        if held >= BLOCK_WORDS:
+            yield block
+            block, held = [], 0
+        block.append((row["item_id"], row["text"]))
+        held += len(row["text"].split())
+    yield block
+
+
+def _each(benchmark: DataFrame, apply: Callable[[list], DataFrame]) -> Iterator[DataFrame]:
+    """``apply`` for every block; if there are several, each result is written
+    before the next block is read, so that no more than one is held."""
+    found = blocks(benchmark)
+    block = next(found)
+    for following in found:
+        yield materialise(apply(block), "tiles")
+        block = following
+    yield apply(block)
+
+
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, coverage, ...) of every contaminated document.
 
-    Items pass through the driver in blocks of ``BLOCK_WORDS`` words; each block
-    is broadcast and held against all documents, whatever the benchmark's size.
+    Each block of items is broadcast and held against all documents, whatever
+    the size of the benchmark.
     """
-    items = benchmark.select("item_id", "text").filter("text IS NOT NULL").distinct()
-    found, block, held = None, [], 0
-
-    def settle(more: bool):
-        nonlocal found, block, held
-        hits = _pass(docs, block)
-        if more or found is not None:  # several passes: keep the result, not the block
-            hits = materialise(hits, "tiles")
-        found = hits if found is None else found.unionByName(hits)
-        block, held = [], 0
-
-    for row in items.toLocalIterator():
-        if held >= BLOCK_WORDS:
-            settle(True)
-        block.append((row["item_id"], row["text"]))
-        held += len(row["text"].split())
-    if block or found is None:
-        settle(False)
-    return found
+    return reduce(DataFrame.unionByName, _each(benchmark, lambda block: _pass(docs, block)))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    left = docs
+
+    def apply(rows):
+        block = docs.sparkSession.sparkContext.broadcast(rows)
+
+        def judge():
+            index = Items(block.value)
+            return lambda text: not index.matches(text)
+        return common.keep_rows(left, judge)
+    for result in _each(benchmark, apply):
+        left = result
+    return left

@@ -43,7 +43,7 @@ JOIN, LINK = 0.6, 0.3  # sketch similarity to share a leader, and to be compared
 BLOCK = 1000     # sets in one side of an exact comparison
 _WORD = re.compile(r"\w+")
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
-_SETS = pa.schema([("doc_id", pa.int64()), ("key", pa.string()), ("sketch", pa.binary()),
+_SETS = pa.schema([("doc_id", pa.int64()), ("c1", pa.int64()), ("key", pa.string()), ("sketch", pa.binary()),
                    ("paths", pa.list_(pa.list_(pa.int64())))])
 
 
@@ -109,7 +109,8 @@ def paths(tokens: np.ndarray) -> list[list[int]]:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, sketch, paths) of every document; null key without words."""
+    """(doc_id, c1, key, sketch, paths) of every document; null key without words,
+    c1 is a hash of its text."""
     def run(batches):
         hasher = WordHash()
 
@@ -118,11 +119,11 @@ def sets(docs: DataFrame) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 t = shingles(text, hasher)
                 rows.append((key_of(t), sketch(t), paths(t)) if len(t) else (None, None, None))
-            return [batch.column("doc_id")] + [pa.array([r[i] for r in rows], _SETS.field(i + 1).type)
-                                               for i in range(3)]
+            return [batch.column("doc_id"), batch.column("c1")] + [
+                pa.array([r[i] for r in rows], _SETS.field(i + 2).type) for i in range(3)]
         yield from common.per_chunk(part, _SETS)(batches)
-    return common.texts(docs).mapInArrow(
-        run, "doc_id long, key string, sketch binary, paths array<array<long>>")
+    return common.texts(docs).withColumn("c1", F.xxhash64("text")).mapInArrow(
+        run, "doc_id long, c1 long, key string, sketch binary, paths array<array<long>>")
 
 
 def _leaders(batches):
@@ -254,7 +255,7 @@ def _tokens(batches):
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, n_links): the class of every document (its smallest
+    """(doc_id, class_id, n_links, c1, key): the class of every document (its smallest
     id) and the number of other documents with similarity of 0.8 or more."""
     all_sets = materialise(sets(docs), "shingle-sets", rebalance=False)
     reps = all_sets.filter("key IS NOT NULL").groupBy("key").agg(
@@ -288,6 +289,21 @@ def join(docs: DataFrame) -> DataFrame:
     least = per_key.groupBy("component").agg(F.min("rep").alias("class_id"))
     known = per_key.join(least, "component").select(
         "key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return all_sets.select("doc_id", "key").join(known, "key", "left").select(
+    return all_sets.select("doc_id", "c1", "key").join(known, "key", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "c1", "key")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """Documents without all but the first of each class; those without words,
+    and copies of no other, stay."""
+    classes = materialise(join(docs), "classes", rebalance=False)
+    first = classes.groupBy("class_id").agg(F.min(F.struct("doc_id", "c1")).alias("stays"))
+    goes = classes.join(first, "class_id").filter(
+        ~(F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("c1") == F.col("stays.c1")))) \
+        .filter("key IS NOT NULL") \
+        .select(F.col("doc_id").alias("_id"), F.col("c1").alias("_c1"))
+    rows = docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    left = rows.join(goes, rows["doc_id"].eqNullSafe(goes["_id"]) & (rows["_text_hash"] == goes["_c1"]),
+                     "left_anti")
+    return left.dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)

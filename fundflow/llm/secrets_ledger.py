@@ -97,11 +97,15 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES,
         F.col("found")[F.col("o.kind")].alias("spans"))
 
 
+def by_blob(ledger: DataFrame) -> DataFrame:
+    """(blob, spans): all spans of each blob that has some, by start, then rule."""
+    return ledger.filter("size(spans) > 0").groupBy("blob").agg(
+        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+
+
 def by_document(docs: DataFrame, ledger: DataFrame) -> DataFrame:
     """(doc_id, blob, spans): all spans of each document, by start, then rule."""
-    per_blob = ledger.filter("spans IS NOT NULL").groupBy("blob").agg(
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    return addressed(docs).select("doc_id", "blob").join(per_blob, "blob", "left").withColumn(
+    return addressed(docs).select("doc_id", "blob").join(by_blob(ledger), "blob", "left").withColumn(
         "spans", F.coalesce("spans", F.expr(f"cast(array() as {SPAN})")))
 
 
@@ -121,10 +125,9 @@ def report(found: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, found: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """Documents with every span, overlapping ones joined, replaced by ``mark``."""
-    per_blob = found.filter(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"])
-    rows = docs.withColumn("blob", F.sha2(F.coalesce("text", F.lit("")), 256)) \
-        .join(per_blob.withColumnRenamed("spans", "_spans"), "blob", "left")
+    """Documents, given (blob, spans), with every span, overlapping ones joined, replaced by ``mark``."""
+    spans_of = found.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    rows = docs.join(spans_of, F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == F.col("_blob"), "left")
 
     def put(state: Column, s: Column) -> Column:
         fresh = s["start"] >= state["at"]

@@ -222,3 +222,14 @@ def score(docs: DataFrame, model: tuple[list[str], list[float]]) -> DataFrame:
                 pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
         yield from common.per_chunk(part, _ARROW)(batches)
     return common.texts(docs).mapInArrow(run, SCHEMA)
+
+
+def reject(docs: DataFrame, model: tuple[list[str], list[float]],
+           threshold: float = THRESHOLD) -> DataFrame:
+    """Documents whose score is below the threshold."""
+    terms, weights = model
+
+    def judge():
+        automaton = Automaton(terms)
+        return lambda text: not weights or _score(features(hits(text, automaton)), weights) < threshold
+    return common.keep_rows(docs, judge)
