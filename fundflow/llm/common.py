@@ -36,7 +36,7 @@ def bucket_of(key: str, n: int) -> Column:
 
 def chunks(batch: pa.RecordBatch, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts (column ``text``) hold about ``size`` bytes."""
-    lengths = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
+    lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for i, n in enumerate(lengths):
         held += int(n)
