@@ -25,7 +25,7 @@ from fundflow.llm import repeats
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LENGTH = 35
-GRAM = 10
+GRAM = 6
 
 
 def resolve(rows: list[tuple], length: int) -> list[np.ndarray]:
