@@ -111,7 +111,7 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
-def byte_units(raw: bytes, powers: Powers) -> np.ndarray:
+def byte_units(raw: bytes, powers: Powers | None = None) -> np.ndarray:
     """A random 64-bit value for each byte."""
     return _LETTERS[np.frombuffer(raw, np.uint8)]
 
@@ -133,6 +133,7 @@ class Kind:
     gram: int
     resolve: Callable  # repeated windows of the runs of one anchor gram
     keep: Callable[[bytes, np.ndarray], tuple[int, bytes]]  # (spans removed, what is left)
+    width: int = 8  # bytes that a unit takes when runs are sent: its hash, or 1 for the byte itself
 
 
 _RUNS = "g long, f long, c1 long, c2 int, first int, last int, anchor int"
@@ -184,7 +185,8 @@ def _load(kind: Kind):
         def part(batch):
             out = []
             for text, picked in zip(batch.column("text").to_pylist(), batch.column("picked").to_pylist()):
-                units = kind.units(text.encode(), powers)
+                raw = text.encode()
+                units = np.frombuffer(raw, np.uint8) if kind.width == 1 else kind.units(raw, powers)
                 for r in picked:
                     out.append((r["g"], r["f"], r["anchor"] - r["first"],
                                 units[r["first"]:r["last"] + kind.length].tobytes()))
@@ -207,7 +209,7 @@ def _resolve(kind: Kind):
         for (g, f, left, units), mask in zip(rows, masks):
             at = np.flatnonzero(mask)
             if len(at):
-                n = len(units) // 8
+                n = len(units) // kind.width
                 edge = np.diff(np.r_[False, covered(at, at + kind.length, n), False].astype(np.int8))
                 out.append((g, f, np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)))
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], schema.field(i).type)

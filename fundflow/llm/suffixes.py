@@ -27,12 +27,12 @@ from fundflow.llm import repeats
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LENGTH = 400
-GRAM = 128
+GRAM = 96
 
 
 def resolve(rows: list[tuple], length: int) -> list[np.ndarray]:
     """Mask of the repeated windows of each run (g, f, left, units)."""
-    units = [np.frombuffer(r[3], np.uint64) for r in rows]
+    units = [repeats.byte_units(r[3]) for r in rows]
     sizes = np.array([len(u) for u in units])
     base = np.cumsum(np.r_[0, sizes[:-1]])
     every = np.concatenate(units)
@@ -95,7 +95,7 @@ def keep(raw: bytes, mask: np.ndarray) -> tuple[int, bytes]:
     return spans, np.frombuffer(raw, np.uint8)[~mask].tobytes() if spans else raw
 
 
-KIND = repeats.Kind(repeats.byte_units, LENGTH, GRAM, resolve, keep)
+KIND = repeats.Kind(repeats.byte_units, LENGTH, GRAM, resolve, keep, width=1)
 
 
 def remove(docs: DataFrame, keep_text: bool = False) -> DataFrame:
