@@ -172,20 +172,21 @@ def _leaders(batches):
 def candidates(reps: DataFrame) -> DataFrame:
     """(a, b) keys that met in a bucket and look alike; not all pairs of a
     bucket, but enough to connect all that may be similar."""
-    rows = reps.select("key", "sketch", "paths", F.explode(F.col("paths")[0]).alias("bucket"))
+    rows = reps.select("key", F.explode(F.col("paths")[0]).alias("bucket"))
     ready = None
     for level in range(LEVELS):
         sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         met = rows.join(sizes, "bucket")
         last = level == LEVELS - 1
-        small = (met if last else met.filter(F.col("n") <= SMALL)).select("bucket", "key", "sketch")
+        small = (met if last else met.filter(F.col("n") <= SMALL)).select("bucket", "key")
         ready = small if ready is None else ready.unionByName(small)
         if not last:
-            rows = met.filter(F.col("n") > SMALL).select(
-                "key", "sketch", "paths", F.col("bucket").alias("_b"),
-                F.explode(F.col("paths")[level + 1]).alias("_t")) \
-                .select("key", "sketch", "paths", F.xxhash64("_b", "_t").alias("bucket"))
-    found = ready.repartition("bucket").sortWithinPartitions("bucket", "key") \
+            rows = met.filter(F.col("n") > SMALL).select("key", "bucket").join(
+                reps.select("key", F.col("paths")[level + 1].alias("more")), "key") \
+                .select("key", "bucket", F.explode("more").alias("_t")) \
+                .select("key", F.xxhash64("bucket", "_t").alias("bucket"))
+    found = ready.join(reps.select("key", "sketch"), "key") \
+        .repartition("bucket").sortWithinPartitions("bucket", "key") \
         .mapInArrow(_leaders, "a string, b string")
     return found.distinct()
 
@@ -196,6 +197,7 @@ _EXACT = "key string, other string, links long"
 def _exact(frame: pd.DataFrame) -> pd.DataFrame:
     """Links of one block pair: per key the number of documents it is linked
     with, and a key to which it is connected."""
+    frame = frame.drop_duplicates("key", ignore_index=True)  # rows of repeated ids
     left = np.flatnonzero(frame["side"].to_numpy() == 0)
     right = np.flatnonzero(frame["side"].to_numpy() == 1)
     same = not len(right)
@@ -247,10 +249,11 @@ def _tokens(batches):
 
     def part(batch):
         got = [shingles(t, hasher) for t in batch.column("text").to_pylist()]
-        names = [key_of(t) if len(t) else None for t in got]
-        return [pa.array(names, pa.string())] + [batch.column(c) for c in
-                ("component", "copies", "block", "blocks")] + [
-            pa.array([t.view(np.int64) for t in got], schema.field("tokens").type)]
+        # an id may stand on several texts; only the representative's is wanted
+        own = pa.array([len(t) > 0 and key_of(t) == k for t, k in zip(
+            got, batch.column("key").to_pylist())], pa.bool_())
+        tokens = pa.array([t.view(np.int64) for t in got], schema.field("tokens").type)
+        return [c.filter(own) for c in (*(batch.column(f.name) for f in schema if f.name != "tokens"), tokens)]
     yield from common.per_chunk(part, schema)(batches)
 
 
@@ -268,14 +271,9 @@ def join(docs: DataFrame) -> DataFrame:
     placed = groups.join(sizes, "component").withColumn(
         "block", F.pmod(F.xxhash64("key"), F.col("blocks")))
     picked = placed.join(reps.select("key", "rep", "copies"), "key").filter("rep IS NOT NULL")
-    whole = common.texts(docs).join(
-        picked.select(F.col("rep").alias("doc_id"), F.col("key").alias("wanted"),
-                      "component", "copies", "block", "blocks"), "doc_id")
-    loaded = whole.select("text", "component", "copies", "block", "blocks", "wanted")
-    kept = loaded.drop("wanted").mapInArrow(
+    whole = common.texts(docs).join(picked.withColumnRenamed("rep", "doc_id"), "doc_id")
+    mine = whole.select("text", "key", "component", "copies", "block", "blocks").mapInArrow(
         _tokens, "key string, component string, copies long, block long, blocks long, tokens array<long>")
-    mine = kept.join(picked.select("key", F.col("component").alias("_c")), "key") \
-        .filter("component = _c").drop("_c").dropDuplicates(["key"])
     pairs = mine.withColumn("peer", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))) \
         .select("key", "component", "copies", "tokens",
                 F.least("block", "peer").alias("low"), F.greatest("block", "peer").alias("high"),
