@@ -259,9 +259,11 @@ def _finish(kind: Kind, keep_text: bool):
 def remove(docs: DataFrame, kind: Kind, keep_text: bool = False) -> DataFrame:
     """(doc_id, n_units, n_removed, n_spans, kept_sha256[, kept]) per document."""
     texts = identified(docs)
-    runs_ = materialise(texts.select("text", *TEXT_ID).mapInArrow(_scan(kind), _RUNS), "runs",
-                        rebalance=False)
-    twice = runs_.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g")
+    # read twice from the texts: cheaper than to keep every run on disk
+    runs_ = texts.select("text", *TEXT_ID).mapInArrow(_scan(kind), _RUNS)
+    # written, so that the join meets plain exchanges, whose hot parts are split
+    twice = materialise(runs_.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+                        .select("g"), "twice", rebalance=False)
     hot = materialise(runs_.join(twice, "g"), "hot-runs", rebalance=False)
     forms = materialise(hot.groupBy("g", "f").agg(
         F.count(F.lit(1)).alias("n"),
@@ -270,8 +272,10 @@ def remove(docs: DataFrame, kind: Kind, keep_text: bool = False) -> DataFrame:
     picked = forms.join(open_, "g").groupBy("r.c1", "r.c2").agg(F.collect_list(F.struct(
         "g", "f", F.col("r.first").alias("first"), F.col("r.last").alias("last"),
         F.col("r.anchor").alias("anchor"))).alias("picked"))
-    content = texts.select("text", *TEXT_ID).join(picked, list(TEXT_ID)).select("text", "picked")         .mapInArrow(_load(kind), _CONTENT)
-    found = content.groupBy("g", "f").agg(F.first("left").alias("left"), F.first("units").alias("units"))         .repartition("g").sortWithinPartitions("g").mapInArrow(_resolve(kind), _FOUND)
+    content = texts.select("text", *TEXT_ID).join(picked, list(TEXT_ID)).select("text", "picked") \
+        .mapInArrow(_load(kind), _CONTENT)
+    found = content.groupBy("g", "f").agg(F.first("left").alias("left"), F.first("units").alias("units")) \
+        .repartition("g").sortWithinPartitions("g").mapInArrow(_resolve(kind), _FOUND)
     # whole runs that stand twice, and parts of runs that stand in another form
     whole = forms.filter("n > 1").select(
         "g", "f", F.array(F.lit(0)).alias("starts"),
@@ -279,4 +283,5 @@ def remove(docs: DataFrame, kind: Kind, keep_text: bool = False) -> DataFrame:
     parts = materialise(whole.unionByName(found), "parts", rebalance=False)
     per_text = hot.join(parts, ["g", "f"]).groupBy(*TEXT_ID).agg(F.collect_set(F.struct(
         F.col("first").alias("at"), "starts", "ends")).alias("found"))
-    return texts.join(per_text, list(TEXT_ID), "left").select("doc_id", "text", "found")         .mapInArrow(_finish(kind, keep_text), _RESULT + ", kept string" * keep_text)
+    return texts.join(per_text, list(TEXT_ID), "left").select("doc_id", "text", "found") \
+        .mapInArrow(_finish(kind, keep_text), _RESULT + ", kept string" * keep_text)
