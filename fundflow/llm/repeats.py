@@ -196,7 +196,7 @@ def _load(kind: Kind):
 
 
 _FOUND = "g long, f long, starts array<int>, ends array<int>"
-TOGETHER = 4000  # runs resolved at once
+TOGETHER = 1000  # runs resolved at once
 
 
 def _resolve(kind: Kind):

@@ -40,8 +40,8 @@ def resolve(rows: list[tuple], length: int) -> list[np.ndarray]:
     left = np.array([r[2] for r in rows])
     anchor = base + left
     right = base + sizes - anchor  # units from the anchor on
-    # plain numbers: the comparison below is called one pair at a time
-    sums, down = prefix.sums.tolist(), prefix.down.tolist()
+    # views that give plain numbers: the comparison below is called one pair at a time
+    sums, down = memoryview(prefix.sums), memoryview(prefix.down)
     at, reach, low64 = anchor.tolist(), right.tolist(), (1 << 64) - 1
 
     def shared(i: int, j: int) -> int:
