@@ -19,6 +19,12 @@ def to_units(raw: Column, decimals: Column | int) -> Column:
     return raw.cast("double") / F.pow(F.lit(10.0), places.cast("double"))
 
 
+def display_units(value: Column) -> Column:
+    """Display amount as a whole number of 10^-10: exact to sum, and comparable
+    between assets and tokens of any decimals.  Null at 10^20 and more."""
+    return (value.try_cast("decimal(30,10)") * F.lit(10**10)).cast("decimal(30,0)")
+
+
 def dust_min(asset: Column, limits: dict[str, float] | None = None,
              token: float = DUST_TOKEN) -> Column:
     """Smallest display amount that is followed, per asset."""

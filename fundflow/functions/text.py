@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from fundflow import schemas as S
 
 
+def strip(text: Column) -> Column:
+    """Text without white space at its ends: blanks, tabs, line ends, no-break spaces."""
+    return F.regexp_replace(text, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+
+
 def norm_addr(address: Column, chain: Column) -> Column:
     """EVM addresses are lower-cased; every other format is case-sensitive."""
     evm = (F.coalesce(chain, F.lit("")) == S.ETHEREUM) | address.startswith("0x")
@@ -31,7 +36,7 @@ _FORMATS = (
 
 def detect(raw: Column) -> Column:
     """Struct (kind, chain, traceable) for a pasted address or transaction."""
-    value = F.trim(raw)
+    value = strip(raw)
     unknown = F.struct(F.lit("unknown").alias("kind"),
                        F.lit(None).cast("string").alias("chain"),
                        F.lit(False).alias("traceable"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundflow import schemas as S
-from fundflow.functions.amounts import DUST_TOKEN, dust_min
+from fundflow.functions.amounts import DUST_TOKEN, display_units, dust_min
 
 RAPID_BRANCHES, BALANCED_BRANCHES = 3, 8
 
@@ -46,7 +46,7 @@ def split_dust(moves: DataFrame, limits=None, token=DUST_TOKEN
     """Movements worth following, and count and total per asset of the rest."""
     dust = is_dust(F.col("asset"), F.col("value"), limits, token)
     totals = moves.filter(dust).groupBy("asset").agg(
-        F.count(F.lit(1)).alias("n_dust"), F.sum("value_raw").alias("dust_raw"))
+        F.count(F.lit(1)).alias("n_dust"), F.try_sum("value_raw").alias("dust_raw"))
     return moves.filter(~dust), totals
 
 
@@ -57,7 +57,7 @@ def split_time(moves: DataFrame, direction: str) -> tuple[DataFrame, DataFrame]:
 
 
 def branch_order() -> list[Column]:
-    return [F.col("value_raw").desc_nulls_first(), F.col("ts").desc_nulls_last(),
+    return [F.col("_amount").desc_nulls_first(), F.col("ts").desc_nulls_last(),
             F.col("txid"), F.col("next_address")]
 
 
@@ -66,7 +66,9 @@ def select_branches(eligible: DataFrame, group: list[str], pattern: str) -> Data
 
     Rapid keeps at most three of the largest movements while the value before
     a row is below 80 % of the total; balanced keeps at most eight that carry
-    5 % each; a lone movement is always kept.
+    5 % each; a lone movement is always kept.  Display amounts decide, since
+    tokens that share a symbol need not share their decimals.  A movement or a
+    total beyond their range is followed, never left out.
 
     A wallet may hold any share of the ledger: the top rows come from
     ``row_number() <= k``, which Spark limits per group before the shuffle, and
@@ -77,10 +79,11 @@ def select_branches(eligible: DataFrame, group: list[str], pattern: str) -> Data
     keys = [*group, "asset"]
     k = RAPID_BRANCHES if pattern == S.RAPID else BALANCED_BRANCHES
     ranked = Window.partitionBy(*keys).orderBy(*branch_order())
-    top = eligible.withColumn("_rank", F.row_number().over(ranked)) \
+    valued = eligible.withColumn("_amount", display_units(F.col("value")))
+    top = valued.withColumn("_rank", F.row_number().over(ranked)) \
         .filter(F.col("_rank") <= k)
-    totals = eligible.groupBy(*keys).agg(
-        F.sum("value_raw").alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    totals = valued.groupBy(*keys).agg(
+        F.try_sum("_amount").alias("_sum"), F.count(F.lit(1)).alias("_n"))
     totals = totals.withColumn(
         "_n_all", F.sum("_n").over(Window.partitionBy(*group))) \
         .withColumn("_total", F.when(F.col("_sum") == 0, 1).otherwise(F.col("_sum")))
@@ -89,10 +92,10 @@ def select_branches(eligible: DataFrame, group: list[str], pattern: str) -> Data
         before = Window.partitionBy(*keys).orderBy("_rank").rowsBetween(
             Window.unboundedPreceding, -1)
         rows = rows.withColumn("_before",
-                               F.coalesce(F.sum("value_raw").over(before), F.lit(0)))
-        keep = F.col("_before") * 10 < F.col("_total") * 8
+                               F.coalesce(F.sum("_amount").over(before), F.lit(0)))
+        keep = F.col("_before") * 10 < F.try_multiply("_total", F.lit(8))
     else:
-        keep = F.col("value_raw") * 20 >= F.col("_total")
+        keep = F.col("_amount") * 20 >= F.col("_total")
     keep = (F.col("_n_all") <= 1) | F.coalesce(keep, F.lit(True))
     return rows.filter(keep).select(*eligible.columns)
 
@@ -122,7 +125,7 @@ def account(candidates: DataFrame, edges: DataFrame, group: list[str]) -> DataFr
         return F.count_if(F.col("status") == state)
 
     def total(state):
-        return F.coalesce(F.sum(F.when(F.col("status") == state, F.col("value_raw"))),
+        return F.coalesce(F.try_sum(F.when(F.col("status") == state, F.col("value_raw"))),
                           F.lit(0))
     out = rows.groupBy(*keys).agg(
         n("self").alias("n_self"), n("dust").alias("n_dust"),
@@ -143,7 +146,7 @@ def account_newest(accounting: DataFrame, kept: DataFrame, group: list[str]) ->
     """Move the eligible movements beyond the newest n into ``n_capped``."""
     keys = [*group, "asset"]
     left = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
-                                   F.sum("value_raw").alias("_raw"))
+                                   F.try_sum("value_raw").alias("_raw"))
     reached = kept.groupBy(*group).agg(F.max("capped").alias("_reached"))
     n_kept = F.coalesce(F.col("_n"), F.lit(0))
     return _skipped(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fundflow import schemas as S
+from fundflow.functions.amounts import display_units
 from fundflow.functions.text import amount_text, directory_field, entity_match, iso_text
 from fundflow.operators.trace import NODE_KEY, TraceResult
 from fundflow.session import materialise
@@ -25,7 +26,8 @@ def exit_totals(result: TraceResult) -> DataFrame:
     """Long form: one row per exit and asset."""
     return exit_edges(result).groupBy(*NODE_KEY, "asset").agg(
         F.count(F.lit(1)).alias("n_movements"), F.sum("value").alias("total"),
-        F.sum("value_raw").alias("total_raw"))
+        F.try_sum("value_raw").alias("total_raw"),
+        F.try_sum(display_units(F.col("value"))).alias("amount"))
 
 
 def exits(result: TraceResult, compliance: list[dict] = (),
@@ -36,6 +38,7 @@ def exits(result: TraceResult, compliance: list[dict] = (),
     column = "label" if entity == "label" else "exchange_label"
     totals = exit_totals(result).groupBy(*NODE_KEY).agg(
         F.max("total").alias("max_total"), F.max("total_raw").alias("max_total_raw"),
+        F.max("amount").alias("max_amount"),
         F.sum("n_movements").alias("n_movements"))
     node = result.nodes.select(
         *NODE_KEY, "depth", "role", F.col(f"{column}.entity_name").alias("entity"),
@@ -55,8 +58,8 @@ def exit_usd(result: TraceResult) -> DataFrame:
 
 
 def rank_exits(exit_rows: DataFrame) -> DataFrame:
-    """Most value in a single asset first, then fewest hops."""
-    return exit_rows.orderBy("trace_id", F.col("max_total_raw").desc_nulls_last(),
+    """Largest display amount of a single asset first, then fewest hops."""
+    return exit_rows.orderBy("trace_id", F.col("max_amount").desc_nulls_last(),
                              "depth", "address")
 
 

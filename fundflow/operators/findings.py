@@ -1,7 +1,7 @@
 """Findings: what every branch of a trace ended in, and the money it holds.
 
 All findings share one shape: (trace_id, type, priority, address, title,
-usd_cents, max_total_raw, related, detail).  ``detail`` states the facts; the
+usd_cents, max_total_raw, max_amount, related, detail).  ``detail`` states the facts; the
 per-asset totals stay in the long tables of ``flows``.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundflow import schemas as S
+from fundflow.functions.amounts import display_units
 from fundflow.functions.text import directory_field, entity_match, utc_date
 from fundflow.operators import flows
 from fundflow.operators.trace import NODE_KEY, TraceResult
@@ -21,14 +22,14 @@ from fundflow.session import materialise
 PER_TYPE = 10
 SWEEP_PERCENT, SWEEP_GAP_SECONDS = 90, 72 * 3600
 COLUMNS = ["trace_id", "type", "priority", "chain", "address", "title", "usd_cents",
-           "max_total_raw", "related", "detail"]
+           "max_total_raw", "max_amount", "related", "detail"]
 
 
 def side_summary(edges: DataFrame, wallet: str, other: str) -> DataFrame:
     """USD, completeness, counterparties, dates and largest single-asset total
     of every wallet on one side of the edges."""
     largest = flows.totals_by_asset(edges, wallet).groupBy(*NODE_KEY).agg(
-        F.max("total_raw").alias("max_total_raw"),
+        F.max("total_raw").alias("max_total_raw"), F.max("amount").alias("max_amount"),
         F.round(F.max("total"), 6).alias("max_total"))
     summary = flows.inflow(edges) if wallet == "to_address" else flows.outflow(edges)
     return summary.join(largest, NODE_KEY)
@@ -51,7 +52,7 @@ class FindingInputs:
         self.nodes = materialise(result.nodes.join(
             terminal.select(*NODE_KEY, usd.alias("usd_cents"), "usd_complete",
                             F.col("usd_cents").alias("usd_sum"), "max_total_raw", "max_total",
-                            "last_ts", "n_counterparties"), NODE_KEY, "left"),
+                            "max_amount", "last_ts", "n_counterparties"), NODE_KEY, "left"),
             "finding-nodes", rebalance=False)
 
 
@@ -62,7 +63,7 @@ def _finding(rows: DataFrame, kind: str, priority: int, title: str | Column,
     return rows.select(
         "trace_id", F.lit(kind).alias("type"), F.lit(priority).alias("priority"), "chain",
         "address", title.alias("title"), "usd_cents", "max_total_raw",
-        (none if related is None else related).alias("related"),
+        "max_amount", (none if related is None else related).alias("related"),
         (none if detail is None else detail).alias("detail"))
 
 
@@ -98,12 +99,14 @@ def flagged_wallet_contact(inp: FindingInputs, flags: DataFrame,
 
 
 def shared_flag_contact(inp: FindingInputs, labels: DataFrame,
-                        per_node: int = 3) -> DataFrame:
+                        per_node: int | None = None) -> DataFrame:
+    """One finding per partner flag; ``per_node`` limits a report to the first."""
     order = Window.partitionBy("chain", "address").orderBy("source", "entity_name")
     shared = (labels.filter(F.col("category") == S.SHARED_FLAG)
-              .withColumn("_n", F.row_number().over(order))
-              .filter(F.col("_n") <= per_node)
               .select("chain", "address", "entity_name", "source"))
+    if per_node is not None:
+        shared = shared.withColumn("_n", F.row_number().over(order)) \
+            .filter(F.col("_n") <= per_node).drop("_n")
     rows = inp.nodes.filter((F.col("depth") > 0) & F.col("shared_flagged")).join(
         shared, ["chain", "address"])
     return _finding(rows, "shared_flag_contact", 2, "wallet flagged by a partner agency",
@@ -126,7 +129,7 @@ def sweep_feeders(result: TraceResult, incoming: DataFrame) -> DataFrame:
     by_feeder = ["trace_id", "chain", "from_address"]
     received = flows.totals_by_asset(edges, "to_address").select(
         "trace_id", "chain", F.col("address").alias("from_address"), "asset",
-        F.col("total_raw").alias("in_raw"))
+        F.col("total_raw").alias("in_raw"), F.col("amount").alias("_in"))
     first = incoming.select("trace_id", "chain", F.col("address").alias("from_address"),
                             "first_ts")
     gap = F.col("ts") - F.col("first_ts")
@@ -135,8 +138,8 @@ def sweep_feeders(result: TraceResult, incoming: DataFrame) -> DataFrame:
             .join(start, by_feeder, "left_anti")
             .join(busy, ["trace_id", "chain", "to_address"], "left_semi")
             .join(received, [*by_feeder, "asset"]).join(first, by_feeder)
-            .filter((F.col("in_raw") > 0) & in_time
-                    & (F.col("value_raw") * 100 >= F.col("in_raw") * SWEEP_PERCENT))
+            .filter((F.col("_in") > 0) & in_time & (display_units(F.col("value")) * 100
+                                                    >= F.try_multiply("_in", F.lit(SWEEP_PERCENT))))
             .select("trace_id", "chain", "from_address", "to_address", "txid", "ts",
                     "asset", "value_raw", "in_raw", "first_ts", "depth"))
 
@@ -187,7 +190,8 @@ def address_cluster(clusters: DataFrame) -> DataFrame:
         "trace_id", "chain", F.col("first_traced").alias("address"), "cluster_id",
         "n_traced", "confidence", F.col("service_label"),
         F.lit(None).cast("bigint").alias("usd_cents"),
-        F.lit(None).cast("bigint").alias("max_total_raw"))
+        F.lit(None).cast("bigint").alias("max_total_raw"),
+        F.lit(None).cast("decimal(38,0)").alias("max_amount"))
     title = F.when(F.col("service_label").isNotNull(),
                    F.lit("traced wallets of one service")) \
         .otherwise(F.lit("traced wallets presumed under one owner"))
@@ -230,7 +234,8 @@ def unresolved_edges(inp: FindingInputs, top: int = PER_TYPE) -> DataFrame:
         "chain", F.lit(None).cast("string").alias("address"),
         F.lit("trail ends not yet resolved").alias("title"),
         F.lit(None).cast("bigint").alias("usd_cents"),
-        F.lit(None).cast("bigint").alias("max_total_raw"), "related",
+        F.lit(None).cast("bigint").alias("max_total_raw"),
+        F.lit(None).cast("decimal(38,0)").alias("max_amount"), "related",
         F.concat(F.col("_count").cast("string"), F.lit(" wallets")).alias("detail"))
 
 
@@ -255,7 +260,7 @@ def rank_findings(findings: DataFrame, per_type: int = PER_TYPE) -> DataFrame:
     first.  ``n_of_type`` tells how many there are, so the rest is counted."""
     kinds = ["trace_id", "type"]
     order = Window.partitionBy(*kinds).orderBy(
-        F.col("usd_cents").desc_nulls_last(), F.col("max_total_raw").desc_nulls_last(),
+        F.col("usd_cents").desc_nulls_last(), F.col("max_amount").desc_nulls_last(),
         F.col("address"), F.col("related"))
     counted = findings.groupBy(*kinds).agg(F.count(F.lit(1)).alias("n_of_type"))
     top = findings.withColumn("rank", F.row_number().over(order)) \

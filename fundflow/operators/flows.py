@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fundflow import schemas as S
+from fundflow.functions.amounts import display_units
 from fundflow.functions.skew import number_within
 from fundflow.functions.text import utc_date
 
@@ -34,7 +35,8 @@ def totals_by_asset(edges: DataFrame, wallet: str) -> DataFrame:
     """Long form of the per-asset totals of a wallet side."""
     return edges.groupBy("trace_id", "chain", F.col(wallet).alias("address"),
                          "asset").agg(F.sum("value").alias("total"),
-                                      F.sum("value_raw").alias("total_raw"),
+                                      F.try_sum("value_raw").alias("total_raw"),
+                                      F.try_sum(display_units(F.col("value"))).alias("amount"),
                                       F.count(F.lit(1)).alias("n_movements"))
 
 
@@ -42,7 +44,7 @@ def pair_flows(edges: DataFrame) -> DataFrame:
     """One flow per pair of wallets and asset.  The transactions of a flow stay
     rows of ``edges``; a list per pair would be unbounded."""
     return edges.groupBy("trace_id", "chain", "from_address", "to_address", "asset").agg(
-        F.sum("value").alias("value"), F.sum("value_raw").alias("value_raw"),
+        F.sum("value").alias("value"), F.try_sum("value_raw").alias("value_raw"),
         F.sum("usd_cents").alias("usd_cents"),
         F.bool_and(F.col("usd_cents").isNotNull()).alias("usd_complete"),
         F.count(F.lit(1)).alias("n_movements"))
@@ -56,10 +58,10 @@ def wallet_view(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         F.lit(True).alias("_ex"))
     side = ["trace_id", "chain", "address", "asset"]
     came = edges.groupBy("trace_id", "chain", F.col("to_address").alias("address"),
-                         "asset").agg(F.sum("value_raw").alias("in_raw"))
+                         "asset").agg(F.try_sum("value_raw").alias("in_raw"))
     went = edges.join(ends, ["trace_id", "chain", "to_address"], "left").groupBy(
         "trace_id", "chain", F.col("from_address").alias("address"), "asset").agg(
-        F.sum("value_raw").alias("out_raw"),
+        F.try_sum("value_raw").alias("out_raw"),
         F.sum(F.when(F.col("_ex"), F.col("value_raw"))).alias("labelled_raw"))
     share = F.when(F.col("out_raw") > 0, F.floor(
         (F.col("labelled_raw") * 200 + F.col("out_raw")) / (F.col("out_raw") * 2)))
@@ -101,7 +103,7 @@ def freeze_totals(schedule: DataFrame) -> DataFrame:
     dated = F.when(F.col("ts") != 0, F.col("ts"))
     out = schedule.rollup("trace_id", "chain", "target", "asset").agg(
         F.grouping_id().alias("_level"), F.count(F.lit(1)).alias("n_movements"),
-        F.sum("value_raw").alias("total_raw"),
+        F.try_sum("value_raw").alias("total_raw"),
         F.when(F.bool_and(F.col("usd_cents").isNotNull()), F.sum("usd_cents"))
         .alias("usd_cents"), F.min(dated).alias("first_ts"), F.max(dated).alias("last_ts"))
     return out.filter("_level <= 1").withColumn(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fundflow import schemas as S
-from fundflow.functions.text import conf_rank, detect, norm_addr, pipe_join
+from fundflow.functions.text import conf_rank, detect, norm_addr, pipe_join, strip
 from fundflow.operators.classify import KEY, merge_flags
 
 TRACEABLE_CHAINS = (S.BITCOIN, S.ETHEREUM, S.TRON)
@@ -17,7 +17,7 @@ def clean_inputs(raw: DataFrame, hint: str | None = None) -> DataFrame:
     """Pasted values (``ord``, ``raw``) trimmed, recognised, normalised; one row
     per (chain, address), the first in input order.  A value that is pasted
     very often is reduced by the partial aggregate before any shuffle."""
-    value = F.trim("raw")
+    value = strip(F.col("raw"))
     rows = raw.filter(F.coalesce(value, F.lit("")) != "").select(
         "ord", value.alias("input"), detect(value).alias("d"))
     chain = F.lit(hint) if hint and hint != "auto" else F.col("d.chain")

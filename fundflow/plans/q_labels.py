@@ -347,7 +347,7 @@ def pack_export(spark, sf):
 def pack_import(spark, sf):
     """Two snapshots of one agency: the older and a tampered one fall away."""
     flags = _pack_flags(spark, sf)
-    new = PK.export_pack(flags, "Agency X", "desk", "2024-05-01", per_pack=40)
+    new = PK.export_pack(flags, "Agency X", "desk", "2024-05-01", parts=3)
     old = PK.export_pack(flags.withColumn("reason", F.lit("old")), "AGENCY X", "", "2024-01-01")
     bad = PK.export_pack(flags, "Agency Y", "", "2024-05-01").withColumn(
         "sha256", F.lit("00"))

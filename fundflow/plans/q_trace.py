@@ -93,7 +93,8 @@ def time_filter(spark, sf):
 
 _PASTED = """
   SELECT event_id AS id, CASE CAST(event_id % 8 AS INTEGER)
-    WHEN 0 THEN ' 0xAB' || lpad(CAST(user_id AS VARCHAR), 38, '0') || ' '
+    WHEN 0 THEN chr(9) || chr(160) || ' 0xAB' || lpad(CAST(user_id AS VARCHAR), 38, '0')
+           || ' ' || chr(13) || chr(10)
     WHEN 1 THEN '0xCD' || lpad(CAST(event_id AS VARCHAR), 62, '0')
     WHEN 2 THEN 'bc1q' || lpad(CAST(user_id AS VARCHAR), 36, '0')
     WHEN 3 THEN '1' || lpad(CAST(user_id + 1 AS VARCHAR), 30, 'B')
@@ -105,7 +106,8 @@ _B58 = "[a-km-zA-HJ-NP-Z1-9]"
 
 
 @query("normalise_detect", f"""
-  WITH p AS ({_PASTED}), t AS (SELECT id, trim(raw) AS v FROM p), d AS (
+  WITH p AS ({_PASTED}), t AS (
+    SELECT id, trim(raw, ' ' || chr(9) || chr(10) || chr(13) || chr(160)) AS v FROM p), d AS (
     SELECT id, v, CASE
       WHEN regexp_full_match(v, '0x[a-fA-F0-9]{{40}}') THEN 'address/ethereum/true'
       WHEN regexp_full_match(v, '0x[a-fA-F0-9]{{64}}') THEN 'txid/ethereum/true'
@@ -128,7 +130,8 @@ def normalise_detect(spark, sf):
     def pad(col, n, ch):
         return F.lpad(col.cast("string"), n, ch)
     user, event = F.col("user_id"), F.col("event_id")
-    raw = (F.when(kind == 0, F.concat(F.lit(" 0xAB"), pad(user, 38, "0"), F.lit(" ")))
+    raw = (F.when(kind == 0, F.concat(F.lit("\t\u00a0 0xAB"), pad(user, 38, "0"),
+                                    F.lit(" \r\n")))
            .when(kind == 1, F.concat(F.lit("0xCD"), pad(event, 62, "0")))
            .when(kind == 2, F.concat(F.lit("bc1q"), pad(user, 36, "0")))
            .when(kind == 3, F.concat(F.lit("1"), pad(user + 1, 30, "B")))
@@ -138,7 +141,7 @@ def normalise_detect(spark, sf):
            .otherwise(F.col("event_type")))
     rows = e.select(event.alias("id"), raw.alias("raw")).withColumn("d", T.detect(F.col("raw")))
     return rows.select("id", "d.kind", "d.chain", "d.traceable",
-                       T.norm_addr(F.trim("raw"), F.col("d.chain")).alias("address"))
+                       T.norm_addr(T.strip(F.col("raw")), F.col("d.chain")).alias("address"))
 
 
 @query("newest_n", O.with_fx(["fx_moves"], """
@@ -380,7 +383,7 @@ def exits_ranked(spark, sf):
     from pyspark.sql import Window
     rows = E.exits(R.u5(spark, sf, S.FORWARD, S.BALANCED))
     order = Window.partitionBy("trace_id").orderBy(
-        F.col("max_total_raw").desc(), "depth", "address")
+        F.col("max_amount").desc_nulls_last(), "depth", "address")
     return E.rank_exits(rows).withColumn(
         "rank", F.row_number().over(order).cast("bigint")).select(
         "address", "depth", "role", "entity", "confidence", "source", "max_total_raw", "rank")

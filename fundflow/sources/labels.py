@@ -13,13 +13,12 @@ from pyspark.sql import functions as F
 
 from fundflow import schemas as S
 from fundflow.functions import text as X
+from fundflow.session import materialise
 
 # Executors get these functions by value, so they need not have the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-TAGPACK_NAMES = r"(?i)exchange|wallet|tornado|mixer"
-TAGPACK_MAX_BYTES = 6_000_000
 EXPLORER_CHAIN_ID = "1"
 DIRECTORY_LIMIT = 10_000
 
@@ -38,9 +37,9 @@ def load_sdn(spark: SparkSession, path: str, source: str = "ofac_sdn") -> DataFr
     ids = entries.select(
         F.when(name == "", "OFAC SDN entity").otherwise(name).alias("entity"),
         F.explode("idList.id").alias("id")).select(
-        "entity", F.trim("id.idType").alias("kind"), F.trim("id.idNumber").alias("raw")) \
+        "entity", X.strip(F.col("id.idType")).alias("kind"), X.strip(F.col("id.idNumber")).alias("raw")) \
         .filter(F.col("kind").startswith("Digital Currency Address") & (F.col("raw") != ""))
-    suffix = F.trim(F.element_at(F.split("kind", "-"), -1))
+    suffix = X.strip(F.element_at(F.split("kind", "-"), -1))
     chain = X.asset_chain(suffix, F.col("raw"))
     return _rows(ids.select(
         X.norm_addr(F.col("raw"), chain).alias("address"), chain.alias("chain"),
@@ -78,16 +77,16 @@ def _parse_packs(batches):
 
 
 def read_tagpacks(spark: SparkSession, path: str, glob: str = "*.yaml",
-                  names: str = TAGPACK_NAMES) -> tuple[DataFrame, DataFrame]:
-    """Parsed tags of every pack whose name fits, and the files left out."""
+                  names: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Parsed tags of every pack, and the files left out with the reason: those
+    that cannot be parsed and, where ``names`` is given, those whose name does
+    not fit it.  Files are parsed once."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob) \
         .option("recursiveFileLookup", "true").load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    files = files.filter(name.rlike(names))
-    small = files.filter(F.col("length") <= TAGPACK_MAX_BYTES).select("path", "content")
-    parsed = small.mapInPandas(_parse_packs, _TAG_SCHEMA)
-    skipped = files.filter(F.col("length") > TAGPACK_MAX_BYTES).select(
-        "path", F.lit("too large").alias("reason")).unionByName(
+    fits = F.element_at(F.split("path", "/"), -1).rlike(names) if names else F.lit(True)
+    parsed = materialise(files.filter(fits).select("path", "content").mapInPandas(
+        _parse_packs, _TAG_SCHEMA), "packs", rebalance=False)
+    skipped = files.filter(~fits).select("path", F.lit("name").alias("reason")).unionByName(
         parsed.filter("error is not null").select("path", F.col("error").alias("reason")))
     return parsed.filter("error is null"), skipped
 
@@ -96,7 +95,7 @@ def load_tagpacks(tags: DataFrame, source: str = "graphsense_tagpack",
                   name: str = "TagPack") -> DataFrame:
     """Exchange and mixer tags; header fields are inherited by tags that do not
     set them, and the pack date goes into the entity text."""
-    label = F.trim(F.coalesce(F.when(F.trim("label") != "", F.col("label")),
+    label = X.strip(F.coalesce(F.when(X.strip(F.col("label")) != "", F.col("label")),
                               F.col("pack_label")))
     currency = F.upper(F.coalesce("currency", "pack_currency", F.lit("")))
     chain = F.coalesce(X.lookup_literal(currency, X.TAGPACK_CURRENCY_CHAIN),
@@ -104,7 +103,7 @@ def load_tagpacks(tags: DataFrame, source: str = "graphsense_tagpack",
     category = F.lower(F.coalesce("category", "pack_category", F.lit("")))
     stamp = F.when(F.coalesce("pack_lastmod", F.lit("")) != "", F.concat(
         F.lit(", as of "), F.substring("pack_lastmod", 1, 10))).otherwise(F.lit(""))
-    address = F.trim("address")
+    address = X.strip(F.col("address"))
     rows = tags.select(
         X.norm_addr(address, chain).alias("address"), chain.alias("chain"),
         F.concat(label, F.lit(f" [{name}"), stamp, F.lit("]")).alias("entity_name"),
@@ -116,11 +115,17 @@ def load_tagpacks(tags: DataFrame, source: str = "graphsense_tagpack",
 
 
 def load_blacklist(spark: SparkSession, path: str, source: str = "scamsniffer") -> DataFrame:
-    """JSON array of reported addresses."""
-    items = spark.read.text(path, wholetext=True).select(
-        F.explode(F.from_json("value", "array<string>")).alias("raw"))
+    """JSON array of reported addresses.  Any other content raises when it is
+    read, so that a broken download never replaces a snapshot by nothing."""
+    files = spark.read.format("binaryFile").load(path)
+    if files.select("path").isEmpty():  # Spark leaves out files without content
+        raise ValueError("blacklist file is no JSON array: it is empty")
+    text = F.decode("content", "UTF-8")
+    array = F.coalesce(F.from_json(text, "array<string>"), F.raise_error(
+        F.lit("blacklist file is no JSON array")).cast("array<string>"))
+    items = files.select(F.explode(array).alias("raw"))
     return _rows(items.select(
-        F.lower(F.trim("raw")).alias("address"), F.lit(S.ETHEREUM).alias("chain"),
+        F.lower(X.strip(F.col("raw"))).alias("address"), F.lit(S.ETHEREUM).alias("chain"),
         F.lit("reported address of a public blacklist").alias("entity_name"),
         F.lit(S.SCAM_REPORT).alias("category"), F.lit("medium").alias("confidence"))
         .filter("address <> ''"), source)
@@ -129,14 +134,14 @@ def load_blacklist(spark: SparkSession, path: str, source: str = "scamsniffer")
 def best_tags(tags: DataFrame, order: str) -> DataFrame:
     """One row per address from (address, label, nameTag, ``order``): exchange
     before mixer before scam before other, then the first row of the file."""
-    slug = F.lower(F.trim("label"))
-    name = F.coalesce(F.when(F.trim("nameTag") != "", F.trim("nameTag")), slug)
+    slug = F.lower(X.strip(F.col("label")))
+    name = F.coalesce(F.when(X.strip(F.col("nameTag")) != "", X.strip(F.col("nameTag"))), slug)
     category = X.tag_category(slug, name)
     rank = F.when(category == S.EXCHANGE, 0).when(category == S.MIXER, 1) \
         .when(category == S.SCAM_REPORT, 2).otherwise(3)
     best = F.min_by(F.struct(category.alias("category"), name.alias("name"),
                              slug.alias("slug")), F.struct(rank, order))
-    return tags.groupBy(F.lower(F.trim("address")).alias("address")).agg(best.alias("b")) \
+    return tags.groupBy(F.lower(X.strip(F.col("address"))).alias("address")).agg(best.alias("b")) \
         .select("address", "b.*")
 
 
@@ -153,9 +158,9 @@ def load_explorer_tags(spark: SparkSession, path: str, source: str = "eth_labels
                        F.col("_metadata.file_block_start").alias("_b"),
                        F.monotonically_increasing_id().alias("_i"))
     place = place.withColumn("ord", F.struct("_f", "_b", "_i"))
-    good = place.filter((F.trim("chainId") == EXPLORER_CHAIN_ID)
-                        & F.trim("address").startswith("0x")
-                        & (F.length(F.trim("address")) == 42))
+    good = place.filter((X.strip(F.col("chainId")) == EXPLORER_CHAIN_ID)
+                        & X.strip(F.col("address")).startswith("0x")
+                        & (F.length(X.strip(F.col("address"))) == 42))
     return explorer_labels(best_tags(good, "ord"), source)
 
 

@@ -97,13 +97,35 @@ def test_branch_selection_limits_before_the_shuffle(spark):
         F.concat(F.lit("X"), F.col("id") % 1).alias("asset"),
         F.concat(F.lit("t"), "id").alias("txid"), F.lit(1).cast("bigint").alias("ts"),
         F.concat(F.lit("n"), "id").alias("next_address"),
-        F.when(F.col("id") < 5, 10**9).otherwise(F.col("id")).cast("bigint").alias("value_raw"))
+        F.when(F.col("id") < 5, 10**9).otherwise(F.col("id")).cast("bigint").alias("value_raw")) \
+        .withColumn("value", F.col("value_raw").cast("double"))
     chosen = B.select_branches(rows, ["address"], S.BALANCED)
     plan = chosen._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
     assert {r.txid for r in chosen.collect()} == {f"t{i}" for i in range(5)}
 
 
+def test_branches_compare_display_amounts(spark):
+    """One symbol, two scales: base units would pick the half token of 18 decimals."""
+    rows = spark.createDataFrame(
+        [("w", "USDT", "a", 1, "n1", 10**12, 1e6), ("w", "USDT", "b", 2, "n2", 5 * 10**11, 5e5),
+         ("w", "USDT", "c", 3, "n3", 5 * 10**17, 0.5)],
+        "address string, asset string, txid string, ts long, next_address string, "
+        "value_raw long, value double")
+    for pattern in (S.RAPID, S.BALANCED):
+        assert {r.txid for r in B.select_branches(rows, ["address"], pattern).collect()} == {"a", "b"}
+
+
+def test_wide_amounts_do_not_stop_a_job(spark):
+    rows = spark.range(200).select(
+        F.lit("w").alias("address"), F.lit("SPAM").alias("asset"), F.col("id").cast("string").alias("txid"),
+        F.col("id").alias("ts"), F.lit("n").alias("next_address"),
+        F.lit("9" * 36).cast("decimal(38,0)").alias("value_raw"), F.lit(1e36).alias("value"))
+    for pattern, n in ((S.RAPID, 3), (S.BALANCED, 8)):
+        assert B.select_branches(rows, ["address"], pattern).count() == n
+    assert rows.agg(F.try_sum("value_raw")).first()[0] is None
+
+
 # ------------------------------------------------------------------ labels
 
 def test_facts_and_label_order(spark):

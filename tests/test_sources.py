@@ -2,9 +2,12 @@ from __future__ import annotations
 
 import json
 
+import pytest
+
 from helpers import frame
 from pyspark.sql import functions as F
 
+from fundflow.operators.screening import clean_inputs
 from fundflow import schemas as S
 from fundflow.operators.trace import TraceParams, trace_many
 from fundflow.sources import account as A
@@ -73,6 +76,9 @@ tags:
         ("0xaa", "ethereum", "Pack Exchange [TagPack, as of 2023-05-06]", "exchange")],
         key=str)
     assert [r.path.rsplit("/", 1)[1] for r in skipped.collect()] == ["my-mixer.yaml"]
+    _, skipped = L.read_tagpacks(spark, str(tmp_path), names="exchange|mixer")
+    assert {(r.path.rsplit("/", 1)[1], r.reason == "name") for r in skipped.collect()} == {
+        ("my-mixer.yaml", False), ("unrelated.yaml", True)}
 
 
 def test_explorer_tags(spark, tmp_path):
@@ -213,3 +219,18 @@ def test_scam_reports(spark):
     assert got[EVM.lower()] == ("2 public scam report(s) [RUG x1, UNSPECIFIED x1] "
                                 "(unverified third-party reports)", False)
     assert got["1Aa"][1] is True
+
+
+def test_broken_blacklist_raises(spark, tmp_path):
+    for i, text in enumerate(('{"error": "busy"}', "<html>", "")):
+        bad = write(tmp_path / f"b{i}.json", text)
+        with pytest.raises(Exception, match="no JSON array"):
+            L.load_blacklist(spark, bad).collect()
+    assert L.load_blacklist(spark, write(tmp_path / "none.json", "[]")).collect() == []
+
+
+def test_white_space_of_any_kind_is_stripped(spark):
+    rows = spark.createDataFrame([(i, a + EVM + b) for i, (a, b) in enumerate(
+        [("", "\r"), ("\t", "\n"), (" ", "\r\n"), ("  ", "\x1f")])], "ord int, raw string")
+    got = clean_inputs(rows).collect()
+    assert [(r.address, r.kind, r.input) for r in got] == [(EVM.lower(), "address", EVM)]
