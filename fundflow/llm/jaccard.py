@@ -4,8 +4,9 @@ A document is the set of its five-word shingles.  Documents with equal sets form
 a copy class with one representative.  Each representative samples a few of its
 shingles by a hash that all share; those that sample the same shingle meet in a
 bucket.  Buckets over ``SMALL`` split again on further sampled shingles; the
-rest are compared by brute force on sketches.  Several samples per level are the
-repetitions that bring the chance of meeting at similarity 0.8 to over 0.99.
+rest are compared by brute force on sketches.  Several samples on the first level
+are the repetitions that bring the chance of meeting at similarity 0.8 to over
+0.99; the few on later levels keep it there without multiplying paths.
 Connected candidates are then compared exactly, whole sets in blocks of bounded
 size, so every link within them is found and counted without listing pairs.
 
@@ -35,11 +36,16 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WORDS = 5
 SIMILAR = 0.8
-LEVELS = 3       # splits of a large bucket
-SAMPLED = 8      # shingles sampled at each level, on average: e^-(0.8 * 8) = 0.2 % missed
-SMALL = 64       # buckets up to this size are not split
+# Shingles sampled at each level, on average.  A pair at 0.8 shares at least 0.8 of
+# the first 8: it meets in no bucket with a chance of e^-6.4 = 0.2 %.  Where all its
+# buckets are split twice, its paths die out with a chance of 0.4 %.
+SAMPLED = (8, 3, 2)
+SMALL = 500      # buckets up to this size are not split
+PART = 4000      # members in one side of a comparison within a bucket
 SKETCH = 48      # bytes of a sketch
-JOIN, LINK = 0.6, 0.3  # sketch similarity to share a leader, and to be compared exactly
+# Similarity of sketches: to follow a leader; least to a leader of which a follower
+# may be similar; of texts that may be similar (0.8 less four deviations).
+JOIN, LINK, MAYBE = 0.6, 0.3, 0.55
 BLOCK = 1000     # sets in one side of an exact comparison
 _WORD = re.compile(r"\w+")
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -100,10 +106,9 @@ def sketch(tokens: np.ndarray) -> bytes:
 def paths(tokens: np.ndarray) -> list[list[int]]:
     """Sampled shingles for each level; a set no larger than the sample gives all."""
     out = []
-    for level in range(LEVELS):
+    for level, n in enumerate(SAMPLED):
         h = _mix(tokens + np.uint64((level + 1) * 0x9E3779B97F4A7C15 % 2**64))
-        chosen = h[h <= np.uint64(min(1.0, SAMPLED / len(tokens)) * (2 ** 64 - 2048))] \
-            if len(tokens) > SAMPLED else h
+        chosen = h[h <= np.uint64(n / len(tokens) * (2 ** 64 - 2048))] if len(tokens) > n else h
         out.append(chosen.view(np.int64).tolist())
     return out
 
@@ -126,9 +131,16 @@ def sets(docs: DataFrame) -> DataFrame:
         run, "doc_id long, c1 long, key string, sketch binary, paths array<array<long>>")
 
 
+def _alike(pool: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Share of equal bytes of each sketch with one."""
+    return (pool == one).sum(axis=1, dtype=np.uint8) / SKETCH
+
+
 def _leaders(batches):
-    """Candidate links of each bucket (rows sorted by bucket): every member is
-    linked to the leaders it is near; one that is near none leads itself."""
+    """Candidate links of each bucket (rows sorted by bucket).  A member near a
+    leader follows it; one that is near none leads itself.  Links go from each
+    leader to its followers and to every member that may be similar to it or to
+    a follower, so texts that merely share a passage are not linked."""
     out = pa.schema([("a", pa.string()), ("b", pa.string())])
     bucket, members = None, []
 
@@ -138,16 +150,34 @@ def _leaders(batches):
         pool = np.frombuffer(b"".join(m[1] for m in members), np.uint8).reshape(len(members), SKETCH)
         leaders: list[int] = []
         lead = np.zeros((64, SKETCH), np.uint8)
+        follows = np.zeros(len(members), np.int64)
         for i in range(len(members)):
-            if leaders and (lead[:len(leaders)] == pool[i]).mean(axis=1).max() >= JOIN:
-                continue
+            follows[i] = len(leaders)
+            if leaders:
+                near = _alike(lead[:len(leaders)], pool[i])
+                best = int(near.argmax())
+                if near[best] >= JOIN:
+                    follows[i] = best
+                    continue
             if len(leaders) == len(lead):
                 lead = np.concatenate([lead, np.zeros_like(lead)])
             lead[len(leaders)] = pool[i]
             leaders.append(i)
+        order = np.argsort(follows, kind="stable")
+        ends = np.searchsorted(follows[order], np.arange(len(leaders) + 1))
         links = set()
         for n, i in enumerate(leaders):
-            for j in np.flatnonzero((pool == lead[n]).mean(axis=1) >= LINK).tolist():
+            near = _alike(pool, lead[n])
+            linked = near >= MAYBE
+            doubt = np.flatnonzero((near >= LINK) & ~linked & (follows != n))
+            for f in order[ends[n]:ends[n + 1]].tolist():
+                if not len(doubt):
+                    break
+                if f != i:
+                    got = _alike(pool[doubt], pool[f]) >= MAYBE
+                    linked[doubt[got]] = True
+                    doubt = doubt[~got]
+            for j in np.flatnonzero(linked | (follows == n)).tolist():
                 if j != i:
                     links.add((members[i][0], members[j][0]))
         return list(links)
@@ -171,21 +201,28 @@ def _leaders(batches):
 
 def candidates(reps: DataFrame) -> DataFrame:
     """(a, b) keys that met in a bucket and look alike; not all pairs of a
-    bucket, but enough to connect all that may be similar."""
+    bucket, but enough to connect all that may be similar.  A bucket that stays
+    large is dealt into parts, and each two of them are compared in a task, so
+    no task holds more than two parts of it."""
     rows = reps.select("key", F.explode(F.col("paths")[0]).alias("bucket"))
     ready = None
-    for level in range(LEVELS):
+    for level in range(len(SAMPLED)):
         sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        met = rows.join(sizes, "bucket")
-        last = level == LEVELS - 1
-        small = (met if last else met.filter(F.col("n") <= SMALL)).select("bucket", "key")
+        met = materialise(rows.join(sizes, "bucket"), f"met-{level}", rebalance=False)
+        last = level == len(SAMPLED) - 1
+        small = met if last else met.filter(F.col("n") <= SMALL)
         ready = small if ready is None else ready.unionByName(small)
         if not last:
             rows = met.filter(F.col("n") > SMALL).select("key", "bucket").join(
                 reps.select("key", F.col("paths")[level + 1].alias("more")), "key") \
                 .select("key", "bucket", F.explode("more").alias("_t")) \
                 .select("key", F.xxhash64("bucket", "_t").alias("bucket"))
-    found = ready.join(reps.select("key", "sketch"), "key") \
+    parts = F.ceil(F.col("n") / PART)
+    dealt = ready.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("key", "bucket"), "parts")) \
+        .withColumn("peer", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))) \
+        .select("key", F.when(F.col("parts") == 1, F.col("bucket")).otherwise(
+            F.xxhash64("bucket", F.least("part", "peer"), F.greatest("part", "peer"))).alias("bucket"))
+    found = dealt.join(reps.select("key", "sketch"), "key") \
         .repartition("bucket").sortWithinPartitions("bucket", "key") \
         .mapInArrow(_leaders, "a string, b string")
     return found.distinct()
@@ -261,9 +298,9 @@ def join(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, n_links, c1, key): the class of every document (its smallest
     id) and the number of other documents with similarity of 0.8 or more."""
     all_sets = materialise(sets(docs), "shingle-sets", rebalance=False)
-    reps = all_sets.filter("key IS NOT NULL").groupBy("key").agg(
+    reps = materialise(all_sets.filter("key IS NOT NULL").groupBy("key").agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"),
-        F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
+        F.first("sketch").alias("sketch"), F.first("paths").alias("paths")), "representatives", rebalance=False)
     edges = materialise(candidates(reps), "candidates")
     groups = materialise(components(edges), "candidate-groups").select(
         F.col("address").alias("key"), "component")
