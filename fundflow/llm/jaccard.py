@@ -6,7 +6,8 @@ shingles by a hash that all share; those that sample the same shingle meet in a
 bucket.  Buckets over ``SMALL`` split again on further sampled shingles; the
 rest are compared by brute force on sketches.  Several samples on the first level
 are the repetitions that bring the chance of meeting at similarity 0.8 to over
-0.99; the few on later levels keep it there without multiplying paths.
+0.99; the few that each path follows on later levels keep it there without
+multiplying paths.
 Connected candidates are then compared exactly, whole sets in blocks of bounded
 size, so every link within them is found and counted without listing pairs.
 
@@ -36,10 +37,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WORDS = 5
 SIMILAR = 0.8
-# Shingles sampled at each level, on average.  A pair at 0.8 shares at least 0.8 of
-# the first 8: it meets in no bucket with a chance of e^-6.4 = 0.2 %.  Where all its
-# buckets are split twice, its paths die out with a chance of 0.4 %.
-SAMPLED = (8, 3, 2)
+# Shingles sampled for each level, on average.  A pair at 0.8 shares at least 0.8 of
+# them: it meets in no first bucket with a chance of e^-6.4 = 0.2 %.
+SAMPLED = (8, 12, 12)
+# Of these, a path goes on with so many, chosen anew for each path, so that paths
+# end independently: where all buckets are split twice, 0.5 % of such pairs are missed.
+KEPT = (None, 3, 2)
 SMALL = 500      # buckets up to this size are not split
 PART = 4000      # members in one side of a comparison within a bucket
 SKETCH = 48      # bytes of a sketch
@@ -215,7 +218,9 @@ def candidates(reps: DataFrame) -> DataFrame:
         if not last:
             rows = met.filter(F.col("n") > SMALL).select("key", "bucket").join(
                 reps.select("key", F.col("paths")[level + 1].alias("more")), "key") \
-                .select("key", "bucket", F.explode("more").alias("_t")) \
+                .select("key", "bucket", F.size("more").alias("_size"), F.explode("more").alias("_t")) \
+                .filter(F.pmod(F.xxhash64("_t", "bucket"), F.lit(1 << 20)) * F.col("_size")
+                        < KEPT[level + 1] * (1 << 20)) \
                 .select("key", F.xxhash64("bucket", "_t").alias("bucket"))
     parts = F.ceil(F.col("n") / PART)
     dealt = ready.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("key", "bucket"), "parts")) \
