@@ -143,7 +143,8 @@ def _leaders(batches):
     """Candidate links of each bucket (rows sorted by bucket).  A member near a
     leader follows it; one that is near none leads itself.  Links go from each
     leader to its followers and to every member that may be similar to it or to
-    a follower, so texts that merely share a passage are not linked."""
+    a follower, so texts that merely share a passage are not linked; a link between
+    members that earlier links connect is left out, as it connects nothing more."""
     out = pa.schema([("a", pa.string()), ("b", pa.string())])
     bucket, members = None, []
 
@@ -168,7 +169,7 @@ def _leaders(batches):
             leaders.append(i)
         order = np.argsort(follows, kind="stable")
         ends = np.searchsorted(follows[order], np.arange(len(leaders) + 1))
-        links = set()
+        links, root = [], np.arange(len(members))
         for n, i in enumerate(leaders):
             near = _alike(pool, lead[n])
             linked = near >= MAYBE
@@ -180,10 +181,11 @@ def _leaders(batches):
                     got = _alike(pool[doubt], pool[f]) >= MAYBE
                     linked[doubt[got]] = True
                     doubt = doubt[~got]
-            for j in np.flatnonzero(linked | (follows == n)).tolist():
-                if j != i:
-                    links.add((members[i][0], members[j][0]))
-        return list(links)
+            js = np.flatnonzero(linked | (follows == n))
+            labels, at = np.unique(root[js], return_index=True)
+            links += [(members[i][0], members[j][0]) for label, j in zip(labels, js[at]) if label != root[i]]
+            root[np.isin(root, labels)] = labels[0]
+        return links
 
     def emit(links):
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.string())
