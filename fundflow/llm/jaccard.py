@@ -4,7 +4,8 @@ A document is the set of its five-word shingles.  Documents with equal sets form
 a copy class with one representative.  Each representative samples a few of its
 shingles by a hash that all share; those that sample the same shingle meet in a
 bucket.  Buckets over ``SMALL`` split again on further sampled shingles; the
-rest are compared by brute force on sketches.  Several samples on the first level
+rest are compared by brute force, short sets by fingerprints of all their
+shingles and long ones on sketches.  Several samples on the first level
 are the repetitions that bring the chance of meeting at similarity 0.8 to over
 0.99; the few that each path follows on later levels keep it there without
 multiplying paths.
@@ -46,14 +47,19 @@ KEPT = (None, 3, 2)
 SMALL = 500      # buckets up to this size are not split
 PART = 4000      # members in one side of a comparison within a bucket
 SKETCH = 48      # bytes of a sketch
-# Similarity of sketches: to follow a leader; least to a leader of which a follower
-# may be similar; of texts that may be similar (0.8 less four deviations).
-JOIN, LINK, MAYBE = 0.6, 0.3, 0.55
+# A sketch says little of a set with few shingles, so sets of up to FEW are compared
+# by fingerprints of 16 bits of all shingles, and only sets from LONG by sketches.  In
+# a pair at 0.8 or more with one set over FEW, the other has at least LONG shingles.
+FEW, LONG = 160, 128
+# Similarity of sketches: to follow a leader; of texts that may be similar (0.8 less
+# four deviations).  The same of fingerprints, with room for several that collide.
+JOIN, MAYBE = 0.6, 0.55
+FEW_JOIN, FEW_MAYBE = 0.7, 0.7
 BLOCK = 1000     # sets in one side of an exact comparison
 _WORD = re.compile(r"\w+")
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _SETS = pa.schema([("doc_id", pa.int64()), ("c1", pa.int64()), ("key", pa.string()), ("sketch", pa.binary()),
-                   ("paths", pa.list_(pa.list_(pa.int64())))])
+                   ("few", pa.binary()), ("paths", pa.list_(pa.list_(pa.int64())))])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -106,6 +112,11 @@ def sketch(tokens: np.ndarray) -> bytes:
     return (_mix(least[after] + (after != np.arange(SKETCH)).astype(np.uint64)) & np.uint64(255)).astype(np.uint8).tobytes()
 
 
+def few(tokens: np.ndarray) -> bytes:
+    """Sorted distinct fingerprints of 16 bits of all shingles."""
+    return np.unique(_mix(tokens ^ np.uint64(0x5A5A)) >> np.uint64(48)).astype(np.uint16).tobytes()
+
+
 def paths(tokens: np.ndarray) -> list[list[int]]:
     """Sampled shingles for each level; a set no larger than the sample gives all."""
     out = []
@@ -117,8 +128,8 @@ def paths(tokens: np.ndarray) -> list[list[int]]:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, c1, key, sketch, paths) of every document; null key without words,
-    c1 is a hash of its text."""
+    """(doc_id, c1, key, sketch, few, paths) of every document; null key without words,
+    null sketch or few where the other serves all its pairs, c1 is a hash of its text."""
     def run(batches):
         hasher = WordHash()
 
@@ -126,65 +137,102 @@ def sets(docs: DataFrame) -> DataFrame:
             rows = []
             for text in batch.column("text").to_pylist():
                 t = shingles(text, hasher)
-                rows.append((key_of(t), sketch(t), paths(t)) if len(t) else (None, None, None))
+                rows.append((key_of(t), sketch(t) if len(t) >= LONG else None,
+                             few(t) if len(t) <= FEW else None, paths(t)) if len(t) else (None,) * 4)
             return [batch.column("doc_id"), batch.column("c1")] + [
-                pa.array([r[i] for r in rows], _SETS.field(i + 2).type) for i in range(3)]
+                pa.array([r[i] for r in rows], _SETS.field(i + 2).type) for i in range(4)]
         yield from common.per_chunk(part, _SETS)(batches)
     return common.texts(docs).withColumn("c1", F.xxhash64("text")).mapInArrow(
-        run, "doc_id long, c1 long, key string, sketch binary, paths array<array<long>>")
-
-
-def _alike(pool: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """Share of equal bytes of each sketch with one."""
-    return (pool == one).sum(axis=1, dtype=np.uint8) / SKETCH
+        run, "doc_id long, c1 long, key string, sketch binary, few binary, paths array<array<long>>")
+
+
+class _Sketches:
+    """Share of equal bytes of sketches."""
+    join, maybe = JOIN, MAYBE
+
+    def __init__(self, blobs: list[bytes]):
+        self.pool = np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), SKETCH)
+
+    def alike(self, rows, i: int) -> np.ndarray:
+        return (self.pool[rows] == self.pool[i]).sum(axis=1, dtype=np.uint8) / SKETCH
+
+
+class _Fingerprints:
+    """Jaccard similarity of the fingerprints of whole sets."""
+    join, maybe = FEW_JOIN, FEW_MAYBE
+
+    def __init__(self, blobs: list[bytes]):
+        self.sizes = np.array([len(b) // 2 for b in blobs])
+        self.pool = np.full((len(blobs), self.sizes.max()), 1 << 16, np.int32)
+        self.pool[np.arange(self.pool.shape[1]) < self.sizes[:, None]] = np.frombuffer(b"".join(blobs), np.uint16)
+        self.held = np.zeros((1 << 16) + 1, bool)
+
+    def alike(self, rows, i: int) -> np.ndarray:
+        own = self.pool[i, :self.sizes[i]]
+        self.held[own] = True
+        shared = self.held[self.pool[rows]].sum(axis=1, dtype=np.int32)
+        self.held[own] = False
+        return shared / (self.sizes[rows] + self.sizes[i] - shared)
+
+
+def _links(keys: list[str], sets_) -> list[tuple[str, str]]:
+    """Links that connect all members with a similarity of ``maybe`` or more.  A
+    member near a leader follows it; one that is near none leads itself.  Links go
+    from each leader to its followers and to every member that may be similar to it
+    or to a follower.  Both similarities are 1 less a metric, which bounds how far
+    from the leader those similar to a follower can be."""
+    n_all, every = len(keys), slice(None)
+    if n_all < 2:
+        return []
+    leaders = np.zeros(n_all, np.int64)
+    follows = np.zeros(n_all, np.int64)
+    n_lead = 0
+    for i in range(n_all):
+        follows[i] = n_lead
+        if n_lead:
+            near = sets_.alike(leaders[:n_lead], i)
+            best = int(near.argmax())
+            if near[best] >= sets_.join:
+                follows[i] = best
+                continue
+        leaders[n_lead] = i
+        n_lead += 1
+    order = np.argsort(follows, kind="stable")
+    ends = np.searchsorted(follows[order], np.arange(n_lead + 1))
+    links, root = [], np.arange(n_all)
+    for n, i in enumerate(leaders[:n_lead].tolist()):
+        near = sets_.alike(every, i)
+        linked = near >= sets_.maybe
+        doubt = np.flatnonzero((near >= sets_.join + sets_.maybe - 1 - 1e-9) & ~linked & (follows != n))
+        for f in order[ends[n]:ends[n + 1]].tolist():
+            if not len(doubt):
+                break
+            if f != i:
+                some = doubt[near[doubt] >= near[f] + sets_.maybe - 1 - 1e-9]
+                if len(some):
+                    some = some[sets_.alike(some, f) >= sets_.maybe]
+                    linked[some] = True
+                    doubt = doubt[~linked[doubt]]
+        js = np.flatnonzero(linked | (follows == n))
+        labels, at = np.unique(root[js], return_index=True)
+        links += [(keys[i], keys[j]) for label, j in zip(labels, js[at]) if label != root[i]]
+        root[np.isin(root, labels)] = labels[0]
+    return links
 
 
 def _leaders(batches):
-    """Candidate links of each bucket (rows sorted by bucket).  A member near a
-    leader follows it; one that is near none leads itself.  Links go from each
-    leader to its followers and to every member that may be similar to it or to
-    a follower, so texts that merely share a passage are not linked; a link between
+    """Candidate links of each bucket (rows sorted by bucket), of its short sets and
+    of its long ones.  Texts that merely share a passage are not linked; a link between
     members that earlier links connect is left out, as it connects nothing more."""
     out = pa.schema([("a", pa.string()), ("b", pa.string())])
     bucket, members = None, []
 
     def settle():
-        if len(members) < 2:
-            return []
-        pool = np.frombuffer(b"".join(m[1] for m in members), np.uint8).reshape(len(members), SKETCH)
-        leaders: list[int] = []
-        lead = np.zeros((64, SKETCH), np.uint8)
-        follows = np.zeros(len(members), np.int64)
-        for i in range(len(members)):
-            follows[i] = len(leaders)
-            if leaders:
-                near = _alike(lead[:len(leaders)], pool[i])
-                best = int(near.argmax())
-                if near[best] >= JOIN:
-                    follows[i] = best
-                    continue
-            if len(leaders) == len(lead):
-                lead = np.concatenate([lead, np.zeros_like(lead)])
-            lead[len(leaders)] = pool[i]
-            leaders.append(i)
-        order = np.argsort(follows, kind="stable")
-        ends = np.searchsorted(follows[order], np.arange(len(leaders) + 1))
-        links, root = [], np.arange(len(members))
-        for n, i in enumerate(leaders):
-            near = _alike(pool, lead[n])
-            linked = near >= MAYBE
-            doubt = np.flatnonzero((near >= LINK) & ~linked & (follows != n))
-            for f in order[ends[n]:ends[n + 1]].tolist():
-                if not len(doubt):
-                    break
-                if f != i:
-                    got = _alike(pool[doubt], pool[f]) >= MAYBE
-                    linked[doubt[got]] = True
-                    doubt = doubt[~got]
-            js = np.flatnonzero(linked | (follows == n))
-            labels, at = np.unique(root[js], return_index=True)
-            links += [(members[i][0], members[j][0]) for label, j in zip(labels, js[at]) if label != root[i]]
-            root[np.isin(root, labels)] = labels[0]
+        links = []
+        for at, kind in ((1, _Sketches), (2, _Fingerprints)):
+            some = [m for m in members if m[at] is not None]
+            if len(some) > 1:
+                links += _links([m[0] for m in some], kind([m[at] for m in some]))
         return links
 
     def emit(links):
@@ -192,14 +240,14 @@ def _leaders(batches):
                                            for i in range(2)], schema=out)
     waiting = []
     for batch in batches:
-        for b, key, sk in zip(*(batch.column(c).to_pylist() for c in ("bucket", "key", "sketch"))):
+        for b, *member in zip(*(batch.column(c).to_pylist() for c in ("bucket", "key", "sketch", "few"))):
             if b != bucket:
                 waiting += settle()
                 bucket, members = b, []
                 if len(waiting) > 10_000:
                     yield emit(waiting)
                     waiting = []
-            members.append((key, sk))
+            members.append(member)
     waiting += settle()
     yield emit(waiting)
 
@@ -229,7 +277,7 @@ def candidates(reps: DataFrame) -> DataFrame:
         .withColumn("peer", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))) \
         .select("key", F.when(F.col("parts") == 1, F.col("bucket")).otherwise(
             F.xxhash64("bucket", F.least("part", "peer"), F.greatest("part", "peer"))).alias("bucket"))
-    found = dealt.join(reps.select("key", "sketch"), "key") \
+    found = dealt.join(reps.select("key", "sketch", "few"), "key") \
         .repartition("bucket").sortWithinPartitions("bucket", "key") \
         .mapInArrow(_leaders, "a string, b string")
     return found.distinct()
@@ -307,7 +355,7 @@ def join(docs: DataFrame) -> DataFrame:
     all_sets = materialise(sets(docs), "shingle-sets", rebalance=False)
     reps = materialise(all_sets.filter("key IS NOT NULL").groupBy("key").agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"),
-        F.first("sketch").alias("sketch"), F.first("paths").alias("paths")), "representatives", rebalance=False)
+        F.first("sketch").alias("sketch"), F.first("few").alias("few"), F.first("paths").alias("paths")), "representatives", rebalance=False)
     edges = materialise(candidates(reps), "candidates")
     groups = materialise(components(edges), "candidate-groups").select(
         F.col("address").alias("key"), "component")

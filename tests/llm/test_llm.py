@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
@@ -123,6 +124,46 @@ def test_jaccard_hot_group(spark):
     assert (got.class_id == 0).all() and (got.n_links == n - 1).all()
 
 
+def test_jaccard_short_pairs(spark):
+    """Pairs at 0.8 exactly, the smaller set inside the larger one."""
+    rows, pairs = [], 300
+    for long, short in ((5, 4), (10, 8)):
+        for _ in range(pairs):
+            words = [f"w{len(rows)}x{k}" for k in range(long + 4)]
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[:short + 4]))]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["doc_id", "text"])).repartition(3)
+    got = jaccard.join(df).toPandas()
+    assert len(got) == 4 * pairs and (got.n_links == 1).all()
+    assert (got.class_id == got.doc_id - got.doc_id % 2).all()
+
+
+def test_jaccard_bucket_connects_what_may_be_similar():
+    """Links of a bucket connect what brute force over all pairs connects."""
+    rng = np.random.default_rng(4)
+    for kind, least, most in ((jaccard._Sketches, 128, 400), (jaccard._Fingerprints, 4, 160)):
+        sets = []
+        for _ in range(12):
+            sets.append(rng.integers(0, 2**63, rng.integers(least, most + 1), dtype=np.uint64))
+            for _ in range(15):
+                t = sets[rng.integers(len(sets))].copy()
+                change = rng.random(len(t)) < rng.choice([0.02, 0.1, 0.2])
+                t[change] = rng.integers(0, 2**63, change.sum(), dtype=np.uint64)
+                sets.append(t)
+        blobs = [jaccard.sketch(t) if kind is jaccard._Sketches else jaccard.few(t) for t in sets]
+        pool = kind(blobs)
+        root = list(range(len(sets)))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+        for i, j in jaccard._links(list(range(len(sets))), pool):
+            root[find(i)] = find(j)
+        for i in range(len(sets)):
+            for j in np.flatnonzero(pool.alike(slice(None), i) >= pool.maybe):
+                assert find(i) == find(int(j))
+
+
 def test_one_of_each(docs):
     left = jaccard.one_of_each(docs)
     assert left.columns == docs.columns
