@@ -386,10 +386,19 @@ def reports_shaped(spark, sf):
         F.sha2("description", 256).alias("digest"))
 
 
+@query("reports_whole", f"""
+  SELECT address, CAST(doc_id AS VARCHAR) AS id, category,
+         CAST(length(text) AS BIGINT) AS n_chars, sha256(text) AS digest FROM ({_REPORTS_SQL})""")
+def reports_whole(spark, sf):
+    return RP.whole_reports(_raw_reports(spark, sf)).select(
+        "address", "id", "category", F.length("description").cast("bigint").alias("n_chars"),
+        F.sha2("description", 256).alias("digest"))
+
+
 @query("report_categories", f"""
   SELECT address, category, CAST(count(*) AS BIGINT) AS n FROM ({_REPORTS_SQL}) GROUP BY 1, 2""")
 def report_categories(spark, sf):
-    return RP.report_categories(RP.shape_reports(_raw_reports(spark, sf))).drop("chain")
+    return RP.report_categories(RP.whole_reports(_raw_reports(spark, sf))).drop("chain")
 
 
 @query("report_labels", f"""
@@ -399,7 +408,7 @@ def report_categories(spark, sf):
     FROM (SELECT address, category, count(*) AS n FROM ({_REPORTS_SQL}) GROUP BY 1, 2))
   WHERE k <= 4 GROUP BY 1""")
 def report_labels(spark, sf):
-    reports = RP.shape_reports(_raw_reports(spark, sf))
+    reports = RP.whole_reports(_raw_reports(spark, sf))
     return RP.top_categories(RP.report_categories(reports)).drop("chain")
 
 

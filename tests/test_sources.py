@@ -221,6 +221,17 @@ def test_scam_reports(spark):
     assert got["1Aa"][1] is True
 
 
+def test_scam_reports_are_stored_whole(spark):
+    many = [(f"a{i}", "bitcoin", None) for i in range(25)]
+    report = ("1", None, "2024", True, None, False, "x" * 1300 + "end", many, [(1.0, "BTC")] * 12)
+    bare = ("2", None, "2024", True, None, False, None, None, None)
+    raw = spark.createDataFrame([(EVM, "ethereum", "2024-05-01T00:00:00+00:00", 0, [report, bare])],
+                                S.SCAM_REPORTS)
+    got = {r.id: (r.description, r.address_count, len(r.other_addresses), len(r.losses))
+           for r in RP.whole_reports(raw).collect()}
+    assert got == {"1": ("x" * 1300 + "end", 25, 25, 12), "2": ("", 0, 0, 0)}
+
+
 def test_broken_blacklist_raises(spark, tmp_path):
     for i, text in enumerate(('{"error": "busy"}', "<html>", "")):
         bad = write(tmp_path / f"b{i}.json", text)
