@@ -184,7 +184,9 @@ def collapse_chains(flows: DataFrame, members: DataFrame) -> DataFrame:
 
 def fold_minor(view: DataFrame, nodes: DataFrame) -> DataFrame:
     """A wallet with more than six dead-end flows keeps the three largest and
-    gets one stub edge per asset for the rest, with their number and value.
+    gets one stub edge per asset for the rest, with their number, value, USD and
+    movements.  As in a flow, the USD are those known, null where none are, and
+    complete where all are.
 
     The rest is total minus shown, so the flows of a hub are never gathered."""
     at = ["trace_id", "chain"]
@@ -205,21 +207,24 @@ def fold_minor(view: DataFrame, nodes: DataFrame) -> DataFrame:
     shown = front.filter((F.col("_leaves") <= LEAF_LIMIT) | (F.col("_n") <= LEAVES_SHOWN)) \
         .select(*view.columns)
     big = counts.filter(F.col("_leaves") > LEAF_LIMIT).select(*parent)
-    total = leaf.join(big, parent, "left_semi").groupBy(*parent, "asset").agg(
-        F.sum("value_raw").alias("_raw"), F.sum("value").alias("_value"),
-        F.count(F.lit(1)).alias("_all"))
+
+    def sums(prefix):
+        return [F.sum("value_raw").alias(f"{prefix}_raw"), F.sum("value").alias(f"{prefix}_value"),
+                F.sum("usd_cents").alias(f"{prefix}_usd"), F.count("usd_cents").alias(f"{prefix}_known"),
+                F.count_if(~F.coalesce("usd_complete", F.lit(False))).alias(f"{prefix}_partly"),
+                F.sum("n_movements").alias(f"{prefix}_moves"), F.count(F.lit(1)).alias(f"{prefix}_n")]
+    total = leaf.join(big, parent, "left_semi").groupBy(*parent, "asset").agg(*sums("_all"))
     top = front.filter((F.col("_leaves") > LEAF_LIMIT) & (F.col("_n") <= LEAVES_SHOWN)) \
-        .groupBy(*parent, "asset").agg(
-        F.sum("value_raw").alias("_top_raw"), F.sum("value").alias("_top_value"),
-        F.count(F.lit(1)).alias("_top"))
-    zero = F.lit(0)
+        .groupBy(*parent, "asset").agg(*sums("_top"))
+
+    def rest(of):
+        return F.col(f"_all_{of}") - F.coalesce(f"_top_{of}", F.lit(0))
     stub = total.join(top, [*parent, "asset"], "left").select(
         *at, "from_address", F.concat(F.lit("stub:"), "from_address").alias("to_address"),
-        "asset", (F.col("_value") - F.coalesce("_top_value", zero)).alias("value"),
-        (F.col("_raw") - F.coalesce("_top_raw", zero)).alias("value_raw"),
-        F.lit(None).cast("bigint").alias("usd_cents"), F.lit(False).alias("usd_complete"),
-        F.lit(0).cast("bigint").alias("n_movements"), F.lit("stub").alias("kind"),
-        (F.col("_all") - F.coalesce("_top", zero)).alias("n_members")) \
+        "asset", rest("value").alias("value"), rest("raw").alias("value_raw"),
+        F.when(rest("known") > 0, rest("usd")).alias("usd_cents"),
+        (rest("partly") == 0).alias("usd_complete"), rest("moves").alias("n_movements"),
+        F.lit("stub").alias("kind"), rest("n").alias("n_members")) \
         .filter("n_members > 0")
     leaf_key = leaf.select(*at, "from_address", "to_address", "asset")
     others = view.join(leaf_key, [*at, "from_address", "to_address", "asset"], "left_anti")

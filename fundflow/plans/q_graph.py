@@ -312,6 +312,30 @@ def minor_fold(spark, sf):
         "trace_id", "from_address", "to_address", "asset", "value_raw", "kind", "n_members")
 
 
+# The same fold with USD and movement counts, which minor_fold does not compare.
+_FLOWS_USD = ("flows", _FLOWS[1].replace("AS usd_cents FROM", """AS usd_cents,
+         bool_and(usd_cents IS NOT NULL) AS complete, count(*) AS moves FROM"""))
+_VIEW_USD = ("view", _VIEW[1].replace("usd_cents, 'flow'", "usd_cents, complete, moves, 'flow'")
+             .replace("f.usd_cents, 'chain'", "f.usd_cents, f.complete, f.moves, 'chain'"))
+
+
+@query("minor_fold_usd", O.with_fx(["fx_ledger_facts"], """
+  SELECT trace_id, src AS from_address, dst AS to_address, asset, usd_cents,
+         complete AS usd_complete, CAST(moves AS BIGINT) AS n_movements, kind FROM view v
+  WHERE (trace_id, src, dst, asset) NOT IN (SELECT trace_id, src, dst, asset FROM leaf
+    WHERE n > 6 AND k > 3) OR kind = 'chain'
+  UNION ALL SELECT trace_id, src, 'stub:' || src, asset, CAST(sum(usd_cents) AS BIGINT),
+         bool_and(complete), CAST(sum(moves) AS BIGINT), 'stub'
+  FROM leaf WHERE n > 6 AND k > 3 GROUP BY 1, 2, 4""",
+                                   [*CUST_USD, _FLOWS_USD, _PASS, _RUNS, _MEMBERS, _VIEW_USD, _LEAF],
+                                   recursive=True))
+def minor_fold_usd(spark, sf):
+    run = R.customers(spark, sf)
+    return V.fold_minor(_chain_view(spark, sf)[0], run.nodes).select(
+        "trace_id", "from_address", "to_address", "asset", "usd_cents", "usd_complete",
+        "n_movements", "kind")
+
+
 @query("overlay_exits", O.with_fx(["fx_facts", "fx_ranked_labels"], """
   SELECT CAST(7 AS BIGINT) AS case_id, f.address, l.entity FROM (
     SELECT DISTINCT next AS address FROM t_edges) x

@@ -307,6 +307,23 @@ def test_minor_branches_fold_to_a_stub(spark):
     assert out.filter("from_address = 'q'").count() == 6
 
 
+def test_stub_keeps_usd_and_movements(spark):
+    """Assets whose rest is known in full, in part and not at all."""
+    rows = [(1, "fx", "p", f"{a}{i}", a, float(i), i * 100, usd, full, i)
+            for i, a, usd, full in [
+                (1, "A", 10, True), (2, "A", 20, True), (9, "A", 90_000, True),
+                (3, "B", 30, True), (4, "B", None, False), (8, "B", None, False),
+                (5, "C", None, False), (7, "C", 50_000, True), (6, "D", 40_000, True)]]
+    view = frame(spark, rows, "trace_id bigint, chain string, from_address string, "
+                 "to_address string, asset string, value double, value_raw bigint, "
+                 "usd_cents bigint, usd_complete boolean, n_movements bigint") \
+        .withColumns({"kind": F.lit("flow"), "n_members": F.lit(0).cast("bigint")})
+    out = V.fold_minor(view, _nodes(spark, [r[3] for r in rows]))
+    assert values(out.filter("kind = 'stub'"), "asset", "n_members", "value_raw", "usd_cents",
+                  "usd_complete", "n_movements") == [
+        ("A", 2, 300, 30, True, 3), ("B", 3, 1500, 30, False, 15), ("C", 1, 500, None, False, 5)]
+
+
 def test_freeze_schedule_numbers_by_time(spark):
     rows = [("t1", 200_000, "b", "x", "USDT", 5), ("t2", None, "c", "x", "USDT", 7),
             ("t3", 100, "b", "x", "USDC", 9)]
