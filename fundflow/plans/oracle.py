@@ -97,6 +97,11 @@ FX["fx_cospend"] = """
          'c' || o_custkey AS address
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity >= 40"""
 
+FX["fx_cospend_all"] = """
+  SELECT DISTINCT l_suppkey || '|' || CAST(l_shipdate AS DATE) || '|' || l_partkey % 5 AS txid,
+         'c' || o_custkey AS address
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey"""
+
 FX["fx_cj_in"] = """
   SELECT DISTINCT l_suppkey || '|' || strftime(l_shipdate, '%Y-%m') AS txid,
          'c' || o_custkey AS address

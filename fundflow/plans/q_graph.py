@@ -13,7 +13,7 @@ from fundflow.operators import graphview as V
 from fundflow.plans import fixtures as X
 from fundflow.plans import oracle as O
 from fundflow.plans import runs as R
-from fundflow.plans.catalog import query
+from fundflow.plans.catalog import ORACLES, query
 from fundflow.plans.q_findings import CUST_USD, NATION_USD, SHOWN, U5_FX, U5_USD
 from fundflow.session import materialise
 
@@ -92,7 +92,10 @@ def cluster_rollup(spark, sf):
      WHERE k <= 25 GROUP BY 1) e ON e.component = a.component""", [*_COMP, _EVID],
                                    recursive=True))
 def cluster_listed(spark, sf):
-    members, linking = R.members(spark, sf), X.cospend(spark, sf)
+    return _listed(R.members(spark, sf), X.cospend(spark, sf))
+
+
+def _listed(members, linking):
     a = C.listed(members, "address", C.LISTED_ADDRESSES)
     e = C.listed(C.evidence_tx(members, linking), "txid", C.LISTED_EVIDENCE)
     return a.join(e, "component").select(
@@ -148,6 +151,11 @@ def _clusters(spark, sf):
                       _customer_labels(spark, sf))
 
 
+def _clusters_all(spark, sf):
+    return C.clusters(R.members_all(spark, sf), X.cospend_all(spark, sf),
+                      R.nations(spark, sf).nodes, _customer_labels(spark, sf))
+
+
 @query("clusters", O.with_fx(_CLUSTER_FX, "SELECT * FROM clusters",
                              [*NATION_USD, *_CLUSTERS], recursive=True))
 def clusters(spark, sf):
@@ -166,6 +174,52 @@ def finding_cluster(spark, sf):
     return G.address_cluster(_clusters(spark, sf)).select(*SHOWN)
 
 
+# ------------------------------------------- clusters over every line item
+
+
+def _all_lines(name: str) -> str:
+    """The statement of a query above, on the co-spends of every line."""
+    return ORACLES[name].replace(O.FX["fx_cospend"], O.FX["fx_cospend_all"])
+
+
+@query("cospend_edges_all", _all_lines("cospend_edges"))
+def cospend_edges_all(spark, sf):
+    return C.cospend_edges(X.cospend_all(spark, sf))
+
+
+@query("components_all", _all_lines("components"))
+def components_all(spark, sf):
+    return R.members_all(spark, sf)
+
+
+@query("cluster_rollup_all", _all_lines("cluster_rollup"))
+def cluster_rollup_all(spark, sf):
+    return C.cluster_rollup(R.members_all(spark, sf), X.cospend_all(spark, sf))
+
+
+@query("cluster_listed_all", _all_lines("cluster_listed"))
+def cluster_listed_all(spark, sf):
+    return _listed(R.members_all(spark, sf), X.cospend_all(spark, sf))
+
+
+@query("cluster_service_all", _all_lines("cluster_service"))
+def cluster_service_all(spark, sf):
+    return C.service_label(R.members_all(spark, sf), R.nations(spark, sf).nodes,
+                           _customer_labels(spark, sf)).drop("chain")
+
+
+@query("clusters_all", _all_lines("clusters"))
+def clusters_all(spark, sf):
+    return _clusters_all(spark, sf).select(
+        "trace_id", "component", "n_traced", "first_traced", "size", "evidence_count",
+        "confidence", "service_label", "cluster_id")
+
+
+@query("finding_cluster_all", _all_lines("finding_cluster"))
+def finding_cluster_all(spark, sf):
+    return G.address_cluster(_clusters_all(spark, sf)).select(*SHOWN)
+
+
 # ------------------------------------------------------------------ overlay
 
 _TRACES = ("traces", """

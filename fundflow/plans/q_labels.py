@@ -11,7 +11,7 @@ from fundflow.operators import tables as TB
 from fundflow.plans import fixtures as X
 from fundflow.plans import oracle as O
 from fundflow.plans import runs as R
-from fundflow.plans.catalog import query
+from fundflow.plans.catalog import ORACLES, query
 from fundflow.plans.q_trace import u5_ctes
 from fundflow.sources import labels as L
 from fundflow.sources import packs as PK
@@ -31,10 +31,14 @@ _TAGS_SQL = f"""
 
 
 def _tags(spark, sf):
+    return _all_tags(spark, sf).filter(F.col("l_linenumber") != 3)
+
+
+def _all_tags(spark, sf):
     def pick(values, at):
         return F.get(F.array(*[F.lit(v) for v in values]), at.cast("int"))
     o, n = F.col("l_orderkey"), F.col("l_linenumber")
-    rows = X.table(spark, sf, "lineitem").filter(n != 3).select(
+    rows = X.table(spark, sf, "lineitem").select(
         F.concat(F.lit("0x"), F.lpad(F.col("l_suppkey").cast("string"), 40, "0"))
         .alias("address"), pick(_SLUGS, (o + n) % 6).alias("label"),
         pick(_NAMES, (o * 3 + n) % 5).alias("nameTag"), o, n, F.col("l_partkey"))
@@ -65,13 +69,31 @@ def labels_best_per_address(spark, sf):
     SELECT *, CASE WHEN tag = '' THEN slug ELSE tag END AS name FROM ({_TAGS_SQL}))
   GROUP BY 1""")
 def labels_categories(spark, sf):
+    return _categories(_tags(spark, sf))
+
+
+def _categories(rows):
     from fundflow.functions.text import tag_category
-    rows = _tags(spark, sf)
     name = F.coalesce(F.when(F.col("nameTag") != "", F.col("nameTag")), F.col("label"))
     return rows.groupBy(tag_category(F.col("label"), name).alias("category")).agg(
         F.count(F.lit(1)).alias("n"))
 
 
+def _all_items(name: str) -> str:
+    """The statement of a query above, on the tags of every line."""
+    return ORACLES[name].replace(" WHERE l_linenumber <> 3", "")
+
+
+@query("labels_best_per_address_all", _all_items("labels_best_per_address"))
+def labels_best_per_address_all(spark, sf):
+    return L.best_tags(_all_tags(spark, sf), "ord")
+
+
+@query("labels_categories_all", _all_items("labels_categories"))
+def labels_categories_all(spark, sf):
+    return _categories(_all_tags(spark, sf))
+
+
 # ------------------------------------------------- replace, upsert, inventory
 
 @query("labels_replace", O.with_fx(["fx_labels", "fx_wallets"], """
@@ -82,7 +104,17 @@ def labels_categories(spark, sf):
   GROUP BY 1"""))
 def labels_replace(spark, sf):
     """The seed source is replaced by a snapshot that repeats its keys."""
-    fresh = X.table(spark, sf, "events").filter("event_id % 3 = 0").select(
+    return _replaced(spark, sf, X.table(spark, sf, "events").filter("event_id % 3 = 0"))
+
+
+@query("labels_replace_all", ORACLES["labels_replace"].replace(" WHERE event_id % 3 = 0", ""))
+def labels_replace_all(spark, sf):
+    """The same with a snapshot of every event."""
+    return _replaced(spark, sf, X.table(spark, sf, "events"))
+
+
+def _replaced(spark, sf, events):
+    fresh = events.select(
         F.concat(F.lit("u"), "user_id").alias("address"), F.lit(X.CHAIN).alias("chain"),
         F.concat(F.lit("New "), "event_id").alias("entity_name"),
         F.lit(S.EXCHANGE).alias("category"), F.lit("medium").alias("confidence"),

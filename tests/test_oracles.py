@@ -25,5 +25,19 @@ def test_every_query_has_a_statement():
     assert set(QUERIES) == set(ORACLES)
 
 
+def test_whole_tables_are_read(spark, sf):
+    """Statements without a filter on lines or events, and every row in the results."""
+    from fundflow.plans import fixtures as X
+    for name in ("cospend_edges", "components", "cluster_rollup", "cluster_listed", "cluster_service",
+                 "clusters", "finding_cluster", "labels_best_per_address", "labels_categories",
+                 "labels_replace"):
+        for cut in ("l_quantity >= 40", "l_linenumber <> 3", "event_id % 3 = 0"):
+            assert cut not in ORACLES[f"{name}_all"]
+    lines = X.table(spark, sf, "lineitem")
+    assert QUERIES["labels_categories_all"](spark, sf).agg({"n": "sum"}).first()[0] == lines.count()
+    keys = lines.selectExpr("concat_ws('|', l_suppkey, to_date(l_shipdate), l_partkey % 5) AS txid").distinct()
+    assert X.cospend_all(spark, sf).select("txid").distinct().count() == keys.count()
+
+
 def test_entry_runs(spark):
     assert entry.entry(spark).count() == 32 + 76
