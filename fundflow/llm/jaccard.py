@@ -14,7 +14,8 @@ size, so every link within them is found and counted without listing pairs.
 
 Defined cases: a text of one to four words has one shingle of all its words; a
 text without words, or null, has none and no link; documents that repeat are
-copies of one another; rows with a null id keep their class but represent none.
+copies of one another; rows with a null id are in classes as others are, but
+give a class no id.
 """
 
 from __future__ import annotations
@@ -350,11 +351,12 @@ def _tokens(batches):
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, n_links, c1, key): the class of every document (its smallest
-    id) and the number of other documents with similarity of 0.8 or more."""
+    """(doc_id, class_id, n_links, c1, key, component): the class of every document (its
+    smallest id, and a key that no other class has, null without words) and the number
+    of other documents with similarity of 0.8 or more."""
     all_sets = materialise(sets(docs), "shingle-sets", rebalance=False)
     reps = materialise(all_sets.filter("key IS NOT NULL").groupBy("key").agg(
-        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"),
+        F.min("doc_id").alias("rep"), F.min(F.struct(F.isnull("doc_id"), "doc_id", "c1")).alias("whose"), F.count(F.lit(1)).alias("copies"),
         F.first("sketch").alias("sketch"), F.first("few").alias("few"), F.first("paths").alias("paths")), "representatives", rebalance=False)
     edges = materialise(candidates(reps), "candidates")
     groups = materialise(components(edges), "candidate-groups").select(
@@ -362,8 +364,10 @@ def join(docs: DataFrame) -> DataFrame:
     sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     placed = groups.join(sizes, "component").withColumn(
         "block", F.pmod(F.xxhash64("key"), F.col("blocks")))
-    picked = placed.join(reps.select("key", "rep", "copies"), "key").filter("rep IS NOT NULL")
-    whole = common.texts(docs).join(picked.withColumnRenamed("rep", "doc_id"), "doc_id")
+    picked = placed.join(reps.select("key", F.col("whose.doc_id").alias("_id"), F.col("whose.c1").alias("_c1"),
+                                     "copies"), "key")
+    texts = common.texts(docs)
+    whole = texts.join(picked, texts["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(texts["text"]) == F.col("_c1")))
     mine = whole.select("text", "key", "component", "copies", "block", "blocks").mapInArrow(
         _tokens, "key string, component string, copies long, block long, blocks long, tokens array<long>")
     pairs = mine.withColumn("peer", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))) \
@@ -378,20 +382,20 @@ def join(docs: DataFrame) -> DataFrame:
         .withColumn("component", F.coalesce("component", "key"))
     least = per_key.groupBy("component").agg(F.min("rep").alias("class_id"))
     known = per_key.join(least, "component").select(
-        "key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        "key", "component", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return all_sets.select("doc_id", "c1", "key").join(known, "key", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "c1", "key")
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "c1", "key", "component")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """Documents without all but the first of each class; those without words,
     and copies of no other, stay."""
     classes = materialise(join(docs), "classes", rebalance=False)
-    first = classes.groupBy("class_id").agg(F.min(F.struct("doc_id", "c1")).alias("stays"))
-    goes = classes.join(first, "class_id").filter(
+    first = classes.filter("component IS NOT NULL").groupBy("component").agg(
+        F.min(F.struct(F.isnull("doc_id"), "doc_id", "c1")).alias("stays"))
+    goes = classes.join(first, "component").filter(
         ~(F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("c1") == F.col("stays.c1")))) \
-        .filter("key IS NOT NULL") \
         .select(F.col("doc_id").alias("_id"), F.col("c1").alias("_c1"))
     rows = docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     left = rows.join(goes, rows["doc_id"].eqNullSafe(goes["_id"]) & (rows["_text_hash"] == goes["_c1"]),

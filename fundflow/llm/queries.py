@@ -76,7 +76,7 @@ def op8_blocks(spark, sf_dir):
 
 @query
 def op9_jaccard(spark, sf_dir):
-    return jaccard.join(common.table(spark, sf_dir, "documents")).drop("c1", "key")
+    return jaccard.join(common.table(spark, sf_dir, "documents")).drop("c1", "key", "component")
 
 
 @query

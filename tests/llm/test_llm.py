@@ -171,6 +171,16 @@ def test_one_of_each(docs):
     assert kept.count(5) == 1 and 6 not in kept and 7 not in kept and 8 in kept
 
 
+def test_one_of_each_with_reused_and_null_ids(spark):
+    """One id on unlike texts joins no classes; near copies without ids are found."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (1, ""), (2, a + " more"), (None, c), (None, c.upper()), (None, c + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.text) for r in jaccard.one_of_each(df).collect()]
+    assert sorted(t for d, t in got if d is not None) == sorted(["", a, b])
+    assert len(got) == 4 and [t.lower().replace(" more", "") for d, t in got if d is None] == [c]
+
+
 def test_bpe(docs, texts):
     library = Tokenizer.from_file(BPE)
     library.no_truncation()
