@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundflow.llm import (
-    blocks, bpe, common, decontaminate, jaccard, language, licences, quality, secrets_ledger,
-    suffixes, toxicity)
+    blocks, bpe, common, decontaminate, forest, jaccard, language, licences, merkle,
+    quality, secrets_ledger, suffixes, toxicity, whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +85,19 @@ def op10_language(spark, sf_dir):
     held = common.bucket_of("doc_id", 5) == 0
     out = language.predict(docs, language.learn(docs.filter(~held).select("doc_id", "text", "lang")))
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op11_whitening(spark, sf_dir):
+    grid = whitening.on_grid(common.table(spark, sf_dir, "embeddings"))
+    return whitening.by_component(grid, whitening.fit(grid))
+
+
+@query
+def op12_forest(spark, sf_dir):
+    return forest.nearest(common.table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+@query
+def op13_merkle(spark, sf_dir):
+    return merkle.manifest(common.table(spark, sf_dir, "documents"), merkle.without_newlines())
