@@ -24,10 +24,13 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fundflow import session
 from fundflow.llm import common
 from fundflow.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
+# the removers name this module as a whole, and with it what it imports
+cloudpickle.register_pickle_by_value(session)
 
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
