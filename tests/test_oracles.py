@@ -6,8 +6,9 @@ import pytest
 from check_oracles import compare, connect
 
 import __spark_entry__ as entry
+from fundflow.plans import catalog
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -23,6 +24,7 @@ def test_query_matches_sql(spark, sf, con, name):
 
 def test_every_query_has_a_statement():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 def test_whole_tables_are_read(spark, sf):
