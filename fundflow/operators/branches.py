@@ -1,7 +1,8 @@
 """What happens to the movements of one expanded wallet.
 
 Every movement of an expanded wallet ends in exactly one state, tested in this
-order: ``self`` (change to the same wallet), ``dust``, ``time`` (impossible
+order: ``capped`` (older than the newest transactions that are read, where
+there is such a limit), ``self`` (change to the same wallet), ``dust``, ``time`` (impossible
 order of events) or ``eligible``.  A search pattern then follows some of the
 eligible ones; the rest are counted, never dropped silently.
 """
@@ -28,10 +29,13 @@ def is_out_of_time(ts: Column, bound: Column, direction: str) -> Column:
     return F.coalesce(late, F.lit(False))
 
 
-def movement_status(direction: str, limits=None, token=DUST_TOKEN) -> Column:
-    """State of a movement joined to the ``bound`` of its wallet."""
+def movement_status(direction: str, limits=None, token=DUST_TOKEN,
+                    beyond: Column | None = None) -> Column:
+    """State of a movement joined to the ``bound`` of its wallet.  ``beyond``
+    marks one that is not among the newest transactions that are read at all."""
     c = F.col
-    return (F.when(c("is_self_transfer"), "self")
+    beyond = F.lit(False) if beyond is None else beyond
+    return (F.when(beyond, "capped").when(c("is_self_transfer"), "self")
             .when(is_dust(c("asset"), c("value"), limits, token), "dust")
             .when(is_out_of_time(c("ts"), c("bound"), direction), "time")
             .otherwise("eligible"))
@@ -61,7 +65,8 @@ def branch_order() -> list[Column]:
             F.col("txid"), F.col("next_address")]
 
 
-def select_branches(eligible: DataFrame, group: list[str], pattern: str) -> DataFrame:
+def select_branches(eligible: DataFrame, group: list[str], pattern: str,
+                    totals: DataFrame | None = None) -> DataFrame:
     """Rows of ``eligible`` that the search pattern follows, per group and asset.
 
     Rapid keeps at most three of the largest movements while the value before
@@ -73,6 +78,7 @@ def select_branches(eligible: DataFrame, group: list[str], pattern: str) -> Data
     A wallet may hold any share of the ledger: the top rows come from
     ``row_number() <= k``, which Spark limits per group before the shuffle, and
     the totals from a partial aggregate, so no group is gathered in one task.
+    ``totals`` (``branch_totals``) may be given when they are known already.
     """
     if pattern == S.THOROUGH:
         return eligible
@@ -82,82 +88,59 @@ def select_branches(eligible: DataFrame, group: list[str], pattern: str) -> Data
     valued = eligible.withColumn("_amount", display_units(F.col("value")))
     top = valued.withColumn("_rank", F.row_number().over(ranked)) \
         .filter(F.col("_rank") <= k)
-    totals = valued.groupBy(*keys).agg(
-        F.try_sum("_amount").alias("_sum"), F.count(F.lit(1)).alias("_n"))
-    totals = totals.withColumn(
-        "_n_all", F.sum("_n").over(Window.partitionBy(*group))) \
-        .withColumn("_total", F.when(F.col("_sum") == 0, 1).otherwise(F.col("_sum")))
-    rows = top.join(totals.select(*keys, "_total", "_n_all"), keys)
+    if totals is None:
+        totals = valued.groupBy(*keys).agg(
+            F.try_sum("_amount").alias("eligible_amount"), F.count(F.lit(1)).alias("n_eligible"))
+    totals = totals.select(
+        *keys, F.sum("n_eligible").over(Window.partitionBy(*group)).alias("_n_all"),
+        F.when(F.col("eligible_amount") == 0, 1).otherwise(F.col("eligible_amount")).alias("_total"))
+    rows = top.join(totals, keys)
     if pattern == S.RAPID:
         before = Window.partitionBy(*keys).orderBy("_rank").rowsBetween(
             Window.unboundedPreceding, -1)
         rows = rows.withColumn("_before",
-                               F.coalesce(F.sum("_amount").over(before), F.lit(0)))
-        keep = F.col("_before") * 10 < F.try_multiply("_total", F.lit(8))
+                               F.coalesce(F.try_sum("_amount").over(before), F.lit(0)))
+        keep = F.try_multiply("_before", F.lit(10)) < F.try_multiply("_total", F.lit(8))
     else:
-        keep = F.col("_amount") * 20 >= F.col("_total")
+        keep = F.try_multiply("_amount", F.lit(20)) >= F.col("_total")
     keep = (F.col("_n_all") <= 1) | F.coalesce(keep, F.lit(True))
     return rows.filter(keep).select(*eligible.columns)
 
 
-def keep_newest(eligible: DataFrame, group: list[str], n: int) -> DataFrame:
-    """The n newest transactions per group and transfer kind.  Adds ``capped``
-    (the limit was reached, so older movements may be missing)."""
-    keys = [*group, "_kind"]
-    newest = Window.partitionBy(*keys).orderBy(
-        F.col("ts").desc_nulls_last(), F.col("txid"))
-    kept = (eligible.withColumn("_kind", F.coalesce(F.col("transfer_kind"), F.lit("")))
-            .withColumn("_nth", F.dense_rank().over(newest))
-            .filter(F.col("_nth") <= n))
-    reached = kept.groupBy(*group).agg((F.max("_nth") >= n).alias("capped"))
-    return kept.drop("_kind", "_nth").join(reached, group)
+ACCOUNTS = ("n_self", "n_dust", "dust_raw", "n_time", "n_eligible", "eligible_raw", "n_capped")
 
 
-def account(candidates: DataFrame, edges: DataFrame, group: list[str]) -> DataFrame:
-    """Honest accounting per group and asset: one row holds how many movements
-    (and how much) were self transfers, dust, out of time, eligible, followed
-    and skipped.  Skipped is the difference, so nothing can be lost."""
-    keys = [*group, "asset"]
-    rows = candidates.select(*keys, "status", "value_raw").unionByName(
-        edges.select(*keys, F.lit("followed").alias("status"), "value_raw"))
-
+def account(rows: DataFrame, group: list[str]) -> DataFrame:
+    """Honest accounting per group and asset of movements with a ``status``: how
+    many (and how much) were self transfers, dust, out of time, eligible or
+    beyond the newest ones; ``eligible_amount`` is their sum in display units."""
     def n(state):
         return F.count_if(F.col("status") == state)
 
     def total(state):
         return F.coalesce(F.try_sum(F.when(F.col("status") == state, F.col("value_raw"))),
                           F.lit(0))
-    out = rows.groupBy(*keys).agg(
+    return rows.groupBy(*group, "asset").agg(
         n("self").alias("n_self"), n("dust").alias("n_dust"),
         total("dust").alias("dust_raw"), n("time").alias("n_time"),
         n("eligible").alias("n_eligible"), total("eligible").alias("eligible_raw"),
-        n("followed").alias("n_followed"), total("followed").alias("followed_raw"))
-    return _skipped(out.withColumn("n_capped", F.lit(0).cast("bigint"))
-                    .withColumn("capped", F.lit(False)))
+        n("capped").alias("n_capped"), F.try_sum(F.when(
+            F.col("status") == "eligible", display_units(F.col("value")))).alias("eligible_amount"))
 
 
-def _skipped(accounting: DataFrame) -> DataFrame:
-    return (accounting
+def account_followed(accounts: DataFrame, edges: DataFrame, group: list[str]) -> DataFrame:
+    """Accounts with what was followed and, as the difference, skipped, so that
+    nothing can be lost."""
+    keys = [*group, "asset"]
+    walked = edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_followed"),
+                                      F.try_sum("value_raw").alias("followed_raw"))
+    return (accounts.join(walked, keys, "left")
+            .withColumn("n_followed", F.coalesce(F.col("n_followed"), F.lit(0)))
+            .withColumn("followed_raw", F.coalesce(F.col("followed_raw"), F.lit(0)))
             .withColumn("n_skipped", F.col("n_eligible") - F.col("n_followed"))
             .withColumn("skipped_raw", F.col("eligible_raw") - F.col("followed_raw")))
 
 
-def account_newest(accounting: DataFrame, kept: DataFrame, group: list[str]) -> DataFrame:
-    """Move the eligible movements beyond the newest n into ``n_capped``."""
-    keys = [*group, "asset"]
-    left = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
-                                   F.try_sum("value_raw").alias("_raw"))
-    reached = kept.groupBy(*group).agg(F.max("capped").alias("_reached"))
-    n_kept = F.coalesce(F.col("_n"), F.lit(0))
-    return _skipped(
-        accounting.join(left, keys, "left").join(reached, group, "left")
-        .withColumn("n_capped", F.col("n_eligible") - n_kept)
-        .withColumn("n_eligible", n_kept)
-        .withColumn("eligible_raw", F.coalesce(F.col("_raw"), F.lit(0)))
-        .withColumn("capped", F.coalesce(F.col("_reached"), F.lit(False)))
-        .drop("_n", "_raw", "_reached"))
-
-
 def unexamined(accounting: DataFrame) -> DataFrame:
     """Branches a pattern chose not to follow, per wallet and asset."""
     return accounting.filter(F.col("n_skipped") > 0)

@@ -1,9 +1,12 @@
 """Bounded, time-consistent, label-stopped traversal of many traces at once.
 
-The traversal runs level by level.  One level is four declarative steps, each
-written once: join the frontier to the ledger, mark every movement with its
-state, follow what the pattern selects, reduce arrivals to new wallets.  The
-driver holds no rows; it only asks whether a level produced any edge.
+The traversal runs level by level.  What a wallet does depends on the wallet and
+its time bound, not on the trace that reached it, so one level examines every
+(wallet, bound) of its frontier once: join it to the ledger, count the state of
+every movement, select what the pattern follows.  Traces then meet the selected
+movements only; what is written per level is one account per wallet and asset,
+the edges, and the new wallets.  The driver holds no rows; it only asks whether
+a level produced any edge.
 
 Rules that fix the result independently of execution order:
 
@@ -23,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundflow import schemas as S
+from fundflow.functions import order as N
 from fundflow.functions.amounts import DUST_TOKEN, order_value
 from fundflow.operators import branches as B
 from fundflow.operators import classify as C
@@ -70,7 +74,6 @@ class TraceResult:
     params: TraceParams
     nodes: DataFrame
     edges: DataFrame
-    candidates: DataFrame
     accounting: DataFrame
     focus: DataFrame | None = None
 
@@ -99,7 +102,6 @@ def expand(frontier: DataFrame, movements, direction: str,
     alone decides; it has no broadcast hint, because the frontier is a written
     table whose measured size selects the strategy, and AQE splits skewed
     wallets of a shuffled join."""
-    frontier = frontier.select(*NODE_KEY, "depth", "bound")
     if hasattr(movements, "expand"):
         return movements.expand(frontier, direction)
     ledger = ledger_side(movements, direction)
@@ -117,7 +119,7 @@ def short_list(frontier: DataFrame, most: int = PRUNE_WALLETS) -> list[str] | No
     return sorted({r.address for r in probe}) if len(probe) <= most else None
 
 
-def ledger_side(movements: DataFrame, direction: str) -> DataFrame:
+def ledger_side(movements: DataFrame, direction: str, *more: str) -> DataFrame:
     """Movements keyed by the wallet being examined (``address``)."""
     here, there = ("to_address", "from_address") if direction == S.BACKWARD \
         else ("from_address", "to_address")
@@ -125,7 +127,7 @@ def ledger_side(movements: DataFrame, direction: str) -> DataFrame:
         else F.lit(None).cast("string")
     return movements.select(
         "chain", F.col(here).alias("address"), F.col(there).alias("next_address"),
-        *_MOVE[:-1], kind.alias("transfer_kind"))
+        *_MOVE[:-1], kind.alias("transfer_kind"), *more)
 
 
 def arrivals(edges: DataFrame, direction: str) -> DataFrame:
@@ -144,39 +146,41 @@ def not_visited(arrived: DataFrame, levels: list[DataFrame]) -> DataFrame:
     return arrived.join(visited, NODE_KEY, "left_anti")
 
 
-def cap_frontier(nodes: DataFrame, budget: DataFrame, limit: int) -> DataFrame:
-    """Per trace, let only the ``budget`` most valuable wallets be examined;
-    the others stay in the result as unexpanded."""
-    order = Window.partitionBy("trace_id").orderBy(
-        F.col("order_value").desc_nulls_last(), F.col("address"))
-    waiting = ~(F.col("is_exchange") | F.col("is_sanctioned"))
-    taken = (nodes.filter(waiting).withColumn("_nth", F.row_number().over(order))
-             .filter(F.col("_nth") <= limit)
-             .join(budget, "trace_id").filter(F.col("_nth") <= F.col("budget"))
-             .select(*NODE_KEY, F.lit(True).alias("_taken")))
-    out = nodes.join(taken, NODE_KEY, "left")
-    return out.withColumn(
-        "role", F.when(waiting & F.col("_taken").isNull(), S.UNEXPANDED)
-        .otherwise(F.col("role"))).drop("_taken")
-
+def spend_budget(level: DataFrame, drawn: DataFrame, levels: list[DataFrame],
+                 edges: list[DataFrame], params: TraceParams) -> tuple[DataFrame, DataFrame]:
+    """What the size caps let a level draw: its edges, and the wallets
+    (trace_id, chain, address) that are left unexpanded.
 
-def _budget(levels: list[DataFrame], edges: list[DataFrame],
-            params: TraceParams) -> DataFrame:
-    """Wallets each trace may still examine under its size caps."""
-    seen = levels[0].select("trace_id")
-    for level in levels[1:]:
-        seen = seen.unionByName(level.select("trace_id"))
-    out = seen.groupBy("trace_id").agg(F.count(F.lit(1)).alias("_nodes"))
-    drawn = edges[0].select("trace_id")
-    for level in edges[1:]:
-        drawn = drawn.unionByName(level.select("trace_id"))
-    out = out.join(drawn.groupBy("trace_id").agg(F.count(F.lit(1)).alias("_edges")),
-                   "trace_id", "left")
-    left = F.greatest(F.lit(params.max_addresses or 2**31 - 1) - F.col("_nodes"), F.lit(0))
-    if params.max_edges is not None:
-        left = F.when(F.coalesce(F.col("_edges"), F.lit(0)) >= params.max_edges, 0) \
-            .otherwise(left)
-    return out.select("trace_id", left.alias("budget"))
+    Wallets are examined in the order of the value that reached them.  One is
+    examined while the wallets and edges the trace holds so far, those found by
+    earlier wallets of this level included, are below the caps; a wallet found
+    twice counts for the first.  Running sums over the ordered frontier give
+    every wallet what came before it, however many wallets one trace has.
+    """
+    waiting = level.filter(~(F.col("is_exchange") | F.col("is_sanctioned")))
+    own = drawn.groupBy(*NODE_KEY).agg(F.count(F.lit(1)).alias("own_edges"))
+    order = [F.col("order_value").desc_nulls_last(), F.col("chain").asc(), F.col("address").asc()]
+    line = N.placed(waiting.select(*NODE_KEY, "order_value").join(own, NODE_KEY, "left"),
+                    ["trace_id"], order, "frontier")
+    found = not_visited(drawn.join(line.select(*NODE_KEY, "at"), NODE_KEY).select(
+        "trace_id", "chain", F.col("next_address").alias("address"), "at"), levels) \
+        .groupBy(*NODE_KEY).agg(F.min("at").alias("at")) \
+        .groupBy("trace_id", "at").agg(F.count(F.lit(1)).alias("own_nodes"))
+    sums = N.running(line.join(found, ["trace_id", "at"], "left"), ["trace_id"], {
+        "new_edges": F.coalesce(F.col("own_edges"), F.lit(0)),
+        "new_nodes": F.coalesce(F.col("own_nodes"), F.lit(0))})
+
+    def held(frames, name):
+        return _union([f.select("trace_id") for f in frames]).groupBy("trace_id").agg(
+            F.count(F.lit(1)).alias(name))
+    sums = sums.join(held(levels, "nodes"), "trace_id")
+    sums = sums.join(held(edges, "edges"), "trace_id", "left") if edges \
+        else sums.withColumn("edges", F.lit(0))
+    most = 2**62
+    full = (F.col("nodes") + F.col("new_nodes") >= F.lit(params.max_addresses or most)) \
+        | (F.coalesce(F.col("edges"), F.lit(0)) + F.col("new_edges") >= F.lit(params.max_edges or most))
+    denied = materialise(sums.filter(full).select(*NODE_KEY), "denied", rebalance=False)
+    return drawn.join(denied, NODE_KEY, "left_anti"), denied
 
 
 # ------------------------------------------------------------ focus payment
@@ -275,47 +279,97 @@ def trace_many(movements: DataFrame, seeds: DataFrame, facts: DataFrame,
             .withColumn("expand", F.coalesce(F.col("_whole"), F.lit(False))) \
             .drop("_whole", "focus_txid")
     first, n = materialise_observed(start, "nodes", _waiting())
-    levels = [first]
-    candidates, edges, newest = [], [], []
+    levels, edges, accounts, denied = [first], [], [], []
+    newest = None
+    if params.newest_n is not None:
+        newest = materialise(newest_of(movements, params.newest_n), "newest", rebalance=False)
+    beyond = None if newest is None else is_beyond(F.col("last"), F.col("ts"), F.col("txid"))
+    status = B.movement_status(params.direction, params.dust_limits, params.dust_token, beyond)
+    capped = params.max_addresses is not None or params.max_edges is not None
 
     for depth in range(hops):
-        if depth > 0 and n["waiting"] == 0:
+        if depth > 0 and n["waiting"] == 0 and not capped:
             break
-        frontier = levels[-1].filter("expand")
-        rows = expand(frontier, movements, params.direction, n["waiting"]) \
-            .withColumn("focused", F.lit(False))
-        if depth == 0 and judged is not None:
-            rows = rows.unionByName(focus_legs(judged, legs)
-                                    .withColumn("focused", F.lit(True)))
-        rows = rows.withColumn("status", B.movement_status(
-            params.direction, params.dust_limits, params.dust_token))
-        seen = materialise(rows, "candidates")
-        candidates.append(seen)
-        eligible = seen.filter("status = 'eligible'")
-        if params.newest_n is not None:
-            newest.append(materialise(
-                B.keep_newest(eligible, NODE_KEY, params.newest_n), "newest"))
-            eligible = newest[-1].drop("capped")
-        chosen = B.select_branches(eligible.filter(~F.col("focused")), NODE_KEY,
-                                   params.pattern)
+        frontier = levels[-1].filter("expand").select(*NODE_KEY, "bound", _since().alias("since"))
+        rows = expand(frontier.select(*EXAMINED, "bound").distinct(), movements, params.direction,
+                      n["waiting"])
+        if newest is not None:
+            rows = read_newest(rows, newest)
+        rows = rows.withColumn("status", status)
+        account = materialise(B.account(rows, EXAMINED), "accounts", rebalance=False)
+        accounts.append(frontier.drop("bound").join(account, EXAMINED)
+                        .withColumn("depth", F.lit(depth)))
+        chosen = B.select_branches(rows.filter("status = 'eligible'"), EXAMINED, params.pattern,
+                                   account)
+        chosen = frontier.drop("bound").join(chosen, EXAMINED)
         if depth == 0 and judged is not None:
-            chosen = chosen.unionByName(eligible.filter("focused"))
+            paid = focus_legs(judged, legs).withColumn("last", F.lit(None).cast(_LAST)) \
+                .withColumn("status", status)
+            accounts.append(B.account(paid, NODE_KEY).withColumn("depth", F.lit(0)))
+            chosen = chosen.unionByName(paid.filter("status = 'eligible'").select(
+                *(c for c in chosen.columns if c in paid.columns)), allowMissingColumns=True)
+        # the hint of a rebalance merges slivers of a small frontier
         drawn, n = materialise_observed(_as_edges(chosen, depth, params), "edges",
-                                        F.count(F.lit(1)).alias("edges"))
+                                        F.count(F.lit(1)).alias("edges"), rebalance=True)
+        if capped:
+            kept, left = spend_budget(levels[-1], drawn, levels, edges, params)
+            denied.append(left)
+            drawn, n = materialise_observed(kept, "edges", F.count(F.lit(1)).alias("edges"))
         edges.append(drawn)
         if n["edges"] == 0:
             break
         fresh = not_visited(arrivals(drawn, params.direction), levels)
         nodes = C.classify(fresh.withColumn("depth", F.lit(depth + 1)), facts,
                            params.high_activity)
-        if params.max_addresses is not None or params.max_edges is not None:
-            nodes = cap_frontier(nodes, _budget(levels, edges, params),
-                                 params.max_addresses or 2**31 - 1)
         nodes = nodes.withColumn("expand", F.col("role") == S.INTERMEDIARY)
         level, n = materialise_observed(nodes.select(*first.columns), "nodes", _waiting())
         levels.append(level)
 
-    return _finish(params, hops, levels, candidates, edges, newest, judged)
+    return _finish(params, hops, levels, accounts, edges, newest, denied, judged)
+
+
+EXAMINED = ["chain", "address", "since"]
+_LAST = "struct<ts:bigint,txid:string>"
+
+
+def _since():
+    """The time bound as a key: no time equals the key of an unbound wallet."""
+    return F.coalesce(F.col("bound"), F.lit(-2**63))
+
+
+def newest_of(movements, n: int) -> DataFrame:
+    """For each wallet and kind of transfer with ``n`` transactions or more, the
+    n-th newest that touches it on either side (``last``).  Spark keeps n per
+    wallet in every task before it shuffles."""
+    each = (movements.touching() if hasattr(movements, "touching") else touching(movements)) \
+        .groupBy("chain", "address", "kind", "txid").agg(F.max("ts").alias("ts"))
+    order = Window.partitionBy("chain", "address", "kind").orderBy(
+        F.col("ts").desc_nulls_last(), F.col("txid"))
+    return each.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= n) \
+        .filter(F.col("nth") == n).select("chain", "address", "kind",
+                                          F.struct("ts", "txid").cast(_LAST).alias("last"))
+
+
+def touching(movements: DataFrame) -> DataFrame:
+    """(chain, txid, ts, kind, address): every wallet on either side of a movement."""
+    kind = F.col("transfer_kind") if "transfer_kind" in movements.columns \
+        else F.lit(None).cast("string")
+    return movements.select(
+        "chain", "txid", "ts", F.coalesce(kind, F.lit("")).alias("kind"),
+        F.explode(F.array_distinct(F.array("from_address", "to_address"))).alias("address"))
+
+
+def read_newest(rows: DataFrame, newest: DataFrame) -> DataFrame:
+    """Movements with the ``last`` transaction that is read for their wallet."""
+    kind = F.coalesce(F.col("transfer_kind"), F.lit(""))
+    return rows.withColumn("kind", kind).join(newest, ["chain", "address", "kind"], "left").drop("kind")
+
+
+def is_beyond(last, ts, txid):
+    """Older than the last transaction that is read; unknown times are oldest."""
+    known = F.coalesce(ts, F.lit(-2**63))
+    edge = F.coalesce(last["ts"], F.lit(-2**63))
+    return last.isNotNull() & ((known < edge) | ((known == edge) & (txid > last["txid"])))
 
 
 def _waiting():
@@ -341,21 +395,36 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _finish(params, hops, levels, candidates, edges, newest, judged) -> TraceResult:
-    nodes, seen, drawn = _union(levels), _union(candidates), _union(edges)
+def _finish(params, hops, levels, accounts, edges, newest, denied, judged) -> TraceResult:
+    nodes, drawn = _union(levels), _union(edges)
     group = [*NODE_KEY, "depth"]
     walked = drawn.withColumn("depth", F.col("depth") - 1)
-    accounting = B.account(seen, walked, group)
-    if newest:
-        accounting = B.account_newest(accounting, _union(newest), group)
+    spent = None
+    if denied:
+        spent = _union(denied).withColumn("_denied", F.lit(True))
+        accounts = [a.join(spent, NODE_KEY, "left_anti") for a in accounts]
+    accounting = B.account_followed(
+        _union([a.select(*group, "asset", *B.ACCOUNTS) for a in accounts]), walked, group)
+    if newest is None:
+        accounting = accounting.withColumn("capped", F.lit(False))
+    else:
+        listed = newest.select("chain", "address").distinct().withColumn("capped", F.lit(True))
+        accounting = accounting.join(listed, ["chain", "address"], "left") \
+            .withColumn("capped", F.coalesce(F.col("capped"), F.lit(False)))
+        nodes = nodes.join(listed.withColumnRenamed("capped", "_capped"), ["chain", "address"], "left")
     accounting = materialise(accounting, "accounting", rebalance=False)
-    # The ledger rows of expanded wallets, reduced to one row per wallet.
     per_node = accounting.groupBy(*NODE_KEY).agg(
-        F.sum("n_eligible").alias("_eligible"), F.max("capped").alias("_capped"),
+        F.sum("n_eligible").alias("_eligible"),
         F.max(F.col("n_skipped") > 0).alias("branches_unexamined"))
+    if spent is not None:
+        nodes = nodes.join(spent, NODE_KEY, "left").withColumn(
+            "role", F.when(F.col("_denied") & (F.col("role") != S.VICTIM), S.UNEXPANDED)
+            .otherwise(F.col("role"))).withColumn(
+            "expand", F.col("expand") & F.col("_denied").isNull()).drop("_denied")
     examined = F.col("expand") & (F.col("depth") < hops)
     at_limit = F.col("expand") & (F.col("depth") >= hops)
-    capped = F.coalesce(F.col("_capped"), F.lit(False))
+    capped = examined & F.coalesce(F.col("_capped"), F.lit(False)) if newest is not None \
+        else F.lit(False)
     nodes = nodes.join(per_node, NODE_KEY, "left")
     nodes = (nodes.withColumns({
         "max_depth_reached": at_limit, "outgoing_txs_capped": capped,
@@ -377,7 +446,7 @@ def _finish(params, hops, levels, candidates, edges, newest, judged) -> TraceRes
     nodes = nodes.withColumn("flags", F.array_compact(F.array(*marks))) \
         .withColumn("basis", C.basis_of())
     return TraceResult(params, materialise(nodes, "trace-nodes", rebalance=False),
-                       drawn.drop("order_value"), seen, accounting, judged)
+                       drawn.drop("order_value"), accounting, judged)
 
 
 # ------------------------------------------------------------ reports on a run

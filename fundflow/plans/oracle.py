@@ -170,11 +170,14 @@ def pattern_sql(pattern: str, source: str, group: str) -> str:
 def trace_ctes(moves: str, facts: str, seeds: str, direction: str = "forward",
                pattern: str = "balanced", depth: int = 3, dust: int = 100,
                busy: int | None = None, prefix: str = "t",
-               focus: str | None = None, cap: int | None = None
+               focus: str | None = None, cap: int | None = None,
+               cap_edges: int | None = None, newest: int | None = None
                ) -> list[tuple[str, str]]:
     """CTEs of an unrolled trace.  Final ones: ``{prefix}_nodes``,
     ``{prefix}_edges``, ``{prefix}_cand``.  ``seeds`` yields (trace_id, address);
-    ``focus`` replaces the first level by given eligible rows."""
+    ``focus`` replaces the first level by given eligible rows.  ``cap`` and
+    ``cap_edges`` stop a trace inside a level, wallets in order of their value;
+    ``newest`` reads only so many transactions that touch a wallet."""
     here, there = ("dst", "src") if direction == "backward" else ("src", "dst")
     pick = "max" if direction == "backward" else "min"
     busy_sql = f"coalesce(activity > {busy}, false)" if busy is not None else "false"
@@ -186,17 +189,32 @@ def trace_ctes(moves: str, facts: str, seeds: str, direction: str = "forward",
     facts_sel = ", ".join(f"coalesce(f.{c}, false) AS {c}" for c in fact_cols)
     out = [(f"{prefix}_n0", f"""
       SELECT s.trace_id, s.address, 0 AS depth, CAST(NULL AS BIGINT) AS bound,
-             'victim' AS role, {facts_sel}, f.activity
+             'victim' AS role, {facts_sel}, f.activity, CAST(NULL AS BIGINT) AS worth
       FROM ({seeds}) s LEFT JOIN {facts} f ON f.address = s.address""")]
+    limited = cap is not None or cap_edges is not None
+    if newest is not None:
+        out.append((f"{prefix}_last", f"""
+          SELECT address, ts, txid FROM (
+            SELECT address, ts, txid, row_number() OVER (PARTITION BY address
+                   ORDER BY ts DESC NULLS LAST, txid) AS nth
+            FROM (SELECT address, txid, max(ts) AS ts FROM (
+                    SELECT src AS address, txid, ts FROM {moves}
+                    UNION ALL SELECT dst, txid, ts FROM {moves}) GROUP BY 1, 2))
+          WHERE nth = {newest}"""))
     for d in range(depth):
         expandable = "role = 'victim'" if d == 0 else "role = 'intermediary'"
+        status, read = status_sql(direction, dust), ""
+        if newest is not None:
+            read = f"LEFT JOIN {prefix}_last l ON l.address = f.address"
+            status = (f"CASE WHEN coalesce(m.ts < l.ts OR (m.ts = l.ts AND m.txid > l.txid), false) "
+                      f"THEN 'capped' ELSE {status} END")
         if d == 0 and focus:
             cand = focus
         else:
             cand = f"""
               SELECT f.trace_id, f.address, f.depth, f.bound, m.{there} AS next, m.txid,
-                     m.ts, m.asset, m.raw, {status_sql(direction, dust)} AS status
-              FROM {prefix}_n{d} f JOIN {moves} m ON m.{here} = f.address
+                     m.ts, m.asset, m.raw, {status} AS status
+              FROM {prefix}_n{d} f JOIN {moves} m ON m.{here} = f.address {read}
               WHERE f.{expandable}"""
         out.append((f"{prefix}_c{d}", cand))
         out.append((f"{prefix}_g{d}",
@@ -205,22 +223,46 @@ def trace_ctes(moves: str, facts: str, seeds: str, direction: str = "forward",
             pattern_sql(pattern, f"{prefix}_g{d}", "trace_id, address")
         ends = "next AS src, address AS dst" if direction == "backward" \
             else "address AS src, next AS dst"
-        out.append((f"{prefix}_e{d + 1}", f"""
+        drawn = f"""
           SELECT trace_id, address, next, {d + 1} AS depth, txid, ts, {ends}, asset, raw,
-                 coalesce(ts, bound) AS bound FROM ({chosen})"""))
+                 coalesce(ts, bound) AS bound FROM ({chosen})"""
         seen = " UNION ALL ".join(
             f"SELECT trace_id, address FROM {prefix}_n{k}" for k in range(d + 1))
-        capped = role
-        if cap is not None:
-            counted = " UNION ALL ".join(
-                f"SELECT trace_id FROM {prefix}_n{k}" for k in range(d + 1))
-            capped = f"""CASE WHEN NOT is_exchange AND NOT is_sanctioned AND row_number() OVER (
-                PARTITION BY trace_id, is_exchange OR is_sanctioned
-                ORDER BY worth DESC, address) > greatest(0, {cap} - (
-                  SELECT count(*) FROM ({counted}) u WHERE u.trace_id = q.trace_id))
-              THEN 'unexpanded' ELSE {role} END"""
+        if limited:
+            held = " UNION ALL ".join(
+                [f"SELECT trace_id FROM {prefix}_e{k}" for k in range(1, d + 1)]
+                or [f"SELECT trace_id FROM {prefix}_n0 WHERE false"])
+            out.append((f"{prefix}_a{d + 1}", drawn))
+            out.append((f"{prefix}_w{d}", f"""
+              SELECT trace_id, address, row_number() OVER (PARTITION BY trace_id
+                     ORDER BY worth DESC NULLS LAST, address) AS pos
+              FROM {prefix}_n{d} WHERE NOT is_exchange AND NOT is_sanctioned"""))
+            out.append((f"{prefix}_ok{d}", f"""
+              SELECT trace_id, address FROM (
+                SELECT w.trace_id, w.address,
+                  coalesce(k.n, 0) + coalesce(sum(f.n) OVER before, 0) AS nodes,
+                  coalesce(h.n, 0) + coalesce(sum(e.n) OVER before, 0) AS edges
+                FROM {prefix}_w{d} w
+                LEFT JOIN (SELECT trace_id, address, count(*) AS n FROM {prefix}_a{d + 1}
+                           GROUP BY 1, 2) e USING (trace_id, address)
+                LEFT JOIN (SELECT trace_id, pos, count(*) AS n FROM (
+                             SELECT a.trace_id, a.next, min(v.pos) AS pos FROM {prefix}_a{d + 1} a
+                             JOIN {prefix}_w{d} v ON v.trace_id = a.trace_id AND v.address = a.address
+                             WHERE (a.trace_id, a.next) NOT IN ({seen}) GROUP BY 1, 2)
+                           GROUP BY 1, 2) f ON f.trace_id = w.trace_id AND f.pos = w.pos
+                LEFT JOIN (SELECT trace_id, count(*) AS n FROM ({seen}) GROUP BY 1) k
+                  ON k.trace_id = w.trace_id
+                LEFT JOIN (SELECT trace_id, count(*) AS n FROM ({held}) GROUP BY 1) h
+                  ON h.trace_id = w.trace_id
+                WINDOW before AS (PARTITION BY w.trace_id ORDER BY w.pos
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+              WHERE nodes < {cap if cap is not None else 10**9}
+                AND edges < {cap_edges if cap_edges is not None else 10**9}"""))
+            drawn = f"""SELECT * FROM {prefix}_a{d + 1}
+              WHERE (trace_id, address) IN (SELECT trace_id, address FROM {prefix}_ok{d})"""
+        out.append((f"{prefix}_e{d + 1}", drawn))
         out.append((f"{prefix}_n{d + 1}", f"""
-          SELECT * EXCLUDE (worth), {capped} AS role FROM (
+          SELECT q.*, {role} AS role FROM (
             SELECT a.*, {facts_sel}, f.activity FROM (
               SELECT trace_id, next AS address, {d + 1} AS depth,
                      CASE WHEN bool_or(bound IS NULL) THEN NULL
@@ -230,8 +272,15 @@ def trace_ctes(moves: str, facts: str, seeds: str, direction: str = "forward",
             WHERE (a.trace_id, a.address) NOT IN ({seen})) q"""))
     every = ["trace_id", "address", "depth", "bound", "role", *fact_cols, "activity"]
     cols = ", ".join(every)
-    nodes = " UNION ALL ".join(
-        f"SELECT {cols} FROM {prefix}_n{d}" for d in range(depth + 1))
+    def level(d):
+        if not limited or not 0 < d < depth:
+            return f"SELECT {cols} FROM {prefix}_n{d}"
+        shown = cols.replace(" role,", f""" CASE WHEN NOT is_exchange AND NOT is_sanctioned
+          AND (trace_id, address) NOT IN (SELECT trace_id, address FROM {prefix}_ok{d})
+          THEN 'unexpanded' ELSE role END AS role,""")
+        return f"SELECT {shown} FROM {prefix}_n{d}"
+    nodes = " UNION ALL ".join(map(level, range(depth + 1)))
+    listed = "false" if newest is None else f"n.address IN (SELECT address FROM {prefix}_last)"
     out.append((f"{prefix}_edges", " UNION ALL ".join(
         f"SELECT * FROM {prefix}_e{d + 1}" for d in range(depth))))
     out.append((f"{prefix}_cand", " UNION ALL ".join(
@@ -242,7 +291,8 @@ def trace_ctes(moves: str, facts: str, seeds: str, direction: str = "forward",
                   ELSE n.role END AS role,
              n.role = 'intermediary' AND n.depth = {depth} AS max_depth_reached,
              n.role = 'intermediary' AND n.depth < {depth}
-               AND coalesce(g.n, 0) = 0 AS at_rest
+               AND coalesce(g.n, 0) = 0 AND NOT {listed} AS at_rest,
+             n.role IN ('intermediary', 'victim') AND n.depth < {depth} AND {listed} AS outgoing_txs_capped
       FROM ({nodes}) n LEFT JOIN (
         SELECT trace_id, address, count(*) AS n FROM {prefix}_cand
         WHERE status = 'eligible' GROUP BY 1, 2) g

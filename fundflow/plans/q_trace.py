@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from fundflow import schemas as S
@@ -144,14 +146,31 @@ def normalise_detect(spark, sf):
                        T.norm_addr(T.strip(F.col("raw")), F.col("d.chain")).alias("address"))
 
 
-@query("newest_n", O.with_fx(["fx_moves"], """
-  SELECT src AS address, txid, n >= 5 AS capped FROM (
-    SELECT *, max(k) OVER (PARTITION BY src) AS n FROM (
-      SELECT src, txid, dense_rank() OVER (PARTITION BY src ORDER BY ts DESC, txid) AS k
-      FROM fx_moves) WHERE k <= 5)"""))
-def newest_n(spark, sf):
-    return newest(X.moves(spark, sf), 5).select(
-        F.col("from_address").alias("address"), "txid", "capped")
+_TOUCHING = """
+  SELECT address, txid, n >= 25 AS capped FROM (
+    SELECT *, max(k) OVER (PARTITION BY address) AS n FROM (
+      SELECT address, txid, dense_rank() OVER (PARTITION BY address ORDER BY ts DESC, txid) AS k
+      FROM (SELECT src AS address, txid, ts FROM fx_moves
+            UNION SELECT dst, txid, ts FROM fx_moves)) WHERE k <= 25)"""
+
+
+def _newest(spark, sf):
+    return newest(X.moves(spark, sf), 25).select("address", "txid", "capped")
+
+
+# the newest transactions on either side of a wallet, before any filter
+query("newest_n", O.with_fx(["fx_moves"], _TOUCHING))(_newest)
+
+
+@query("newest_touching", O.with_fx(["fx_facts"], """
+  SELECT address, depth, role, at_rest, outgoing_txs_capped FROM t_nodes""", O.trace_ctes(
+    "fx_moves", "fx_facts", U5, "forward", "thorough", 3, newest=25)))
+def newest_touching(spark, sf):
+    """A trace that reads 25 transactions of a wallet: one whose list is full is
+    not at rest, whatever is left of the list after the filters."""
+    run = TR.trace_many(R.moves(spark, sf), R._u5(spark), R.facts(spark, sf), replace(
+        R.event_params(S.FORWARD, S.THOROUGH), newest_n=25))
+    return run.nodes.select("address", "depth", "role", "at_rest", "outgoing_txs_capped")
 
 
 # ----------------------------------------------------------------- branches
@@ -259,15 +278,28 @@ def trace_many(spark, sf):
         "trace_id", "depth", "txid", "from_address", "to_address", "value_raw")
 
 
+CAPS = {"max_addresses": 12, "max_edges": 20}
+
+
+def capped_ctes():
+    return O.trace_ctes("fx_ledger", "fx_ledger_facts", CUSTOMERS, "forward", "thorough", 3,
+                        busy=R.BUSY, cap=CAPS["max_addresses"], cap_edges=CAPS["max_edges"])
+
+
 @query("trace_capped_nodes", O.with_fx(["fx_ledger_facts"], """
-  SELECT trace_id, address, depth, role, at_rest FROM t_nodes""", O.trace_ctes(
-    "fx_ledger", "fx_ledger_facts", CUSTOMERS, "forward", "thorough", 3, busy=R.BUSY, cap=5)))
+  SELECT trace_id, address, depth, role, at_rest FROM t_nodes""", capped_ctes()))
 def trace_capped_nodes(spark, sf):
-    """Size cap of five wallets per trace: the most valuable are examined."""
-    run = TR.trace_many(R.ledger(spark, sf), R.customer_seeds(spark, sf),
-                        R.ledger_facts(spark, sf), TR.TraceParams(
-        pattern=S.THOROUGH, high_activity=R.BUSY, max_addresses=5))
-    return run.nodes.select("trace_id", "address", "depth", "role", "at_rest")
+    """Size caps per trace, spent inside a level on the most valuable wallets."""
+    return R.customers_capped(spark, sf, *CAPS.values()).nodes.select(
+        "trace_id", "address", "depth", "role", "at_rest")
+
+
+@query("trace_capped_edges", O.with_fx(["fx_ledger_facts"], """
+  SELECT trace_id, depth, txid, src AS from_address, dst AS to_address, raw AS value_raw
+  FROM t_edges""", capped_ctes()))
+def trace_capped_edges(spark, sf):
+    return R.customers_capped(spark, sf, *CAPS.values()).edges.select(
+        "trace_id", "depth", "txid", "from_address", "to_address", "value_raw")
 
 
 @query("at_rest", O.with_fx(["fx_ledger_facts"], """

@@ -16,7 +16,7 @@ from fundflow.operators import classify, cluster, findings, prices
 from fundflow.operators.trace import TraceParams, TraceResult, trace_many
 from fundflow.plans import fixtures as X
 from fundflow.session import materialise
-from fundflow.sources.ledger import address_activity
+from fundflow.sources.ledger import SaltedLedger, address_activity
 
 EVENT_ASSETS = ("click", "error", "purchase", "signup", "view")
 BUSY = 250              # hot wallets of the ledger
@@ -49,6 +49,13 @@ def ledger(spark, sf) -> DataFrame:
     return materialise(X.ledger(spark, sf), "ledger", rebalance=False)
 
 
+@shared
+def stored_ledger(spark, sf) -> SaltedLedger:
+    """The ledger by wallet and direction, busy wallets in pieces."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return SaltedLedger.write(ledger(spark, sf), buckets)
+
+
 @shared
 def facts(spark, sf) -> DataFrame:
     return materialise(classify.address_facts(
@@ -117,16 +124,23 @@ def nation_seeds(spark, sf) -> DataFrame:
 
 @shared
 def customers(spark, sf, pattern: str = S.THOROUGH) -> TraceResult:
-    run = trace_many(ledger(spark, sf), customer_seeds(spark, sf),
+    run = trace_many(stored_ledger(spark, sf), customer_seeds(spark, sf),
                      ledger_facts(spark, sf),
                      TraceParams(pattern=pattern, high_activity=BUSY))
     return run.with_edges(materialise(prices.value_usd(
         run.edges, no_prices(spark)), "valued"))
 
 
+@shared
+def customers_capped(spark, sf, max_addresses: int, max_edges: int) -> TraceResult:
+    return trace_many(stored_ledger(spark, sf), customer_seeds(spark, sf), ledger_facts(spark, sf),
+                      TraceParams(pattern=S.THOROUGH, high_activity=BUSY,
+                                  max_addresses=max_addresses, max_edges=max_edges))
+
+
 @shared
 def nations(spark, sf) -> TraceResult:
-    run = trace_many(ledger(spark, sf), nation_seeds(spark, sf),
+    run = trace_many(stored_ledger(spark, sf), nation_seeds(spark, sf),
                      ledger_facts(spark, sf, BUSY_CUSTOMER),
                      TraceParams(direction=S.BACKWARD, pattern=S.THOROUGH,
                                  high_activity=BUSY_CUSTOMER))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fundflow import schemas as S
+from fundflow.session import materialise, scratch_path
 
 
 def movements(*parts: DataFrame) -> DataFrame:
@@ -31,12 +34,19 @@ def address_activity(moves: DataFrame, side: str = "any") -> DataFrame:
         F.count_distinct("txid").alias("activity"))
 
 
-def newest(moves: DataFrame, n: int = 25, wallet: str = "from_address") -> DataFrame:
-    """The n newest transactions of every wallet (off by default in traces)."""
-    from fundflow.operators.branches import keep_newest
-    kind = F.col("transfer_kind") if "transfer_kind" in moves.columns \
-        else F.lit(None).cast("string")
-    return keep_newest(moves.withColumn("transfer_kind", kind), ["chain", wallet], n)
+def newest(moves: DataFrame, n: int = 25) -> DataFrame:
+    """The n newest transactions that touch each wallet on either side, per kind
+    of transfer, as movements seen from the wallet (``address``), and whether
+    the list is full (``capped``), so that older ones may be missing."""
+    kind = F.coalesce(F.col("transfer_kind"), F.lit("")) if "transfer_kind" in moves.columns \
+        else F.lit("")
+    legs = moves.withColumn("kind", kind).withColumn("address", F.explode(
+        F.array_distinct(F.array("from_address", "to_address"))))
+    keys = ["chain", "address", "kind"]
+    order = Window.partitionBy(*keys).orderBy(F.col("ts").desc_nulls_last(), F.col("txid"))
+    kept = legs.withColumn("nth", F.dense_rank().over(order)).filter(F.col("nth") <= n)
+    full = kept.groupBy("chain", "address").agg((F.max("nth") >= n).alias("capped"))
+    return kept.drop("kind", "nth").join(full, ["chain", "address"])
 
 
 def write_bucketed(moves: DataFrame, name: str, wallet: str, buckets: int) -> None:
@@ -49,6 +59,60 @@ def write_bucketed(moves: DataFrame, name: str, wallet: str, buckets: int) -> No
      .bucketBy(buckets, wallet).sortBy(wallet, "ts").saveAsTable(name))
 
 
+@dataclass(frozen=True)
+class SaltedLedger:
+    """Movements stored by wallet, the busiest wallets in several pieces.
+
+    Each direction is one table, bucketed by (wallet, salt): the salt of a
+    movement is 0, or one of n for a wallet with n times ``per_salt`` movements.
+    A hop copies the frontier row of such a wallet to each of its salts and
+    joins on all three columns, so the stored side lies ready and half a ledger
+    on one wallet is as many pieces as it has ``per_salt`` rows.  ``busy`` lists
+    those wallets; there are at most rows / per_salt of them.
+    """
+    tables: dict
+    busy: dict
+    movements: DataFrame
+
+    @classmethod
+    def write(cls, moves: DataFrame, buckets: int, per_salt: int = 1_000_000) -> "SaltedLedger":
+        tables, busy = {}, {}
+        for direction, wallet in ((S.FORWARD, "from_address"), (S.BACKWARD, "to_address")):
+            many = materialise(
+                moves.groupBy("chain", wallet).agg(F.count(F.lit(1)).alias("n"))
+                .filter(F.col("n") > per_salt)
+                .select("chain", wallet, F.ceil(F.col("n") / per_salt).alias("salts")),
+                "busy", rebalance=False)
+            name = f"ledger_{direction}_{uuid.uuid4().hex}"
+            salted = moves.join(many, ["chain", wallet], "left").withColumn(
+                "salt", F.coalesce(F.pmod(F.xxhash64("txid", "from_address", "to_address", "asset"),
+                                          "salts"), F.lit(0)).cast("int")).drop("salts")
+            (salted.repartition(buckets, wallet, "salt").write
+             .option("path", scratch_path(moves.sparkSession, name))
+             .option(f"parquet.bloom.filter.enabled#{wallet}", "true")
+             .bucketBy(buckets, wallet, "salt").sortBy(wallet, "salt", "ts").saveAsTable(name))
+            tables[direction], busy[direction] = name, many.withColumnRenamed(wallet, "address")
+        return cls(tables, busy, moves)
+
+    def expand(self, frontier: DataFrame, direction: str) -> DataFrame:
+        from fundflow.operators.trace import ledger_side
+        stored = frontier.sparkSession.table(self.tables[direction])
+        pieces = frontier.join(self.busy[direction], ["chain", "address"], "left").withColumn(
+            "salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)).cast("int") - 1))
+        ).drop("salts")
+        side = ledger_side(stored, direction, "salt")
+        return pieces.join(side, ["chain", "address", "salt"]).drop("salt")
+
+    def touching(self) -> DataFrame:
+        """(chain, txid, ts, kind, address) of every wallet of every movement."""
+        from fundflow.operators.trace import touching
+        return touching(self.movements)
+
+    def drop(self) -> None:
+        for name in self.tables.values():
+            self.movements.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def read_raw(spark: SparkSession, path: str, schema) -> DataFrame:
     """JSON-lines responses with an explicit schema; no inference pass."""
     return spark.read.schema(schema).json(path)

@@ -134,3 +134,12 @@ class UtxoLedger:
             F.col("v").cast("decimal(38,0)").alias("value_raw"),
             (F.col("who") == F.col("address")).alias("is_self_transfer"),
             F.lit(None).cast("string").alias("transfer_kind"))
+
+    def touching(self) -> DataFrame:
+        """(chain, txid, ts, kind, address): every wallet that pays or is paid."""
+        who = F.array_distinct(F.array_compact(F.concat(
+            F.transform("vin", lambda i: i["prevout"][ADDRESS]),
+            F.transform("vout", lambda o: o[ADDRESS]))))
+        return self.raw.select(F.lit(S.BITCOIN).alias("chain"), "txid",
+                               F.col("status.block_time").alias("ts"), F.lit("").alias("kind"),
+                               F.explode(who).alias("address"))

@@ -6,9 +6,13 @@ import pytest
 from helpers import edge_set, facts, frame, movements, node_map, run, seeds
 from reference_walk import walk
 
+from pyspark.sql import functions as F
+
 from fundflow import schemas as S
 from fundflow.operators import exits as E
 from fundflow.operators.trace import TraceParams, notices, trace_many
+from fundflow.sources.ledger import SaltedLedger
+from fundflow.sources.utxo import UtxoLedger
 
 
 def test_unknown_time_inherits_the_bound_and_unbinds(spark):
@@ -133,12 +137,120 @@ def test_newest_n_counts_transactions_and_marks_the_wallet(spark):
     assert notices(out).filter("kind = 'capped'").first().n == 1
 
 
-def test_size_caps_examine_the_largest_first(spark):
+def test_newest_n_counts_payments_on_both_sides_before_any_filter(spark):
+    """Newer payments to a wallet push its own out of the list; it isn't at rest then."""
+    rows = [("t0", 1, "a", "b", "X", 1000), ("s0", 5, "b", "c", "X", 1000)]
+    rows += [(f"in{i}", 10 + i, f"q{i}", "b", "X", 1) for i in range(3)]
+    out = run(spark, rows, newest_n=3)
+    b = node_map(out)["b"]
+    assert {e[1] for e in edge_set(out)} == {"t0"}
+    assert b.outgoing_txs_capped and not b.at_rest and "no_onward_movements" not in b.flags
+    assert out.accounting.filter("address = 'b'").first().n_capped == 1
+    assert {e[1] for e in edge_set(run(spark, rows, newest_n=4))} == {"t0", "s0"}
+    whole = run(spark, [r for r in rows if r[0] != "s0"][:3], newest_n=4)
+    assert node_map(whole)["b"].at_rest and not node_map(whole)["b"].outgoing_txs_capped
+
+
+def test_newest_n_of_raw_transactions(spark):
+    from fundflow.operators.trace import newest_of
+    raw = spark.sql("""
+      SELECT concat('t', id) AS txid, struct(id * 10 AS block_time) AS status,
+             array(struct(struct(concat('p', id % 2) AS scriptpubkey_address, 5L AS value) AS prevout)) AS vin,
+             array(struct('hub' AS scriptpubkey_address, 4L AS value), struct('hub' AS scriptpubkey_address, 1L AS value)) AS vout
+      FROM range(6)""")
+    last = {r.address: (r["last"].ts, r["last"].txid) for r in newest_of(UtxoLedger(raw), 3).collect()}
+    assert last == {"hub": (30, "t3"), "p0": (0, "t0"), "p1": (10, "t1")}
+
+
+def _fan(spark, **caps):
     rows = [(f"t{i}", 1, "a", f"b{i}", "X", 1000 * (i + 1)) for i in range(5)]
     rows += [(f"s{i}", 2, f"b{i}", f"c{i}", "X", 500) for i in range(5)]
-    out = run(spark, rows, max_addresses=3)
-    assert {e[1] for e in edge_set(out) if e[0] == 2} == {"s3", "s4"}
-    assert node_map(out)["b0"].role == S.UNEXPANDED
+    rows += [("s4b", 2, "b4", "c3", "X", 400)]
+    return run(spark, rows, **caps)
+
+
+@pytest.mark.parametrize("caps, second", [
+    ({"max_addresses": 3}, set()),                          # 6 wallets after the first
+    ({"max_addresses": 7}, {"s4", "s4b"}),                  # b4 finds two more
+    ({"max_addresses": 9}, {"s4", "s4b", "s3", "s2"}),      # c3 counts once, for b4
+    ({"max_edges": 6}, {"s4", "s4b"}), ({"max_edges": 7}, {"s4", "s4b"}),
+    ({"max_edges": 8}, {"s4", "s4b", "s3"}), ({"max_edges": 8, "max_addresses": 8}, {"s4", "s4b"}),
+    ({"max_addresses": 100}, {"s4", "s4b", "s3", "s2", "s1", "s0"}), ({"max_addresses": 1}, None)])
+def test_size_caps_stop_inside_a_level(spark, caps, second):
+    out = _fan(spark, **caps)
+    if second is None:
+        assert edge_set(out) == set()
+        return
+    assert {e[1] for e in edge_set(out) if e[0] == 2} == second
+    followed = {f"b{t[1]}" for t in second}
+    for i in range(5):
+        node = node_map(out)[f"b{i}"]
+        assert (node.role == S.UNEXPANDED) == (f"b{i}" not in followed) and not node.at_rest
+    assert out.accounting.filter("address like 'b%'").select("address").distinct().count() == len(followed)
+
+
+def test_size_caps_are_kept_per_trace(spark):
+    """Many traces at once against a walk of each that spends its caps in order."""
+    rng = random.Random(8)
+    wallets = [f"w{i}" for i in range(40)]
+    rows = [(f"t{i:03d}", rng.randrange(100), rng.choice(wallets), rng.choice(wallets), "X",
+             rng.randrange(100, 9999)) for i in range(160)]
+    starts = wallets[:12]
+    out = trace_many(movements(spark, rows), seeds(spark, *starts), facts(spark), TraceParams(
+        high_activity=None, pattern=S.THOROUGH, max_addresses=9, max_edges=11))
+    got = {(r.trace_id, r.depth, r.txid) for r in out.edges.collect()}
+    want = set()
+    for trace, start in enumerate(starts, 1):
+        nodes, bound, worth = {start}, {start: None}, {start: 0}
+        level, drawn = [start], 0
+        for depth in range(1, 4):
+            arrived = {}
+            for wallet in sorted(level, key=lambda w: (-worth[w], w)):
+                if len(nodes) >= 9 or drawn >= 11:
+                    break
+                for t, ts, a, b, _, raw in rows:
+                    if a != wallet or a == b or (bound[wallet] is not None and ts < bound[wallet]):
+                        continue
+                    want.add((trace, depth, t))
+                    drawn += 1
+                    nodes.add(b)
+                    arrived.setdefault(b, []).append((ts, raw))
+            level = [w for w in arrived if w not in bound]
+            for w in level:
+                bound[w], worth[w] = min(t for t, _ in arrived[w]), max(v for _, v in arrived[w])
+    assert got == want
+
+
+def test_salted_ledger_splits_the_busiest_wallet(spark):
+    """Half of a ledger on one wallet, many traces: the same result, in pieces."""
+    rng = random.Random(4)
+    rows = [(f"t{i:05d}", rng.randrange(1000), "hub" if i % 2 else f"w{rng.randrange(60)}",
+             "hub" if i % 4 == 0 else f"w{rng.randrange(60)}", "X", rng.randrange(100, 9999))
+            for i in range(2000)]
+    moves = movements(spark, rows)
+    stored = SaltedLedger.write(moves, buckets=4, per_salt=100)
+    try:
+        salts = spark.table(stored.tables[S.FORWARD]).groupBy("from_address").agg(
+            F.count_distinct("salt").alias("n"), F.max("salt").alias("most")).collect()
+        per = {r.from_address: r.n for r in salts}
+        assert per["hub"] == 10 and {n for w, n in per.items() if w != "hub"} == {1}
+        pieces = spark.table(stored.tables[S.FORWARD]).groupBy("from_address", "salt").count()
+        assert pieces.agg({"count": "max"}).first()[0] <= 3 * 100
+        starts = seeds(spark, *[f"w{i}" for i in range(60)], "hub")
+        for direction in (S.FORWARD, S.BACKWARD):
+            params = TraceParams(direction=direction, high_activity=None, max_depth=2, pattern=S.BALANCED)
+            a, b = (trace_many(m, starts, facts(spark), params) for m in (moves, stored))
+            assert sorted(map(tuple, a.edges.select(sorted(a.edges.columns)).collect()), key=repr) == \
+                sorted(map(tuple, b.edges.select(sorted(b.edges.columns)).collect()), key=repr)
+            assert sorted(map(tuple, a.accounting.select(sorted(a.accounting.columns)).collect()), key=repr) == \
+                sorted(map(tuple, b.accounting.select(sorted(b.accounting.columns)).collect()), key=repr)
+        frontier = seeds(spark, "hub").select("chain", "address")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = stored.expand(frontier, S.FORWARD)._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        stored.drop()
 
 
 def _focus(spark, legs, senders, seed="a", txid="f", chain="bitcoin", rows=()):
