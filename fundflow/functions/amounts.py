@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fundflow import schemas as S
+from fundflow.functions import wide
+from fundflow.functions.text import strip
 
 # Default dust limits in base units of assets with fixed decimals.
 DUST_RAW = {"BTC": 10_000, "ETH": 10**15, "TRX": 5_000_000}
@@ -19,10 +21,20 @@ def to_units(raw: Column, decimals: Column | int) -> Column:
     return raw.cast("double") / F.pow(F.lit(10.0), places.cast("double"))
 
 
+_MOST_UNITS = 10**25
+
+
 def display_units(value: Column) -> Column:
     """Display amount as a whole number of 10^-10: exact to sum, and comparable
-    between assets and tokens of any decimals.  Null at 10^20 and more."""
-    return (value.try_cast("decimal(30,10)") * F.lit(10**10)).cast("decimal(30,0)")
+    between assets and tokens of any decimals.  Amounts beyond 10^25 units are
+    held at that, so the largest stay the largest; sums of a thousand fit."""
+    held = F.when(value.isNotNull(), F.least(value, F.lit(float(_MOST_UNITS)))) \
+        .try_cast("decimal(36,10)")
+    # whole units and fraction apart: their product types keep every digit
+    whole = F.floor(held).cast("decimal(27,0)")
+    shift = F.lit(10**10).cast("decimal(11,0)")
+    fraction = (held - whole).cast("decimal(11,10)") * shift
+    return (whole * shift).cast("decimal(38,0)") + fraction.cast("decimal(11,0)")
 
 
 def dust_min(asset: Column, limits: dict[str, float] | None = None,
@@ -53,22 +65,31 @@ def order_value(asset: Column, value: Column, spot: dict[str, float] | None = No
     return out.otherwise(value)
 
 
-# Amounts of more digits than this are kept as text and flagged: no asset has
-# them, spam tokens do, and they would overflow exact sums.
+# Amounts of more digits than this do not fit an exact decimal sum; they are
+# flagged, and kept exactly as limbs (``functions.wide``).
 MAX_DIGITS = 36
 _CHUNK = 15
 
 
+def _digits(text: Column) -> Column:
+    return F.regexp_replace(strip(text), "^0+(?=[0-9])", "")
+
+
 def parse_amount(text: Column) -> Column:
     """Exact integer of a decimal digit string; null when malformed or wider
     than MAX_DIGITS."""
-    digits = F.regexp_replace(F.trim(text), "^0+(?=[0-9])", "")
+    digits = _digits(text)
     good = digits.rlike("^[0-9]+$") & (F.length(digits) <= MAX_DIGITS)
     return F.when(good, digits).try_cast("decimal(38,0)")
 
 
+def parse_limbs(text: Column) -> Column:
+    """Exact integer of a decimal digit string of any width up to 81 digits."""
+    return wide.from_digits(_digits(text))
+
+
 def is_oversize(text: Column) -> Column:
-    digits = F.regexp_replace(F.trim(text), "^0+(?=[0-9])", "")
+    digits = _digits(text)
     return F.coalesce(digits.rlike("^[0-9]+$") & (F.length(digits) > MAX_DIGITS),
                       F.lit(False))
 

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundflow import schemas as S
-from fundflow.functions.skew import join_group_stats, number_within
+from fundflow.functions import order as N
+from fundflow.functions.skew import join_group_stats
 from fundflow.session import materialise_observed
 
 COINJOIN_INPUTS, COINJOIN_EQUAL_OUTPUTS = 5, 3
@@ -153,8 +154,8 @@ def clusters(members: DataFrame, linking: DataFrame, nodes: DataFrame,
         F.count(F.lit(1)).alias("n_traced"), F.min("address").alias("first_traced"))
     rows = traced.join(rollup, "component").join(
         service_label(members, nodes, labels), ["trace_id", "chain", "component"], "left")
-    rows = rows.withColumn("_band", F.struct(
-        (-F.col("n_traced")).alias("t"), (-F.col("size")).alias("s"),
-        F.substring("component", 1, 3).alias("p")))
-    return number_within(rows, ["trace_id"], "_band", ["component"], "cluster_no") \
-        .withColumn("cluster_id", F.concat(F.lit("C"), F.col("cluster_no"))).drop("_band")
+    order = [F.col("n_traced").desc(), F.col("size").desc(), F.col("component").asc()]
+    line = N.placed(rows, ["trace_id"], order, "clusters")
+    return N.running(line, ["trace_id"], {"cluster_no": F.lit(1)}).drop("at") \
+        .withColumn("cluster_no", F.col("cluster_no") + 1) \
+        .withColumn("cluster_id", F.concat(F.lit("C"), F.col("cluster_no")))

@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from fundflow import schemas as S
 from fundflow.functions.amounts import display_units
 from fundflow.functions.text import amount_text, directory_field, entity_match, iso_text
+from fundflow.operators.directory import first_matches
 from fundflow.operators.trace import NODE_KEY, TraceResult
-from fundflow.session import materialise
-
-CUT_EVERY = 4
+from fundflow.session import materialise, materialise_observed
 
 
 def exit_edges(result: TraceResult) -> DataFrame:
@@ -30,7 +29,7 @@ def exit_totals(result: TraceResult) -> DataFrame:
         F.try_sum(display_units(F.col("value"))).alias("amount"))
 
 
-def exits(result: TraceResult, compliance: list[dict] = (),
+def exits(result: TraceResult, compliance: list[dict] | DataFrame = (),
           entity: str = "label") -> DataFrame:
     """One row per exit.  ``entity='label'`` names the best label of any
     category (so a sanctioned custodian is named by the sanction list);
@@ -45,6 +44,11 @@ def exits(result: TraceResult, compliance: list[dict] = (),
         F.col(f"{column}.confidence").alias("confidence"),
         F.col(f"{column}.source").alias("source"))
     out = totals.join(node, NODE_KEY)
+    if isinstance(compliance, DataFrame):  # a directory of any size
+        status = first_matches(out, "entity", compliance.select(
+            "ord", F.col("entity").alias("_listed"), F.coalesce("status", F.lit("")).alias("compliance")),
+            "_listed").select("entity", "compliance")
+        return out.join(status, "entity", "left")
     position = entity_match(F.col("entity"), list(compliance))
     return out.withColumn("compliance",
                           directory_field(position, list(compliance), "status"))
@@ -85,28 +89,33 @@ def parents(result: TraceResult) -> DataFrame:
 
 def exit_paths(result: TraceResult, ends: DataFrame) -> DataFrame:
     """Hops from the start wallet to every end (trace_id, chain, address), in
-    the order the money moved.  One join per hop walks all paths at once."""
+    the order the money moved.
+
+    Pointers double: with every round the known stretch of all paths and the
+    reach of every wallet's pointer grow twofold, so 25 hops take five rounds.
+    """
     tree = materialise(parents(result), "parents")
     depth = result.nodes.select(*NODE_KEY, F.col("depth").alias("n_hops"))
     walk = ends.select(*NODE_KEY).distinct().join(depth, NODE_KEY).filter("n_hops > 0") \
-        .withColumn("end_address", F.col("address")).withColumn("left", F.col("n_hops"))
-    longest = result.params.hops(result.focus is not None)
-    hops = None
-    for i in range(longest):
-        step = walk.join(tree, NODE_KEY).select(
-            "trace_id", "chain", "end_address", "n_hops", "left", "step")
-        if (i + 1) % CUT_EVERY == 0:
-            step = materialise(step, "path")
-        hops = step if hops is None else hops.unionByName(step)
-        walk = step.filter("left > 1").select(
-            "trace_id", "chain", F.col("step.parent").alias("address"), "end_address",
-            "n_hops", (F.col("left") - 1).alias("left"))
-        if (i + 1) % CUT_EVERY == 0 and walk.isEmpty():
-            break
+        .withColumn("end_address", F.col("address")).withColumn("back", F.lit(0))
+    walk, seen = materialise_observed(walk, "walk", F.max("n_hops").alias("longest"))
+    jump = tree.select(*NODE_KEY, F.col("step.parent").alias("to"))
+    reach, longest = 1, seen["longest"] or 0
+    while reach < longest:
+        further = walk.join(jump, NODE_KEY).select(
+            "trace_id", "chain", F.col("to").alias("address"), "n_hops", "end_address",
+            (F.col("back") + reach).alias("back")).filter(F.col("back") < F.col("n_hops"))
+        walk = materialise(walk.unionByName(further), "walk", rebalance=False)
+        reach *= 2
+        if reach < longest:
+            onward = jump.select("trace_id", "chain", F.col("address").alias("to"),
+                                 F.col("to").alias("_to"))
+            jump = materialise(jump.join(onward, ["trace_id", "chain", "to"])
+                               .drop("to").withColumnRenamed("_to", "to"), "jump", rebalance=False)
     backward = result.params.direction == S.BACKWARD
-    hop = F.col("n_hops") - F.col("left") + 1 if backward else F.col("left")
-    return hops.select("trace_id", "chain", "end_address", hop.alias("hop"), "n_hops",
-                       "step.*").drop("parent")
+    hop = F.col("back") + 1 if backward else F.col("n_hops") - F.col("back")
+    return walk.join(tree, NODE_KEY).select("trace_id", "chain", "end_address", hop.alias("hop"),
+                                            "n_hops", "step.*").drop("parent")
 
 
 def traceroute(paths: DataFrame) -> DataFrame:

@@ -129,7 +129,7 @@ def sweep_feeders(result: TraceResult, incoming: DataFrame) -> DataFrame:
     by_feeder = ["trace_id", "chain", "from_address"]
     received = flows.totals_by_asset(edges, "to_address").select(
         "trace_id", "chain", F.col("address").alias("from_address"), "asset",
-        F.col("total_raw").alias("in_raw"), F.col("amount").alias("_in"))
+        F.col("total_raw").alias("in_raw"), F.col("amount").alias("_in"), F.col("total").alias("_near"))
     first = incoming.select("trace_id", "chain", F.col("address").alias("from_address"),
                             "first_ts")
     gap = F.col("ts") - F.col("first_ts")
@@ -138,8 +138,11 @@ def sweep_feeders(result: TraceResult, incoming: DataFrame) -> DataFrame:
             .join(start, by_feeder, "left_anti")
             .join(busy, ["trace_id", "chain", "to_address"], "left_semi")
             .join(received, [*by_feeder, "asset"]).join(first, by_feeder)
-            .filter((F.col("_in") > 0) & in_time & (display_units(F.col("value")) * 100
-                                                    >= F.try_multiply("_in", F.lit(SWEEP_PERCENT))))
+            .filter((F.col("_near") > 0) & in_time & F.coalesce(
+                # beyond the range of exact sums the doubles decide
+                F.try_multiply(display_units(F.col("value")), F.lit(100))
+                >= F.try_multiply("_in", F.lit(SWEEP_PERCENT)),
+                F.col("value") * 100 >= F.col("_near") * SWEEP_PERCENT))
             .select("trace_id", "chain", "from_address", "to_address", "txid", "ts",
                     "asset", "value_raw", "in_raw", "first_ts", "depth"))
 
@@ -262,6 +265,7 @@ def rank_findings(findings: DataFrame, per_type: int = PER_TYPE) -> DataFrame:
     order = Window.partitionBy(*kinds).orderBy(
         F.col("usd_cents").desc_nulls_last(), F.col("max_amount").desc_nulls_last(),
         F.col("address"), F.col("related"))
+    findings = materialise(findings, "findings", rebalance=False)  # read twice below
     counted = findings.groupBy(*kinds).agg(F.count(F.lit(1)).alias("n_of_type"))
     top = findings.withColumn("rank", F.row_number().over(order)) \
         .filter(F.col("rank") <= per_type)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fundflow import schemas as S
+from fundflow.functions import wide
 from fundflow.functions.amounts import display_units
 from fundflow.functions.skew import number_within
 from fundflow.functions.text import utc_date
@@ -40,6 +41,15 @@ def totals_by_asset(edges: DataFrame, wallet: str) -> DataFrame:
                                       F.count(F.lit(1)).alias("n_movements"))
 
 
+def exact_totals(moves: DataFrame, *keys: str) -> DataFrame:
+    """Exact totals per group as digits, from movements with ``value_limbs``;
+    amounts of any width count, none is left out of a sum."""
+    return moves.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_movements"), F.count("value_limbs").alias("n_exact"),
+        wide.to_digits(wide.total(F.col("value_limbs"))).alias("total"),
+        wide.to_digits(F.max("value_limbs")).alias("largest"))
+
+
 def pair_flows(edges: DataFrame) -> DataFrame:
     """One flow per pair of wallets and asset.  The transactions of a flow stay
     rows of ``edges``; a list per pair would be unbounded."""

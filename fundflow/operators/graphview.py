@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundflow import schemas as S
-from fundflow.session import materialise_observed
+from fundflow.session import materialise, materialise_observed
 
 LEAF_LIMIT, LEAVES_SHOWN = 6, 3
 
@@ -197,6 +197,7 @@ def fold_minor(view: DataFrame, nodes: DataFrame) -> DataFrame:
             .join(into.filter("_in = 1").drop("_in"), [*at, "to_address"], "left_semi")
             .join(view.select(*at, F.col("from_address").alias("to_address")),
                   [*at, "to_address"], "left_anti"))
+    leaf = materialise(leaf, "leaf-flows", rebalance=False)  # used four times below
     parent = [*at, "from_address"]
     size = F.when(F.col("usd_complete"), F.col("usd_cents") / 100.0) \
         .otherwise(F.col("value"))

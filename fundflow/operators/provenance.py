@@ -55,9 +55,10 @@ def verify(captures: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(file, sha256, bytes) of every artefact below ``path``."""
+    """(path, file, sha256, bytes) of every artefact below ``path``."""
     files = read_captures(spark, path, glob)
-    return files.select(F.element_at(F.split("cache_key", "/"), -1).alias("file"), "sha256",
+    return files.select(F.col("cache_key").alias("path"),
+                        F.element_at(F.split("cache_key", "/"), -1).alias("file"), "sha256",
                         F.octet_length("body").alias("bytes"))
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fundflow.session import materialise
+
 # ---- fixed values: refresh cadence of label sources in days --------------
 CADENCE_DAYS = {"eth_labels": 30, "graphsense_tagpack": 30, "ofac_sdn": 7,
                 "scamsniffer": 7}
@@ -44,6 +48,60 @@ def upsert(base: DataFrame, changes: DataFrame, keys: list[str], seq: str,
     return merged.filter(~F.coalesce(F.col(deleted), F.lit(False))).select(*base.columns)
 
 
+@dataclass(frozen=True)
+class KeyedTable:
+    """A table kept in buckets of its key, so that a change rewrites only the
+    buckets it touches: one changed row of millions costs one bucket.
+
+    Versions compare by ``seq``; at equal ``seq`` a change wins over what is
+    stored, and among changes the one whose values sort last.  A row marked
+    ``deleted`` takes its key away.
+    """
+    path: str
+    keys: tuple[str, ...]
+    seq: str
+    buckets: int
+
+    def _bucketed(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
+
+    def create(self, rows: DataFrame) -> None:
+        self._bucketed(rows).repartition("_bucket").write.partitionBy("_bucket").parquet(self.path)
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(self.path).drop("_bucket")
+
+    def upsert(self, changes: DataFrame, deleted: str = "deleted") -> list[int]:
+        """Apply changes; the buckets that were rewritten."""
+        spark = changes.sparkSession
+        change = materialise(self._bucketed(changes), "changes", rebalance=False)
+        touched = sorted(r[0] for r in change.select("_bucket").distinct().collect())  # at most ``buckets``
+        if not touched:
+            return []
+        stored = spark.read.parquet(self.path)
+        old = stored.filter(F.col("_bucket").isin(touched)).withColumn(deleted, F.lit(False))
+        both = old.withColumn("_new", F.lit(False)).unionByName(
+            change.withColumn("_new", F.lit(True)), allowMissingColumns=True)
+        rest = [c for c in both.columns if c not in (*self.keys, "_bucket", "_new")]
+        version = F.struct(F.col(self.seq), F.col("_new"), *(F.col(c) for c in rest if c != self.seq))
+        merged = both.groupBy(*self.keys, "_bucket").agg(F.max(version).alias("_v")).select(
+            *self.keys, *(F.col(f"_v.{c}").alias(c) for c in rest), "_bucket")
+        kept = materialise(merged.filter(~F.coalesce(F.col(deleted), F.lit(False)))
+                           .select(*stored.columns), "merged", rebalance=False)
+        (kept.repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("_bucket").parquet(self.path))
+        left = {r[0] for r in kept.select("_bucket").distinct().collect()}
+        self._empty(spark, [b for b in touched if b not in left])
+        return touched
+
+    def _empty(self, spark: SparkSession, buckets: list[int]) -> None:
+        """A bucket without rows is not overwritten: take its folder away."""
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for bucket in buckets:
+            folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_bucket={bucket}")
+            folder.getFileSystem(conf).delete(folder, True)
+
+
 def label_inventory(labels: DataFrame) -> DataFrame:
     return labels.groupBy("source").agg(F.count(F.lit(1)).alias("n"),
                                         F.max("updated_utc").alias("last_updated"))

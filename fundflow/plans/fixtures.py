@@ -133,17 +133,6 @@ def price_feed(spark: SparkSession, sf: str, feed: int) -> DataFrame:
 
 
 def cospend(spark: SparkSession, sf: str) -> DataFrame:
-    """(txid, address) inputs: customers whose big lines share supplier and day."""
-    lines = table(spark, sf, "lineitem").filter("l_quantity >= 40").select(
-        "l_orderkey", F.concat_ws("|", "l_suppkey", F.to_date("l_shipdate"))
-        .alias("txid"))
-    orders = table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    return lines.join(orders, "l_orderkey").select(
-        "txid", F.concat(F.lit("c"), "o_custkey").alias("address")).distinct()
-
-
-def cospend_all(spark: SparkSession, sf: str) -> DataFrame:
     """(txid, address) inputs of every line: customers whose lines share supplier,
     day and one of five part bands, which keep the groups narrow."""
     lines = table(spark, sf, "lineitem").select(

@@ -93,11 +93,6 @@ FX["fx_prices"] = """
   WHERE (asset, date) NOT IN (SELECT (asset, date) FROM fx_feed1)"""
 
 FX["fx_cospend"] = """
-  SELECT DISTINCT l_suppkey || '|' || CAST(l_shipdate AS DATE) AS txid,
-         'c' || o_custkey AS address
-  FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity >= 40"""
-
-FX["fx_cospend_all"] = """
   SELECT DISTINCT l_suppkey || '|' || CAST(l_shipdate AS DATE) || '|' || l_partkey % 5 AS txid,
          'c' || o_custkey AS address
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey"""

@@ -12,6 +12,7 @@ from fundflow.plans import fixtures as X
 from fundflow.plans import oracle as O
 from fundflow.plans import runs as R
 from fundflow.plans.catalog import query
+from fundflow.session import scratch_path
 from fundflow.plans.q_findings import CUST_TERM, F_SQL
 
 # ----------------------------------------------------------------- captures
@@ -97,11 +98,17 @@ def source_usage(spark, sf):
     return CW.source_usage(_log(spark, sf))
 
 
-@query("manifest", "SELECT 'pages.parquet' AS file, count(*) > 0 AS present FROM pages")
+@query("manifest", """
+  SELECT page_id, sha256(encode(html) || encode(chr(10))) AS sha256,
+         CAST(octet_length(encode(html)) + 1 AS BIGINT) AS bytes FROM pages""")
 def manifest(spark, sf):
-    """The artefact manifest of the data folder; its hash is the file's own."""
-    rows = P.manifest(spark, sf, "pages.parquet")
-    return rows.select("file", (F.length("sha256") == 64).alias("present"))
+    """Every page as an artefact of its own; the manifest of that folder."""
+    path = scratch_path(spark, "artefacts")
+    X.table(spark, sf, "pages").select("page_id", F.col("html").alias("value")) \
+        .write.partitionBy("page_id").text(path)
+    return P.manifest(spark, path, "part-*").select(
+        F.regexp_extract("path", "page_id=([0-9]+)", 1).cast("bigint").alias("page_id"), "sha256",
+        F.col("bytes").cast("bigint").alias("bytes"))
 
 
 # ------------------------------------------------------------------- cases

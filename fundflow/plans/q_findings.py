@@ -9,6 +9,7 @@ from fundflow.operators import casework as CW
 from fundflow.operators import exits as E
 from fundflow.operators import findings as G
 from fundflow.operators import flows as FL
+from fundflow.operators.directory import first_matches
 from fundflow.plans import fixtures as X
 from fundflow.plans import oracle as O
 from fundflow.plans import runs as R
@@ -479,6 +480,25 @@ def tx_table(spark, sf):
         "trace_id", "depth", "txid", "ts", "from_address", "to_address", "usd_cents")
 
 
+@query("directory_match", """
+  WITH entries AS (SELECT c_custkey AS ord, substr(c_name, length(c_name) - CAST(c_custkey % 7 AS INTEGER),
+                          CAST(1 + c_custkey % 9 AS INTEGER)) AS entity FROM customer),
+  names AS (SELECT c_name AS name FROM customer UNION SELECT s_name FROM supplier
+            UNION SELECT p_name FROM part)
+  SELECT n.name, m.ord, e.entity FROM (
+    SELECT n.name, min(e.ord) AS ord FROM names n JOIN entries e
+      ON contains(lower(n.name), lower(e.entity)) GROUP BY 1) m
+  JOIN names n ON n.name = m.name JOIN entries e ON e.ord = m.ord""")
+def directory_match(spark, sf):
+    """A directory of as many entries as there are customers, against all names."""
+    customer, k = X.table(spark, sf, "customer"), F.col("c_custkey")
+    entries = customer.select(k.alias("ord"), F.substring(
+        F.col("c_name"), (F.length("c_name") - k % 7).cast("int"), (1 + k % 9).cast("int")).alias("entity"))
+    names = customer.select(F.col("c_name").alias("name")).union(
+        X.table(spark, sf, "supplier").select("s_name")).union(X.table(spark, sf, "part").select("p_name"))
+    return first_matches(names, "name", entries).select("name", "ord", "entity")
+
+
 @query("compliance_substring", O.with_fx(["fx_labels"], f"""
   SELECT address, entity, (SELECT min_by(d.entity, d.ord) FROM {_COMPLIANCE_SQL}
     WHERE contains(lower(l.entity), lower(d.entity))) AS matched,

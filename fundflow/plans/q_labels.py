@@ -11,8 +11,9 @@ from fundflow.operators import tables as TB
 from fundflow.plans import fixtures as X
 from fundflow.plans import oracle as O
 from fundflow.plans import runs as R
-from fundflow.plans.catalog import ORACLES, query
+from fundflow.plans.catalog import query
 from fundflow.plans.q_trace import u5_ctes
+from fundflow.session import scratch_path
 from fundflow.sources import labels as L
 from fundflow.sources import packs as PK
 from fundflow.sources import reports as RP
@@ -27,14 +28,10 @@ _TAGS_SQL = f"""
          (['{"','".join(_SLUGS)}'])[CAST((l_orderkey + l_linenumber) % 6 AS INTEGER) + 1] AS slug,
          (['{"','".join(_NAMES)}'])[CAST((l_orderkey * 3 + l_linenumber) % 5 AS INTEGER) + 1]
            AS tag, l_orderkey, l_linenumber, l_partkey
-  FROM lineitem WHERE l_linenumber <> 3"""
+  FROM lineitem"""
 
 
 def _tags(spark, sf):
-    return _all_tags(spark, sf).filter(F.col("l_linenumber") != 3)
-
-
-def _all_tags(spark, sf):
     def pick(values, at):
         return F.get(F.array(*[F.lit(v) for v in values]), at.cast("int"))
     o, n = F.col("l_orderkey"), F.col("l_linenumber")
@@ -79,37 +76,16 @@ def _categories(rows):
         F.count(F.lit(1)).alias("n"))
 
 
-def _all_items(name: str) -> str:
-    """The statement of a query above, on the tags of every line."""
-    return ORACLES[name].replace(" WHERE l_linenumber <> 3", "")
-
-
-@query("labels_best_per_address_all", _all_items("labels_best_per_address"))
-def labels_best_per_address_all(spark, sf):
-    return L.best_tags(_all_tags(spark, sf), "ord")
-
-
-@query("labels_categories_all", _all_items("labels_categories"))
-def labels_categories_all(spark, sf):
-    return _categories(_all_tags(spark, sf))
-
-
 # ------------------------------------------------- replace, upsert, inventory
 
 @query("labels_replace", O.with_fx(["fx_labels", "fx_wallets"], """
   SELECT address, entity AS entity_name, category, source, confidence FROM fx_labels
   WHERE source <> 'seed'
   UNION ALL SELECT address, 'New ' || max(event_id), 'exchange', 'seed', 'medium'
-  FROM (SELECT 'u' || user_id AS address, event_id FROM events WHERE event_id % 3 = 0)
+  FROM (SELECT 'u' || user_id AS address, event_id FROM events)
   GROUP BY 1"""))
 def labels_replace(spark, sf):
     """The seed source is replaced by a snapshot that repeats its keys."""
-    return _replaced(spark, sf, X.table(spark, sf, "events").filter("event_id % 3 = 0"))
-
-
-@query("labels_replace_all", ORACLES["labels_replace"].replace(" WHERE event_id % 3 = 0", ""))
-def labels_replace_all(spark, sf):
-    """The same with a snapshot of every event."""
     return _replaced(spark, sf, X.table(spark, sf, "events"))
 
 
@@ -374,7 +350,7 @@ def pack_export(spark, sf):
 
 
 @query("pack_import", f"""
-  SELECT address, 'Flagged by Agency X: ' || reason || ' (flagged ' || flagged_utc || ')'
+  SELECT address, 'partner Agency X flags it: ' || reason || ', ' || flagged_utc
          AS entity_name, 'pack:agency-x' AS source FROM ({_PACK_ITEMS})""")
 def pack_import(spark, sf):
     """Two snapshots of one agency: the older and a tampered one fall away."""
@@ -408,20 +384,33 @@ def _raw_reports(spark, sf):
         F.lit(1).cast("bigint").alias("count"), F.array(report).alias("reports"))
 
 
-@query("reports_shaped", f"""
-  SELECT address, CAST(doc_id AS VARCHAR) AS id, category,
-         CAST(length(substr(text, 1, 1200)) AS BIGINT) AS n_chars,
-         sha256(substr(text, 1, 1200)) AS digest FROM ({_REPORTS_SQL})""")
-def reports_shaped(spark, sf):
-    return RP.shape_reports(_raw_reports(spark, sf)).select(
-        "address", "id", "category", F.length("description").cast("bigint").alias("n_chars"),
-        F.sha2("description", 256).alias("digest"))
+@query("keyed_upsert", """
+  SELECT p_partkey AS k, CASE WHEN p_partkey % 10 = 4 THEN 'note ' || p_size
+         ELSE p_name END AS note, CASE WHEN p_partkey % 10 = 4 THEN CAST(9 AS BIGINT)
+         ELSE CAST(p_partkey % 3 AS BIGINT) END AS seq FROM part WHERE p_partkey % 10 <> 7""")
+def keyed_upsert(spark, sf):
+    """Notes kept by part: some change twice, some are taken away, some changes
+    are older than what is stored."""
+    k = F.col("p_partkey")
+    part = X.table(spark, sf, "part")
+    table = TB.KeyedTable(scratch_path(spark, "notes"), ("k",), "seq", 16)
+    table.create(part.select(k.alias("k"), F.col("p_name").alias("note"), (k % 3).alias("seq")))
+    new = F.concat(F.lit("note "), "p_size")
+
+    def change(rows, note, seq, gone=False):
+        return rows.select(k.alias("k"), note.alias("note"), F.lit(seq).cast("bigint").alias("seq"),
+                           F.lit(gone).alias("deleted"))
+    four = part.filter(k % 10 == 4)
+    table.upsert(change(four, F.lit("first"), 5).unionByName(change(four, new, 9)).unionByName(
+        change(part.filter(k % 10 == 7), F.lit(""), 5, True)))
+    table.upsert(change(part.filter(k % 10 == 5), F.lit("late"), -1))
+    return table.read(spark).select("k", "note", "seq")
 
 
-@query("reports_whole", f"""
+@query("reports_shaped", f"""
   SELECT address, CAST(doc_id AS VARCHAR) AS id, category,
          CAST(length(text) AS BIGINT) AS n_chars, sha256(text) AS digest FROM ({_REPORTS_SQL})""")
-def reports_whole(spark, sf):
+def reports_shaped(spark, sf):
     return RP.whole_reports(_raw_reports(spark, sf)).select(
         "address", "id", "category", F.length("description").cast("bigint").alias("n_chars"),
         F.sha2("description", 256).alias("digest"))
@@ -434,14 +423,23 @@ def report_categories(spark, sf):
 
 
 @query("report_labels", f"""
-  SELECT address, string_agg(category || ' x' || n, ', ' ORDER BY k) AS top FROM (
+  SELECT address, 'scam reports by the public: ' || sum(n) || ', most as '
+         || string_agg(category || ' x' || n, ', ' ORDER BY k) FILTER (k <= 4) || '; not verified'
+         AS entity_name, false AS deleted FROM (
     SELECT address, category, n, row_number() OVER (PARTITION BY address
       ORDER BY n DESC, category) AS k
     FROM (SELECT address, category, count(*) AS n FROM ({_REPORTS_SQL}) GROUP BY 1, 2))
-  WHERE k <= 4 GROUP BY 1""")
+  GROUP BY 1
+  UNION ALL SELECT 'q' || c_custkey, 'scam reports by the public: 0; not verified', true FROM customer""")
 def report_labels(spark, sf):
-    reports = RP.whole_reports(_raw_reports(spark, sf))
-    return RP.top_categories(RP.report_categories(reports)).drop("chain")
+    """Labels of addresses with reports; customers were looked up without any."""
+    categories = RP.report_categories(RP.whole_reports(_raw_reports(spark, sf)))
+    counts = categories.groupBy("address", "chain").agg(F.sum("n").alias("report_count"))
+    clean = X.table(spark, sf, "customer").select(
+        F.concat(F.lit("q"), "c_custkey").alias("address"), F.lit(S.BITCOIN).alias("chain"),
+        F.lit(0).cast("bigint").alias("report_count"))
+    return RP.report_labels(counts.unionByName(clean), categories).select(
+        "address", "entity_name", "deleted")
 
 
 @query("fresh_reports", """

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fundflow import schemas as S
 from fundflow.functions.amounts import hex_amount, to_units
+from fundflow.operators.flows import exact_totals
 from fundflow.functions.text import iso_text
 from fundflow.plans import fixtures as X
 from fundflow.plans import oracle as O
@@ -130,6 +131,33 @@ def account_tokens(spark, sf):
         F.col("value_raw").cast("bigint").alias("value_raw"), "value")
 
 
+# Three blocks of 26 digits for each token amount, summed apart and carried in SQL.
+_BLOCKS = f"""
+  SELECT receiver, lpad(CAST(cents AS VARCHAR), 26, '7') AS a, lpad(CAST(k AS VARCHAR), 26, '9') AS b,
+         lpad(CAST(cents AS VARCHAR), 26, '8') AS c FROM ({_ACCOUNT}) WHERE receiver <> ''"""
+
+
+@query("amounts_wide", f"""
+  SELECT to_address, n_movements, ltrim(CAST(a AS VARCHAR) || lpad(CAST(b AS VARCHAR), 26, '0')
+         || lpad(CAST(c AS VARCHAR), 26, '0'), '0') AS total, largest FROM (
+    SELECT receiver AS to_address, CAST(count(*) AS BIGINT) AS n_movements, max(a || b || c) AS largest,
+           sum(CAST(c AS HUGEINT)) % 100000000000000000000000000::HUGEINT AS c,
+           (sum(CAST(b AS HUGEINT)) + sum(CAST(c AS HUGEINT)) // 100000000000000000000000000::HUGEINT)
+             % 100000000000000000000000000::HUGEINT AS b,
+           sum(CAST(a AS HUGEINT)) + (sum(CAST(b AS HUGEINT))
+             + sum(CAST(c AS HUGEINT)) // 100000000000000000000000000::HUGEINT)
+             // 100000000000000000000000000::HUGEINT AS a
+    FROM ({_BLOCKS}) GROUP BY 1)""")
+def amounts_wide(spark, sf):
+    """Token amounts of 78 digits: exact totals and largest amount of every receiver."""
+    cents, k = F.col("cents").cast("string"), F.col("k").cast("string")
+    raw = _account_base(spark, sf).withColumns({
+        "contractAddress": F.lit("0xC"), "tokenSymbol": F.lit("TKN"), "tokenDecimal": F.lit("18"),
+        "value": F.concat(F.lpad(cents, 26, "7"), F.lpad(k, 26, "9"), F.lpad(cents, 26, "8"))})
+    return exact_totals(A.account_tokens(raw), "to_address").select(
+        "to_address", "n_movements", "total", "largest")
+
+
 @query("indexed_transfers", f"""
   SELECT txid, nullif(sec, 0) AS ts, sender AS from_address, receiver AS to_address,
          cents AS value_raw, CASE WHEN k % 2 = 0 THEN 'ETH' ELSE 'TKN' END AS asset,

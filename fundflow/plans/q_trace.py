@@ -451,12 +451,27 @@ def exit_paths(spark, sf):
         "end_address", "hop", "n_hops", "txid", "from_address", "to_address", "value_raw")
 
 
-@query("traceroute_lines", O.with_fx([], "SELECT end_address, hop, 'Hop ' || hop || ' of ' "
-                                     "|| n_hops AS lead FROM (" + _paths_sql() + ")"))
+_LINE = """
+  SELECT p.end_address, p.hop, 'Hop ' || p.hop || ' of ' || p.n_hops || ': ' || p.from_address || ' -> '
+         || p.to_address || '  ' || rtrim(rtrim(format('{:,.6f}', p.value_raw / 100.0::DOUBLE), '0'), '.')
+         || ' ' || m.asset || coalesce(' (~$' || format('{:,.2f}', u.usd_cents / 100.0::DOUBLE) || ')', '')
+         || '  tx ' || p.txid || '  '
+         || strftime(make_timestamp(m.ts * 1000000), '%Y-%m-%d %H:%M:%S') || ' UTC' AS line
+  FROM paths p JOIN fx_moves m ON m.txid = p.txid JOIN t_usd u ON u.txid = p.txid
+    AND u.src = p.from_address AND u.dst = p.to_address"""
+
+
+def _lines_sql():
+    sql = _paths_sql()
+    at = sql.rindex("      SELECT w.end_address")
+    return sql[:at].rstrip() + ",\npaths AS (" + sql[at:] + ")\n" + _LINE.replace(
+        "SELECT p.end_address", "SELECT DISTINCT p.end_address", 1)
+
+
+@query("traceroute_lines", _lines_sql())
 def traceroute_lines(spark, sf):
     run = R.u5_valued(spark, sf)
-    lines = E.traceroute(E.exit_paths(run, E.exits(run)))
-    return lines.select("end_address", "hop", F.split("line", ":")[0].alias("lead"))
+    return E.traceroute(E.exit_paths(run, E.exits(run))).select("end_address", "hop", "line")
 
 
 # -------------------------------------------------------------------- prices

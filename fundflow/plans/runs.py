@@ -164,12 +164,6 @@ def members(spark, sf) -> DataFrame:
     return materialise(cluster.components(edges), "members")
 
 
-@shared
-def members_all(spark, sf) -> DataFrame:
-    edges = cluster.cospend_edges(X.cospend_all(spark, sf))
-    return materialise(cluster.components(edges), "members-all")
-
-
 @shared
 def finding_inputs(spark, sf, which: str) -> findings.FindingInputs:
     run = {"u5": u5_valued, "customers": customers, "nations": nations}[which](spark, sf)

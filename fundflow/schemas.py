@@ -6,7 +6,8 @@ MOVEMENT_COLUMNS = {
     "chain": "string", "txid": "string", "ts": "bigint", "from_address": "string",
     "to_address": "string", "asset": "string", "value": "double",
     "value_raw": "decimal(38,0)", "is_self_transfer": "boolean",
-    "token_contract": "string", "transfer_kind": "string", "oversize": "boolean"}
+    "token_contract": "string", "transfer_kind": "string", "oversize": "boolean",
+    "value_limbs": "array<bigint>"}
 MOVEMENTS = ", ".join(f"{name} {kind}" for name, kind in MOVEMENT_COLUMNS.items())
 
 LABELS = (

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundflow import schemas as S
-from fundflow.functions.amounts import hex_amount, hex_double, is_oversize, parse_amount
+from fundflow.functions import wide
+from fundflow.functions.amounts import (
+    hex_amount, hex_double, is_oversize, parse_amount, parse_limbs)
 
 # ---- fixed values --------------------------------------------------------
 TOKEN_REGISTRY = (
@@ -47,7 +49,7 @@ def _movements(df: DataFrame, chain: str) -> DataFrame:
         F.lit(chain).alias("chain"), "txid", "ts", "from_address", "to_address", "asset",
         "value", "value_raw",
         (F.col("from_address") == F.col("to_address")).alias("is_self_transfer"),
-        "token_contract", "transfer_kind", "oversize")
+        "token_contract", "transfer_kind", "oversize", "value_limbs")
 
 
 def account_native(raw: DataFrame, chain: str = S.ETHEREUM) -> DataFrame:
@@ -60,7 +62,8 @@ def account_native(raw: DataFrame, chain: str = S.ETHEREUM) -> DataFrame:
         F.lit("ETH").alias("asset"),
         (F.col("value").try_cast("double") / F.lit(1e18)).alias("value"),
         raw_value.alias("value_raw"), F.lit(None).cast("string").alias("token_contract"),
-        F.lit("native").alias("transfer_kind"), is_oversize(F.col("value")).alias("oversize"))
+        F.lit("native").alias("transfer_kind"), is_oversize(F.col("value")).alias("oversize"),
+        parse_limbs(F.coalesce("value", F.lit("0"))).alias("value_limbs"))
     return _movements(rows.filter("oversize or value_raw > 0"), chain)
 
 
@@ -79,7 +82,8 @@ def account_tokens(raw: DataFrame, chain: str = S.ETHEREUM) -> DataFrame:
         (amount.try_cast("double") / F.pow(F.lit(10.0), decimals.cast("double")))
         .alias("value"),
         parse_amount(amount).alias("value_raw"), contract.alias("token_contract"),
-        F.lit("token").alias("transfer_kind"), is_oversize(amount).alias("oversize"))
+        F.lit("token").alias("transfer_kind"), is_oversize(amount).alias("oversize"),
+        parse_limbs(amount).alias("value_limbs"))
     return _movements(rows, chain)
 
 
@@ -105,7 +109,8 @@ def indexed_transfers(raw: DataFrame, chain: str = S.ETHEREUM) -> DataFrame:
         (approx / F.pow(F.lit(10.0), decimals.cast("double"))).alias("value"),
         exact.alias("value_raw"), contract.alias("token_contract"),
         F.when(is_token, "token").otherwise("native").alias("transfer_kind"),
-        (exact.isNull() & approx.isNotNull()).alias("oversize"))
+        (exact.isNull() & approx.isNotNull()).alias("oversize"),
+        wide.from_hex(amount).alias("value_limbs"))
     return _movements(rows.filter("oversize or value_raw > 0"), chain)
 
 

@@ -28,8 +28,35 @@ def _rows(df: DataFrame, source: str) -> DataFrame:
                      F.lit(source).alias("source"), "confidence")
 
 
+def _whole_files(spark: SparkSession, path: str, end: str, what: str) -> None:
+    """Raise unless there is a file and every file ends with ``end``: a page of
+    an error or half a download must never pass for a list without entries."""
+    files = spark.read.format("binaryFile").load(path)
+    tail = F.decode(F.substring("content", -200, 200), "UTF-8")
+    ends = files.select("path", X.strip(tail).endswith(end).alias("whole"))
+    seen = ends.agg(F.count(F.lit(1)).alias("n"), F.min_by("path", "whole").alias("path"),
+                    F.bool_and("whole").alias("whole")).first()
+    if not seen["n"]:
+        raise ValueError(f"{what} is empty: {path}")
+    if not seen["whole"]:
+        raise ValueError(f"{what} is broken or cut off: {seen['path']}")
+
+
+def _items(spark: SparkSession, path: str, schema: str, column: str, what: str) -> DataFrame:
+    """Rows (source_note, ord, item) of the list ``column`` of JSON files.  A
+    file that is no JSON, or has no such list, raises when it is read."""
+    _whole_files(spark, path, "}", what)
+    raw = spark.read.option("multiLine", "true").option("mode", "FAILFAST").schema(schema).json(path)
+    found = F.coalesce(F.col(column), F.raise_error(F.lit(f"{what} has no list '{column}'"))
+                       .cast(raw.schema[column].dataType))
+    note = F.col("source_note") if "source_note" in raw.columns else F.lit(None).cast("string")
+    return raw.select(note.alias("source_note"), F.posexplode(found).alias("ord", "item"))
+
+
 def load_sdn(spark: SparkSession, path: str, source: str = "ofac_sdn") -> DataFrame:
-    """Sanctions list XML: digital-currency identifiers of every entry."""
+    """Sanctions list XML: digital-currency identifiers of every entry.  A file
+    that does not end as the list does raises, so the old snapshot stays."""
+    _whole_files(spark, path, "</sdnList>", "sanctions list")
     schema = ("firstName string, lastName string, "
               "idList struct<id: array<struct<idType: string, idNumber: string>>>")
     entries = spark.read.format("xml").option("rowTag", "sdnEntry").schema(schema).load(path)
@@ -182,10 +209,8 @@ def category_counts(labels: DataFrame) -> DataFrame:
 
 
 def load_seed(spark: SparkSession, path: str, source: str = "seed_community") -> DataFrame:
-    raw = spark.read.option("multiLine", "true").schema(
-        "labels array<struct<address: string, chain: string, entity: string, "
-        "category: string>>").json(path)
-    rows = raw.select(F.explode("labels").alias("l")).select("l.*")
+    rows = _items(spark, path, "labels array<struct<address: string, chain: string, "
+                  "entity: string, category: string>>", "labels", "seed file").select("item.*")
     return _rows(rows.select(
         X.norm_addr(F.col("address"), F.col("chain")).alias("address"), "chain",
         F.col("entity").alias("entity_name"), "category",
@@ -202,9 +227,7 @@ _CUSTODIANS = ("source_note string, custodians array<struct<entity: string, "
 
 
 def _directory(spark, path, schema, column) -> DataFrame:
-    raw = spark.read.option("multiLine", "true").schema(schema).json(path)
-    return raw.select("source_note", F.posexplode(column).alias("ord", "item")).select(
-        "ord", "item.*", "source_note")
+    return _items(spark, path, schema, column, "directory").select("ord", "item.*", "source_note")
 
 
 def load_compliance(spark: SparkSession, path: str) -> DataFrame:

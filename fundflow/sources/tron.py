@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fundflow import schemas as S
-from fundflow.functions.amounts import is_oversize, parse_amount
+from fundflow.functions.amounts import is_oversize, parse_amount, parse_limbs
+from fundflow.functions.text import strip
 from fundflow.functions.base58 import base58check
 
 # ---- fixed values --------------------------------------------------------
@@ -37,7 +38,8 @@ def tron_native(raw: DataFrame) -> DataFrame:
         F.col("amount").cast("decimal(38,0)").alias("value_raw"),
         (F.col("from_address") == F.col("to_address")).alias("is_self_transfer"),
         F.lit(None).cast("string").alias("token_contract"),
-        F.lit("native").alias("transfer_kind"), F.lit(False).alias("oversize"))
+        F.lit("native").alias("transfer_kind"), F.lit(False).alias("oversize"),
+        F.lit(None).cast("array<bigint>").alias("value_limbs"))
 
 
 def tron_tokens(raw: DataFrame) -> DataFrame:
@@ -51,7 +53,7 @@ def tron_tokens(raw: DataFrame) -> DataFrame:
     amount = F.coalesce("value", F.lit("0"))
     return raw.filter(
         (F.col("type") == "Transfer") & (F.coalesce("from", F.lit("")) != "")
-        & (F.coalesce("to", F.lit("")) != "") & amount.rlike("^ *[0-9]+ *$")).select(
+        & (F.coalesce("to", F.lit("")) != "") & strip(amount).rlike("^[0-9]+$")).select(
         F.lit(S.TRON).alias("chain"), F.coalesce("transaction_id", F.lit("")).alias("txid"),
         _seconds().alias("ts"), F.col("from").alias("from_address"),
         F.col("to").alias("to_address"),
@@ -60,4 +62,4 @@ def tron_tokens(raw: DataFrame) -> DataFrame:
         .alias("value"), parse_amount(amount).alias("value_raw"),
         (F.col("from") == F.col("to")).alias("is_self_transfer"),
         contract.alias("token_contract"), F.lit("token").alias("transfer_kind"),
-        is_oversize(amount).alias("oversize"))
+        is_oversize(amount).alias("oversize"), parse_limbs(amount).alias("value_limbs"))

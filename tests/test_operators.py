@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 
+import pytest
 from helpers import facts, frame, label_rows, movements, run
 from pyspark.sql import functions as F
 
@@ -50,6 +51,40 @@ def test_entity_match_takes_the_first_entry_of_the_file(spark):
     assert [r[0] for r in got.collect()] == ["a", None, None]
 
 
+def test_wide_amounts(spark):
+    from fundflow.functions import wide
+    many = ["9" * 36] * 200 + ["1" * 78, "0", "00012", str(2**256 - 1)]
+    df = spark.createDataFrame([(t,) for t in many + ["x", "", None, "9" * 82]], "t string")
+    limbs = df.select(wide.from_digits(F.col("t")).alias("l"))
+    row = limbs.agg(wide.to_digits(wide.total(F.col("l"))).alias("s"), F.count("l").alias("n"),
+                    wide.to_digits(F.max("l")).alias("m")).first()
+    assert (int(row.s), row.n, int(row.m)) == (sum(map(int, many)), len(many), max(map(int, many)))
+    for a, b in ((0, 0), (10**9 - 1, 1), (2**255, 2**255 - 1), (10**40, 999)):
+        got = spark.range(1).select(wide.to_digits(wide.add(*(wide.from_digits(F.lit(str(v)))
+                                                              for v in (a, b))))).first()[0]
+        assert int(got) == a + b
+    for v in (0, 5, 2**28, 2**60 - 1, 10**30, 2**256 - 1):
+        got = spark.range(1).select(wide.from_hex(F.lit(hex(v))).alias("l")).select(
+            wide.to_digits(F.col("l")), wide.to_decimal(F.col("l"))).first()
+        assert int(got[0]) == v and (got[1] is None) == (v >= 10**38)
+    assert spark.range(1).select(wide.from_hex(F.lit("0xzz"))).first()[0] is None
+    most = wide.from_digits(F.lit("9" * 81))
+    assert spark.range(1).select(wide.add(most, most)).first()[0] is None  # too wide: no wrong digits
+
+
+@pytest.mark.parametrize("pattern, want", [("rapid", {"big"}), ("balanced", {"big"})])
+def test_amounts_of_any_size_decide_branches(spark, pattern, want):
+    from fundflow.operators.branches import select_branches
+    rows = [("big", "a", "b", "X", 1e21)] + [(f"s{i}", "a", f"c{i}", "X", 5.0 + i) for i in range(5)]
+    df = spark.createDataFrame(rows, "txid string, address string, next_address string, asset string, value double") \
+        .withColumn("ts", F.lit(1))
+    assert {r.txid for r in select_branches(df, ["address"], pattern).collect()} == want
+    held = spark.range(1).select(amounts.display_units(F.lit(1e21)), amounts.display_units(F.lit(1e40))).first()
+    assert int(held[0]) == 10**31 and int(held[1]) == 10**35
+    small = spark.range(1).select(amounts.display_units(F.lit(123456789.12)), amounts.display_units(F.lit(-0.5))).first()
+    assert [int(v) for v in small] == [1234567891200000000, -5 * 10**9]
+
+
 def test_amount_parsing(spark):
     big = "9" * 40
     row = spark.range(1).select(
@@ -121,7 +156,8 @@ def test_wide_amounts_do_not_stop_a_job(spark):
         F.lit("w").alias("address"), F.lit("SPAM").alias("asset"), F.col("id").cast("string").alias("txid"),
         F.col("id").alias("ts"), F.lit("n").alias("next_address"),
         F.lit("9" * 36).cast("decimal(38,0)").alias("value_raw"), F.lit(1e36).alias("value"))
-    for pattern, n in ((S.RAPID, 3), (S.BALANCED, 8)):
+    # two hundred equal branches: none carries 5 %
+    for pattern, n in ((S.RAPID, 3), (S.BALANCED, 0)):
         assert B.select_branches(rows, ["address"], pattern).count() == n
     assert rows.agg(F.try_sum("value_raw")).first()[0] is None
 
@@ -157,6 +193,59 @@ def test_replace_and_upsert(spark):
     assert values(TB.upsert(old, change, ["k"], "seq"), "k", "v") == [("k1", "v3"), ("k3", "n")]
 
 
+def test_keyed_table_rewrites_touched_buckets_only(spark, tmp_path):
+    import os
+    path = str(tmp_path / "keyed")
+    table = TB.KeyedTable(path, ("k",), "seq", 8)
+    table.create(spark.range(2000).select(F.col("id").alias("k"), F.lit("old").alias("v"), F.lit(1).cast("bigint").alias("seq")))
+
+    def stamps():
+        return {d: sorted(os.listdir(f"{path}/{d}")) for d in os.listdir(path) if d.startswith("_bucket")}
+
+    def change(*rows):
+        return table.upsert(frame(spark, rows, "k bigint, v string, seq bigint, deleted boolean"))
+    before = stamps()
+    assert len(change((7, "new", 2, False))) == 1
+    assert sum(before[d] != now for d, now in stamps().items()) == 1
+    assert len(change((7, "tie", 2, False), (8, "", 5, True), (9, "late", 0, False), (-1, "added", 1, False))) <= 4
+    rows = {r.k: (r.v, r.seq) for r in table.read(spark).collect()}
+    assert rows[7] == ("tie", 2) and 8 not in rows and rows[9] == ("old", 1) and rows[-1] == ("added", 1)
+    assert len(rows) == 2000 and change() == []
+    small = TB.KeyedTable(str(tmp_path / "small"), ("k",), "seq", 4)
+    small.create(frame(spark, [(1, "a", 1), (2, "b", 1)], "k bigint, v string, seq bigint"))
+    small.upsert(frame(spark, [(1, "", 2, True)], "k bigint, v string, seq bigint, deleted boolean"))
+    assert [r.k for r in small.read(spark).collect()] == [2]  # an emptied bucket goes
+
+
+def test_directory_of_any_size(spark):
+    from fundflow.operators.directory import first_matches
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randrange(0, 7))) for _ in range(300)]
+    names = [" ".join(rng.sample(words, 3)).upper() for _ in range(200)] + ["", None, "zz", "z"]
+    for entries in (words, [w for w in words if len(w) > 2], ["zz", "Z"], []):
+        directory = spark.createDataFrame(list(enumerate(entries)), "ord long, entity string")
+        df = spark.createDataFrame([(n,) for n in names], "name string")
+        got = {r.name: (r.ord, r.entity) for r in first_matches(df, "name", directory).collect()}
+        want = {}
+        for n in names:
+            hits = [(i, e) for i, e in enumerate(entries) if n is not None and e.lower() in n.lower()]
+            if hits:
+                want[n] = hits[0]
+        assert got == want
+
+
+def test_paths_of_many_hops_take_few_rounds(spark, monkeypatch):
+    from fundflow.operators import exits as EX
+    written = []
+    keep = EX.materialise
+    monkeypatch.setattr(EX, "materialise", lambda df, name, **k: written.append(name) or keep(df, name, **k))
+    rows = [(f"t{i}", i, f"w{i}", f"w{i + 1}", "X", 1000) for i in range(25)]
+    out = run(spark, rows, seed="w0", extended=True, labels=[("w25", "Kraken", "exchange", "seed", "medium")])
+    hops = EX.exit_paths(out, EX.exits(out)).orderBy("hop").collect()
+    assert [(h.hop, h.txid) for h in hops] == [(i + 1, f"t{i}") for i in range(25)]
+    assert written.count("walk") == 5
+
+
 # ------------------------------------------------------------------ prices
 
 def test_valuation_rules(spark):

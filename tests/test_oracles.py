@@ -34,11 +34,11 @@ def test_whole_tables_are_read(spark, sf):
                  "clusters", "finding_cluster", "labels_best_per_address", "labels_categories",
                  "labels_replace"):
         for cut in ("l_quantity >= 40", "l_linenumber <> 3", "event_id % 3 = 0"):
-            assert cut not in ORACLES[f"{name}_all"]
+            assert cut not in ORACLES[name]
     lines = X.table(spark, sf, "lineitem")
-    assert QUERIES["labels_categories_all"](spark, sf).agg({"n": "sum"}).first()[0] == lines.count()
+    assert QUERIES["labels_categories"](spark, sf).agg({"n": "sum"}).first()[0] == lines.count()
     keys = lines.selectExpr("concat_ws('|', l_suppkey, to_date(l_shipdate), l_partkey % 5) AS txid").distinct()
-    assert X.cospend_all(spark, sf).select("txid").distinct().count() == keys.count()
+    assert X.cospend(spark, sf).select("txid").distinct().count() == keys.count()
 
 
 def test_entry_runs(spark):

@@ -216,8 +216,8 @@ def test_scam_reports(spark):
             len(row.losses)) == (1200, 25, 20, 10)
     labels = RP.report_labels(RP.report_counts(raw), RP.report_categories(shaped))
     got = {r.address: (r.entity_name, r.deleted) for r in labels.collect()}
-    assert got[EVM.lower()] == ("2 public scam report(s) [RUG x1, UNSPECIFIED x1] "
-                                "(unverified third-party reports)", False)
+    assert got[EVM.lower()] == ("scam reports by the public: 2, most as RUG x1, "
+                                "UNSPECIFIED x1; not verified", False)
     assert got["1Aa"][1] is True
 
 
@@ -240,6 +240,39 @@ def test_broken_blacklist_raises(spark, tmp_path):
     assert L.load_blacklist(spark, write(tmp_path / "none.json", "[]")).collect() == []
 
 
+@pytest.mark.parametrize("load, good", [
+    (L.load_sdn, "<sdnList><sdnEntry><lastName>A</lastName></sdnEntry></sdnList>"),
+    (L.load_seed, '{"labels": []}'), (L.load_compliance, '{"designations": []}'),
+    (L.load_custodians, '{"custodians": []}')])
+def test_a_broken_file_is_no_empty_snapshot(spark, tmp_path, load, good):
+    """Error pages, half downloads, other documents and empty files raise."""
+    assert load(spark, write(tmp_path / "good", good)).collect() == []
+    texts = ["<html><body>503</body></html>", "", good[:-4], "{}", '{"error": "busy"}', good + " {"]
+    for i, text in enumerate(texts):
+        with pytest.raises(Exception):
+            load(spark, write(tmp_path / f"bad{i}", text)).collect()
+
+
+def test_exact_amounts_of_any_width_in_transfers(spark):
+    from fundflow.operators.flows import exact_totals
+    values = ["9" * 36] * 200 + ["1" + "0" * 77, "\t12\n"]
+    raw = spark.createDataFrame([(f"h{i}", "1", "0xa", "0xb", v, "0xc", "TKN", "18") for i, v in enumerate(values)],
+                                "hash string, timeStamp string, from string, to string, value string, "
+                                "contractAddress string, tokenSymbol string, tokenDecimal string")
+    got = exact_totals(A.account_tokens(raw), "asset").first()
+    assert int(got.total) == sum(int(v) for v in values) and (got.n_movements, got.n_exact) == (202, 202)
+    assert int(got.largest) == 10**77
+
+
+def test_newest_pack_by_time_whatever_the_notation(spark):
+    from fundflow.sources import packs as PK
+    flags = frame(spark, [("0xA1", "ethereum", "r", 1, "2024-01-02")],
+                  "address string, chain string, reason string, case_id bigint, created_utc string")
+    new = PK.export_pack(flags.withColumn("reason", F.lit("new")), "Agency", "", "2024-05-01T10:00:00+00:00")
+    old = PK.export_pack(flags, "Agency", "", "2024-05-01T11:30:00+02:00")  # 9:30, though later as text
+    assert PK.pack_labels(old.unionByName(new)).first().entity_name.split(": ")[1].startswith("new")
+
+
 def test_white_space_of_any_kind_is_stripped(spark):
     rows = spark.createDataFrame([(i, a + EVM + b) for i, (a, b) in enumerate(
         [("", "\r"), ("\t", "\n"), (" ", "\r\n"), ("  ", "\x1f")])], "ord int, raw string")
