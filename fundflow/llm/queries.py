@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fundflow.llm import (
     blocks, bpe, common, decontaminate, forest, jaccard, language, licences, merkle,
-    quality, secrets_ledger, suffixes, toxicity, whitening)
+    quality, secrets_ledger, statements, suffixes, toxicity, whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,3 +101,7 @@ def op12_forest(spark, sf_dir):
 @query
 def op13_merkle(spark, sf_dir):
     return merkle.manifest(common.table(spark, sf_dir, "documents"), merkle.without_newlines())
+
+
+ORACLES.update({"op6_suffixes": statements.SUFFIXES, "op8_blocks": statements.BLOCKS,
+                "op9_jaccard": statements.JACCARD, "op13_merkle": statements.merkle()})
