@@ -136,10 +136,13 @@ def _ratio(forest: Forest, recall: float, rng) -> float:
         return np.inf
     some = np.sort(rng.permutation(len(sample))[:PAIRS])
     unit = sample[some]
-    near = unit @ sample.T
-    near[np.arange(len(some)), some] = -2
-    best = np.argpartition(-near, k, axis=1)[:, :k]
-    reach = np.maximum(forest.reach(unit), 1e-12)
+    best = np.empty((len(some), k), np.int64)
+    for start in range(0, len(some), 64):  # small blocks: the driver holds little
+        near = unit[start:start + 64] @ sample.T
+        near[np.arange(len(near)), some[start:start + 64]] = -2
+        best[start:start + 64] = np.argpartition(-near, k, axis=1)[:, :k]
+    reach = np.concatenate([forest.reach(unit[i:i + 64]) for i in range(0, len(unit), 64)])
+    reach = np.maximum(reach, 1e-12)
     leaves = forest.leaves(sample)
     least = np.full(best.shape, np.inf)
     for t, (directions, splits) in enumerate(zip(forest.directions, forest.splits)):
@@ -189,8 +192,8 @@ def _cells(forest: Forest):
 def _walks(forest: Forest):
     def run(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                some = batch.slice(start, 512)
+            for start in range(0, batch.num_rows, 128):
+                some = batch.slice(start, 128)
                 yield pa.RecordBatch.from_arrays(
                     [*some.columns, pa.array(forest.walk(_unit(_matrix(some))), pa.list_(pa.int64()))],
                     names=[*some.schema.names, "cells"])
