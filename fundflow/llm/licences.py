@@ -128,15 +128,21 @@ def evaluate(items: list[str]) -> tuple[float, set[str]]:
 
 
 def expression(text: str) -> list[str]:
-    """Items of the longest well-formed expression at the head of a text."""
-    items, best = [], []
+    """Items, in evaluation order, of the longest well-formed expression at the
+    head of a text.  One pass finds where it ends: after an operand, outside
+    parentheses, before the first item that cannot follow."""
+    items, good, depth, operand = [], 0, 0, False
     for item in _ITEM.findall(text):
+        closes = item == ")"
+        follows = closes or item.lower() in RANK
+        if follows != operand or (closes and not depth):
+            break
         items.append(item)
-        try:
-            best = postfix(items)
-        except ValueError:
-            pass
-    return best
+        depth += (item == "(") - closes
+        operand = closes or not (follows or item == "(")
+        if operand and not depth:
+            good = len(items)
+    return postfix(items[:good]) if good else []
 
 
 def automaton() -> ahocorasick.Automaton:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -229,6 +230,19 @@ def test_licence_expressions():
     assert licences.evaluate(licences.expression("(MIT OR GPL-2.0) AND GPL-3.0"))[0] == 0.3
     assert licences.evaluate(licences.expression("GPL-2.0 WITH Classpath-exception-2.0"))[0] == 0.5
     assert licences.expression("AND MIT") == []
+    rng = random.Random(2)
+    for _ in range(3000):  # the longest prefix that parses, by trying all
+        items = [rng.choice(["MIT", "GPL-2.0", "(", ")", "AND", "or", "With"]) for _ in range(rng.randrange(9))]
+        best = []
+        for n in range(1, len(items) + 1):
+            try:
+                best = licences.postfix(items[:n])
+            except ValueError:
+                pass
+        assert licences.expression(" ".join(items)) == best
+    started = time.perf_counter()
+    assert len(licences.expression(" AND ".join(["MIT"] * 100_000))) == 199_999
+    assert time.perf_counter() - started < 5
 
 
 def test_secrets(docs, texts):
