@@ -15,7 +15,7 @@ from fundflow import schemas as S
 from fundflow.operators import classify, cluster, findings, prices
 from fundflow.operators.trace import TraceParams, TraceResult, trace_many
 from fundflow.plans import fixtures as X
-from fundflow.session import materialise
+from fundflow.session import materialise, release_scratch
 from fundflow.sources.ledger import SaltedLedger, address_activity
 
 EVENT_ASSETS = ("click", "error", "purchase", "signup", "view")
@@ -24,8 +24,14 @@ BUSY_CUSTOMER = 15      # customers with many orders, for the backward run
 _memo: dict[tuple, object] = {}
 
 
-def forget() -> None:
+def forget(spark: SparkSession | None = None) -> None:
+    """Forget shared results; with a session, also delete what they were written to."""
+    for kept in _memo.values():
+        if isinstance(kept, SaltedLedger):
+            kept.drop()
     _memo.clear()
+    if spark is not None:
+        release_scratch(spark)
 
 
 def shared(fn):

@@ -9,7 +9,6 @@ and AQE choose broadcast or shuffle joins from measured bytes.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -27,9 +26,6 @@ RECOMMENDED_CONF = {
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
-_own_roots: dict[str, str] = {}
-
-
 def build_session(app_name: str = "fundflow", master: str | None = None,
                   **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
@@ -45,14 +41,11 @@ def scratch_root(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    app = spark.sparkContext.applicationId
-    if app not in _own_roots:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(
-                "spark.checkpoint.dir is unset: name a folder that every "
-                "executor can read before running an iterative job")
-        _own_roots[app] = tempfile.mkdtemp(prefix="fundflow-")
-    return _own_roots[app]
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(
+            "spark.checkpoint.dir is unset: name a folder that every "
+            "executor can read before running an iterative job")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

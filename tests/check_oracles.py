@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -65,7 +66,9 @@ def main(argv):
     spark = build_session("check", "local[8]", **{
         "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
         "spark.sql.shuffle.partitions": "8",
-        "spark.driver.memory": "8g"})
+        "spark.driver.memory": "8g",
+        "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="warehouse-"),
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="checkpoint-")})
     spark.sparkContext.setLogLevel("ERROR")
     con, bad = connect(sf), 0
     for name in chosen:

@@ -11,11 +11,13 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from fundflow.session import build_session
     session = build_session("tests", "local[8]", **{
         "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
-        "spark.sql.shuffle.partitions": "2", "spark.driver.memory": "4g"})
+        "spark.sql.shuffle.partitions": "2", "spark.driver.memory": "4g",
+        "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
+        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoint"))})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
