@@ -157,25 +157,48 @@ def _case_tables(spark, sf):
     return P.export_case(3, X.cases(spark, sf), R.traces(spark, sf), log, notes, flags, flags)
 
 
-@query("case_export", f"""
-  SELECT 'custody_log' AS part, CAST(id AS VARCHAR) AS item FROM ({_CASE_LOG})
-  WHERE trace_id IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)
-  UNION ALL SELECT 'traces', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_nationkey = 3
-  UNION ALL SELECT 'cases', n_name FROM nation WHERE n_nationkey = 3""")
-def case_export(spark, sf):
-    t = _case_tables(spark, sf)
+_MINE = "SELECT c_custkey FROM customer WHERE c_nationkey = 3"
+_CASE_FLAGS = "SELECT address, reason FROM fx_flags WHERE case_id = 3"
+
 
-    def part(name, column):
-        return t[name].select(F.lit(name).alias("part"),
-                              F.col(column).cast("string").alias("item"))
-    return part("custody_log", "id").unionByName(part("traces", "trace_id")).unionByName(
-        part("cases", "name"))
+def _parts(tables, **columns):
+    """(part, item): the named columns of every table of a case, joined."""
+    out = None
+    for name, shown in columns.items():
+        row = tables[name].select(F.lit(name).alias("part"), F.concat_ws("|", *(
+            F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in shown)).alias("item"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
-@query("case_import", f"""
-  SELECT l.id, 5000 + m.k AS trace_id FROM ({_CASE_LOG}) l
-  JOIN (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS k FROM customer
-        WHERE c_nationkey = 3) m ON m.c_custkey = l.trace_id""")
+@query("case_export", O.with_fx(["fx_flags"], f"""
+  SELECT 'custody_log' AS part, id || '|' || trace_id || '|' || url AS item FROM ({_CASE_LOG})
+  WHERE trace_id IN ({_MINE})
+  UNION ALL SELECT 'traces', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_nationkey = 3
+  UNION ALL SELECT 'cases', '3|' || n_name FROM nation WHERE n_nationkey = 3
+  UNION ALL SELECT 'annotations', '3|' || address || '|' || reason FROM ({_CASE_FLAGS})
+  UNION ALL SELECT 'flags', '3|' || address || '|' || reason FROM ({_CASE_FLAGS})
+  UNION ALL SELECT 'watches', '3|' || address || '|' || reason FROM ({_CASE_FLAGS})"""))
+def case_export(spark, sf):
+    """All six tables of a case."""
+    return _parts(_case_tables(spark, sf), custody_log=("id", "trace_id", "url"), traces=("trace_id",),
+                  cases=("id", "name"), annotations=("case_id", "address", "note"),
+                  flags=("case_id", "address", "reason"), watches=("case_id", "address", "reason"))
+
+
+@query("case_import", O.with_fx(["fx_flags"], f"""
+  SELECT 'custody_log' AS part, l.id || '|' || (5000 + m.k) AS item FROM ({_CASE_LOG}) l
+  JOIN (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS k FROM ({_MINE})) m
+    ON m.c_custkey = l.trace_id
+  UNION ALL SELECT 'traces', '77|' || (5000 + row_number() OVER (ORDER BY c_custkey)) FROM ({_MINE})
+  UNION ALL SELECT 'cases', '77|' || n_name FROM nation WHERE n_nationkey = 3
+  UNION ALL SELECT 'annotations', '77|' || address || '|' || reason FROM ({_CASE_FLAGS})
+  UNION ALL SELECT 'flags', '77|' || address || '|' || reason FROM ({_CASE_FLAGS})
+  UNION ALL SELECT 'watches', '77|' || address || '|' || reason FROM ({_CASE_FLAGS})"""))
 def case_import(spark, sf):
-    return P.import_case(_case_tables(spark, sf), 77, 5000)["custody_log"].select(
-        "id", "trace_id")
+    """All six tables under new ids."""
+    new = P.import_case(_case_tables(spark, sf), 77, 5000)
+    return _parts(new, custody_log=("id", "trace_id"), traces=("case_id", "trace_id"),
+                  cases=("id", "name"), annotations=("case_id", "address", "note"),
+                  flags=("case_id", "address", "reason"), watches=("case_id", "address", "reason"))
+
