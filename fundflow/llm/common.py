@@ -24,6 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not use."""
+    used = {c.lower() for c in docs.columns}
+    while name in used:
+        name += "_"
+    return name
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """(doc_id, text, ...) with an empty text in place of null."""
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)

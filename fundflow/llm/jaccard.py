@@ -397,7 +397,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     goes = classes.join(first, "component").filter(
         ~(F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("c1") == F.col("stays.c1")))) \
         .select(F.col("doc_id").alias("_id"), F.col("c1").alias("_c1"))
-    rows = docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    left = rows.join(goes, rows["doc_id"].eqNullSafe(goes["_id"]) & (rows["_text_hash"] == goes["_c1"]),
+    digest = common.free(docs, "_text_hash")
+    rows = docs.withColumn(digest, F.xxhash64(F.coalesce("text", F.lit(""))))
+    left = rows.join(goes, rows["doc_id"].eqNullSafe(goes["_id"]) & (rows[digest] == goes["_c1"]),
                      "left_anti")
-    return left.dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
+    return left.dropDuplicates(["doc_id", digest]).select(*docs.columns)

@@ -126,8 +126,9 @@ def report(found: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, found: DataFrame, mark: str = "[secret]") -> DataFrame:
     """Documents, given (blob, spans), with every span, overlapping ones joined, replaced by ``mark``."""
-    spans_of = found.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    rows = docs.join(spans_of, F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == F.col("_blob"), "left")
+    blob, spans = common.free(docs, "_blob"), common.free(docs, "_spans")
+    spans_of = found.select(F.col("blob").alias(blob), F.col("spans").alias(spans))
+    rows = docs.join(spans_of, F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == F.col(blob), "left")
 
     def put(state: Column, s: Column) -> Column:
         fresh = s["start"] >= state["at"]
@@ -135,11 +136,11 @@ def redacted(docs: DataFrame, found: DataFrame, mark: str = "[secret]") -> DataF
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"),
                         F.when(fresh, F.concat(state["out"], gap, F.lit(mark)))
                         .otherwise(state["out"]).alias("out"))
-    clean = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), put,
+    clean = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), put,
                         lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    out = rows.withColumn("text", F.when(F.col("_spans").isNotNull(), clean).otherwise(F.col("text")))
+    out = rows.withColumn("text", F.when(F.col(spans).isNotNull(), clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(kind))
+        out = out.withColumn("n_chars", F.when(F.col(spans).isNotNull(), F.length("text").cast(kind))
                              .otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

@@ -367,3 +367,25 @@ def test_pipeline(spark):
     docs = common.table(spark, sf, "documents").toPandas()
     assert out.doc_id.is_unique and set(out.doc_id) <= set(docs.doc_id) and len(out) > 0.5 * len(docs)
     assert (out.ids.map(len) == out.n_tokens).all()
+
+
+def test_stages_take_any_columns_and_no_rows(spark, sf):
+    """Null ids, repeated rows, null, empty and long texts, columns of clashing names; no rows."""
+    clean = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, clean), (1, clean), (2, clean + " more"), (None, "token: abcdef12345 " + clean[::-1]), (3, None),
+            (4, ""), (5, " \n "), (6, "password = hunter2hunter2\n" + "long " * 20_000)]
+    names = ("_blob", "_spans", "_text_hash", "_id", "_c1", "blob", "spans", "key", "component", "c1", "stays")
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *(f"x{i}" for _ in names)) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long, "
+                                 + ", ".join(f"{n} string" for n in names))
+    for start, ids in ((docs, [None, 1, 3, 4, 5, 6]), (docs.limit(0), [])):
+        kept = start
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, kept, sf)
+            assert kept.columns == docs.columns, name
+        left = kept.collect()
+        assert sorted((r.doc_id for r in left), key=lambda i: i or 0) == ids
+        for r in left:
+            assert r.key == f"x{r.doc_id}" and "hunter2" not in (r.text or "") and "abcdef" not in (r.text or "")
+            assert r._blob == r._spans == r._text_hash == r.key
+        assert corpus_pipeline.STAGES[-1][1](spark, kept, sf).count() == len(ids)
