@@ -35,22 +35,58 @@ def dedup_captures(captures: DataFrame, keys: list[str], time: str = "event_time
     return captures.withWatermark(time, watermark).dropDuplicatesWithinWatermark(keys)
 
 
-def sweep_stream(deposits: DataFrame, forwards: DataFrame, busy: DataFrame,
-                 watermark: str = "1 hour", early: str = "1 hour") -> DataFrame:
-    """Deposits whose receiver forwards at least 90 % within 72 hours to a busy
-    wallet.  Both sides carry a watermark, so the state of a pair ends when the
-    gap can no longer be met."""
-    d = deposits.withWatermark("event_time", watermark).select(
+def first_by_day(captures: DataFrame, keys: list[str], order: list[str],
+                 time: str = "event_time") -> DataFrame:
+    """The first pull of each key and day, by ``order``; on a batch or a stream.
+    Which of several pulls of one micro-batch stays depends on the rows alone, and
+    a key pulled very often is reduced before the shuffle."""
+    rest = [c for c in captures.columns if c not in keys]
+    once = captures.groupBy(F.window(time, "1 day").alias("_w"), *keys).agg(
+        F.min_by(F.struct(*rest), F.struct(*order)).alias("_c"))
+    return once.select(F.to_date("_w.start").alias("day"), *keys,
+                       *[F.col(f"_c.{c}").alias(c) for c in rest])
+
+
+def first_captures(captures: DataFrame, keys: list[str], order: list[str],
+                   time: str = "event_time", watermark: str = "1 hour") -> DataFrame:
+    """Stream of first pulls, given when the watermark has passed their day.  The
+    first day of a key is chosen against the table (``provenance.first_capture``);
+    ``late.late_pulls`` adds what came after the watermark."""
+    return first_by_day(captures.withWatermark(time, watermark), keys, order, time)
+
+
+def _sides(deposits: DataFrame, forwards: DataFrame, busy: DataFrame):
+    d = deposits.select(
         F.col("chain").alias("d_chain"), F.col("to_address").alias("feeder"),
         F.col("asset").alias("d_asset"), F.col("txid").alias("deposit_txid"),
         F.col("value_raw").alias("in_raw"), F.col("event_time").alias("d_time"))
-    f = forwards.withWatermark("event_time", watermark).join(
+    return d, forwards.join(
         busy.select("chain", F.col("address").alias("to_address")), ["chain", "to_address"])
-    gap = F.expr(f"event_time <= d_time + interval {SWEEP_GAP_SECONDS} seconds "
-                 f"and event_time >= d_time - interval {early}")
+
+
+def _swept(d: DataFrame, f: DataFrame, gap: str) -> DataFrame:
     return f.join(d, (F.col("chain") == F.col("d_chain"))
                   & (F.col("from_address") == F.col("feeder"))
-                  & (F.col("asset") == F.col("d_asset")) & gap) \
+                  & (F.col("asset") == F.col("d_asset")) & F.expr(gap)) \
         .filter(F.col("value_raw") * 100 >= F.col("in_raw") * SWEEP_PERCENT) \
         .select("chain", "feeder", F.col("to_address").alias("service_address"),
                 "deposit_txid", F.col("txid").alias("sweep_txid"), "in_raw", "value_raw")
+
+
+_GAP = f"event_time <= d_time + interval {SWEEP_GAP_SECONDS} seconds"
+
+
+def sweep_pairs(deposits: DataFrame, forwards: DataFrame, busy: DataFrame) -> DataFrame:
+    """Deposits whose receiver forwards at least 90 % within 72 hours to a busy
+    wallet, over whole tables."""
+    return _swept(*_sides(deposits, forwards, busy), _GAP)
+
+
+def sweep_stream(deposits: DataFrame, forwards: DataFrame, busy: DataFrame,
+                 watermark: str = "1 hour", early: str = "1 hour") -> DataFrame:
+    """``sweep_pairs`` on streams.  Both sides carry a watermark, so the state of a
+    pair ends when the gap can no longer be met; ``early`` is how long before the
+    deposit a forward may stand.  ``late.late_sweeps`` adds what both leave out."""
+    return _swept(*_sides(deposits.withWatermark("event_time", watermark),
+                          forwards.withWatermark("event_time", watermark), busy),
+                  f"{_GAP} and event_time >= d_time - interval {early}")

@@ -19,50 +19,87 @@ WATERMARK = "1 hour"
 INTERVAL = "30 minutes"
 
 ALERT_SCHEMA = ("chain string, address string, ts bigint, before_count bigint, "
-                "after_count bigint, before_balance string, after_balance string")
-STATE_SCHEMA = "tx_count bigint, balance string"
+                "after_count bigint, before_balance string, after_balance string, late boolean")
+STATE_SCHEMA = "tx_count bigint, balance string, ts bigint, seq bigint"
+_COLUMNS = [c.split()[0] for c in ALERT_SCHEMA.split(", ")]
 
 
 def _compare(key, batches: Iterator[pd.DataFrame], state: GroupState):
     """Alert whenever a snapshot differs from the one before.  The first one
-    only sets the baseline."""
+    only sets the baseline; one older than the baseline is given back as late."""
     rows = pd.concat(list(batches), ignore_index=True)
     rows = rows.sort_values(["ts", "seq"], kind="stable")
-    count = rows["tx_count"].astype("int64").tolist()
-    balance = rows["balance"].astype(str).tolist()
+    rows = rows.assign(balance=rows["balance"].astype(str), chain=key[0], address=key[1])
+    rows = rows.rename(columns={"tx_count": "after_count", "balance": "after_balance"})
     past = state.get if state.exists else None
-    before_count = [past[0] if past else None, *count[:-1]]
-    before_balance = [past[1] if past else None, *balance[:-1]]
-    out = [(key[0], key[1], ts, b_c, c, b_b, b) for ts, b_c, c, b_b, b in zip(
-        rows["ts"].tolist(), before_count, count, before_balance, balance)
-        if b_c is not None and (b_c != c or b_b != b)]
-    state.update((count[-1], balance[-1]))
-    if out:
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in ALERT_SCHEMA.split(", ")])
+    old = pd.Series(False, index=rows.index)
+    if past:
+        old = (rows["ts"] < past[2]) | ((rows["ts"] == past[2]) & (rows["seq"] < past[3]))
+    new, late = rows[~old].assign(late=False), rows[old].assign(late=True)
+    if past:
+        late = late.assign(before_count=past[0], before_balance=past[1])
+    if len(new):
+        new["before_count"] = new["after_count"].shift(1).astype("Int64")
+        new["before_balance"] = new["after_balance"].shift(1)
+        if past:
+            new.iloc[0, new.columns.get_loc("before_count")] = past[0]
+            new.iloc[0, new.columns.get_loc("before_balance")] = past[1]
+        last = new.iloc[-1]
+        state.update((int(last["after_count"]), last["after_balance"],
+                      int(last["ts"]), int(last["seq"])))
+        changed = new["before_count"].notna() & (
+            (new["before_count"] != new["after_count"])
+            | (new["before_balance"] != new["after_balance"])).fillna(False).astype(bool)
+        new = new[changed]
+    for out in (new, late):
+        if len(out):
+            yield out[_COLUMNS]
 
 
 def watch_alerts(snapshots: DataFrame, watches: DataFrame) -> DataFrame:
     """Alerts of watched wallets from a stream of snapshots (chain, address, ts,
     seq, tx_count, balance as text, failed).  State survives restarts through
-    the query's checkpoint.  Keep only the newest alert of a wallet in the
-    table (``tables.upsert`` on chain and address) until it is acknowledged.
+    the query's checkpoint; ``open_alerts`` is the view until acknowledgement.
 
-    A failed snapshot changes nothing, so it is dropped before the state.  One
-    wallet's snapshots of one micro-batch are compared together: bound them by
-    the size of a trigger (``maxFilesPerTrigger`` or the like)."""
+    A failed snapshot changes nothing, so it is dropped before the state.  A
+    snapshot older than the wallet's baseline neither alerts nor moves it: it comes
+    out with ``late`` set and that baseline beside it.  One wallet's snapshots of one
+    micro-batch are compared together: bound them by the size of a trigger
+    (``maxFilesPerTrigger`` or the like)."""
     watched = snapshots.filter(~F.col("failed")).drop("failed").join(
         watches.select("chain", "address"), ["chain", "address"])
     return watched.groupBy("chain", "address").applyInPandasWithState(
         _compare, ALERT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 
 
-def watch_activity(movements: DataFrame, watches: DataFrame, interval: str = INTERVAL,
-                   watermark: str = WATERMARK) -> DataFrame:
-    """Movements per watched wallet and interval from a stream with an
-    ``event_time``; an interval is final once the watermark has passed it."""
-    timed = movements.withWatermark("event_time", watermark)
-    seen = timed.join(watches.select("chain", "address"), ["chain", "address"])
+def open_alerts(alerts: DataFrame, acknowledged: DataFrame) -> DataFrame:
+    """The newest alert of each wallet, unless it was acknowledged: an
+    acknowledgement (chain, address, ts) covers alerts up to its time, so only a
+    newer movement opens the wallet again.  Late snapshots are no alerts.  Of
+    alerts of one second the greater counts after it stay."""
+    key = ["chain", "address"]
+    rest = [c for c in alerts.columns if c not in (*key, "late")]
+    order = F.struct("ts", "after_count", "after_balance", "before_count", "before_balance")
+    newest = alerts.filter(~F.col("late")).groupBy(*key).agg(
+        F.max_by(F.struct(*rest), order).alias("_a"), F.count(F.lit(1)).alias("n_alerts"))
+    seen = acknowledged.groupBy(*key).agg(F.max("ts").alias("_seen"))
+    return newest.join(seen, key, "left").filter(
+        F.col("_seen").isNull() | (F.col("_a.ts") > F.col("_seen"))).select(
+        *key, *[F.col(f"_a.{c}").alias(c) for c in rest], "n_alerts")
+
+
+def activity_windows(movements: DataFrame, watches: DataFrame,
+                     interval: str = INTERVAL) -> DataFrame:
+    """Movements per watched wallet and interval, of a batch or a stream."""
+    seen = movements.join(watches.select("chain", "address"), ["chain", "address"])
     return seen.groupBy(F.window("event_time", interval), "chain", "address").agg(
         F.count(F.lit(1)).alias("n_movements"), F.sum("value_raw").alias("value_raw")) \
         .select("chain", "address", F.col("window.start").alias("window_start"),
                 "n_movements", "value_raw")
+
+
+def watch_activity(movements: DataFrame, watches: DataFrame, interval: str = INTERVAL,
+                   watermark: str = WATERMARK) -> DataFrame:
+    """``activity_windows`` of a stream with an ``event_time``; an interval is final
+    once the watermark has passed it.  ``late.late_activity`` gives the rest."""
+    return activity_windows(movements.withWatermark("event_time", watermark), watches, interval)

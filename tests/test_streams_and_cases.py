@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from fundflow.operators import provenance as PV
 from fundflow.operators import screening as SC
+from fundflow.streaming import late as LT
 from fundflow.streaming import live as LV
+from fundflow.streaming import run_lots
 from fundflow.streaming import watches as WT
 
 SNAP = ("chain string, address string, ts bigint, seq bigint, tx_count bigint, "
@@ -37,6 +39,30 @@ def test_watch_alerts_survive_a_restart(spark, tmp_path):
     # After a failed snapshot the old baseline still counts.
     again = feed([("fx", "w", 4, 5, 6, "100", False), ("fx", "w", 5, 6, 6, "90", False)])
     assert again == first + [(5, 6, 6, "100", "90")]
+    # One older than the baseline is given back as late, in one lot with a newer one.
+    both = feed([("fx", "w", 3, 7, 50, "1", False), ("fx", "w", 5, 5, 51, "1", False),
+                 ("fx", "w", 6, 8, 7, "90", False)])
+    assert sorted(both) == sorted(again + [(3, 6, 50, "90", "1"), (5, 6, 51, "90", "1"),
+                                           (6, 6, 7, "90", "90")])
+    assert {(r.ts, r.after_count) for r in spark.read.parquet(out).filter("late").collect()} == {
+        (3, 50), (5, 51)}
+
+
+def test_alerts_stay_until_acknowledged(spark):
+    ddl = WT.ALERT_SCHEMA
+    alerts = frame(spark, [("fx", "w", 2, 5, 6, "1", "1", False), ("fx", "w", 4, 6, 7, "1", "1", False),
+                           ("fx", "w", 9, 7, 1, "1", "1", True), ("fx", "v", 3, 1, 2, "1", "1", False),
+                           ("fx", "x", 3, 1, 2, "1", "1", False)], ddl)
+
+    def shown(acks):
+        seen = frame(spark, acks, "chain string, address string, ts bigint")
+        return {(r.address, r.ts, r.after_count, r.n_alerts)
+                for r in WT.open_alerts(alerts, seen).collect()}
+    assert shown([]) == {("w", 4, 7, 2), ("v", 3, 2, 1), ("x", 3, 2, 1)}
+    # An acknowledgement covers its own second; an earlier one leaves the newer alert.
+    assert shown([("fx", "w", 3), ("fx", "v", 3), ("fx", "v", 1), ("fy", "x", 9)]) == {
+        ("w", 4, 7, 2), ("x", 3, 2, 1)}
+    assert WT.open_alerts(alerts.limit(0), alerts.select("chain", "address", "ts")).count() == 0
 
 
 def test_activity_windows_drop_what_is_too_late(spark, tmp_path):
@@ -54,6 +80,58 @@ def test_activity_windows_drop_what_is_too_late(spark, tmp_path):
     got = {r.s: (r.n_movements, r.value_raw) for r in spark.read.parquet(out).withColumn(
         "s", F.unix_seconds("window_start")).collect()}
     assert got == {0: (2, 11), 19_800: (1, 1)}
+    # What came too late is counted and added; the open interval is not.
+    finals = spark.read.parquet(out)
+    landed = spark.read.schema(ddl).parquet(src).withColumn("event_time", F.timestamp_seconds("ts"))
+    late = LT.late_activity(landed, finals, watches)
+    whole = {r.s: (r.n_movements, r.value_raw, r.n_late) for r in LT.with_late(
+        finals, late).withColumn("s", F.unix_seconds("window_start")).collect()}
+    assert whole == {0: (3, 18, 1), 19_800: (1, 1, 0)}
+    assert LT.late_activity(landed.limit(0), finals, watches).count() == 0
+
+
+def test_first_capture_of_a_day_is_the_earliest(spark, tmp_path):
+    day = 86_400
+    lots = [[("u", day + 50, 2, "b"), ("u", day + 10, 1, "a"), ("v", day + 7, 3, "c"),
+             ("u", 3 * day, 4, "d")],
+            [("u", day + 5, 5, "late"), ("w", day, 6, "only late"), ("u", 5 * day, 7, "e")]]
+    ddl = "source string, ts bigint, seq bigint, body string"
+
+    def timed(df):
+        return df.withColumn("event_time", F.timestamp_seconds("ts"))
+    landed, given = run_lots([frame(spark, rows, ddl) for rows in lots], "firsts", lambda s:
+                             LV.first_captures(timed(s), ["source"], ["ts", "seq"]))
+    assert {(r.source, r.body) for r in given.collect()} == {("u", "a"), ("v", "c"), ("u", "d")}
+    rest = LT.late_pulls(timed(landed), given, ["source"], ["ts", "seq"])
+    assert {(r.source, r.body) for r in rest.collect()} == {
+        ("u", "late"), ("w", "only late"), ("u", "e")}
+
+
+def test_late_sweeps_and_forwards_before_the_deposit(spark, tmp_path):
+    hour, t0 = 3600, 1_000_000
+    ddl = ("side string, chain string, txid string, from_address string, to_address string, "
+           "asset string, value_raw bigint, ts bigint")
+
+    def put(txid, feeder, ts, value=100):
+        return ("in", "fx", txid, "a", feeder, "T", value, ts)
+
+    def send(txid, feeder, ts, value=95):
+        return ("out", "fx", txid, feeder, "hub", "T", value, ts)
+    lots = [[put("d1", "f1", t0), send("s1", "f1", t0 + hour), put("d2", "f2", t0),
+             put("d3", "f3", t0 + 5 * hour), send("s3", "f3", t0), put("d4", "f4", t0),
+             send("s4", "f4", t0 + 72 * hour + 1), put("d9", "f9", t0 + 900 * hour),
+             send("s9", "f8", t0 + 900 * hour)],
+            [send("s2", "f2", t0 + 2 * hour), send("s9b", "f9", t0 + 901 * hour, 89)]]
+    busy = frame(spark, [("fx", "hub")], "chain string, address string")
+
+    def sides(df):
+        timed = df.withColumn("event_time", F.timestamp_seconds("ts"))
+        return timed.filter("side = 'in'"), timed.filter("side = 'out'")
+    landed, given = run_lots([frame(spark, rows, ddl) for rows in lots], "sweeps",
+                             lambda s: LV.sweep_stream(*sides(s), busy))
+    assert {r.sweep_txid for r in given.collect()} == {"s1"}
+    late = LT.late_sweeps(*sides(landed), busy, given)
+    assert {(r.deposit_txid, r.sweep_txid) for r in late.collect()} == {("d2", "s2"), ("d3", "s3")}
 
 
 def test_stream_dedup_and_screen(spark, tmp_path):
