@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fundflow.operators import casework as CW
@@ -13,7 +16,7 @@ from fundflow.plans import oracle as O
 from fundflow.plans import runs as R
 from fundflow.plans.catalog import query
 from fundflow.session import scratch_path
-from fundflow.plans.q_findings import CUST_TERM, F_SQL
+from fundflow.plans.q_findings import CUST_TERM, F_SQL, U5_FX, U5_TERM
 
 # ----------------------------------------------------------------- captures
 
@@ -122,18 +125,48 @@ def latest_trace(spark, sf):
         "id", "name", "trace_id")
 
 
-@query("trace_history", O.with_fx(["fx_ledger_facts"], f"""
-  SELECT CAST(c.c_nationkey AS BIGINT) AS case_id, c.c_custkey AS trace_id,
-         CAST(0 AS BIGINT) AS exits, coalesce(n.n, 0) AS addresses, coalesce(f.n, 0) AS findings
-  FROM customer c
-  LEFT JOIN (SELECT trace_id, count(*) AS n FROM t_nodes GROUP BY 1) n
-    ON n.trace_id = c.c_custkey
-  LEFT JOIN (SELECT trace_id, count(*) AS n FROM ({F_SQL['at_rest']}) GROUP BY 1) f
-    ON f.trace_id = c.c_custkey""", CUST_TERM))
+def _history(cases, exits, *kinds):
+    """Counts of a trace's results; ``cases`` gives (case_id, trace_id, t)."""
+    found = " UNION ALL ".join(f"SELECT trace_id FROM ({F_SQL[kind]})" for kind in kinds)
+    return f"""
+  SELECT c.case_id, c.trace_id, coalesce(x.n, 0) AS exits, coalesce(n.n, 0) AS addresses,
+         coalesce(f.n, 0) AS findings
+  FROM ({cases}) c
+  LEFT JOIN (SELECT trace_id, count(*) AS n FROM t_nodes GROUP BY 1) n ON n.trace_id = c.t
+  LEFT JOIN (SELECT trace_id, count(*) AS n FROM ({exits}) GROUP BY 1) x ON x.trace_id = c.t
+  LEFT JOIN (SELECT trace_id, count(*) AS n FROM ({found}) GROUP BY 1) f ON f.trace_id = c.t"""
+
+
+_CUSTOMER_HISTORY = O.with_fx(["fx_ledger_facts"], _history(
+    "SELECT CAST(c_nationkey AS BIGINT) AS case_id, c_custkey AS trace_id, c_custkey AS t FROM customer",
+    "SELECT CAST(NULL AS BIGINT) AS trace_id WHERE false", "at_rest", "consolidation", "unresolved"),
+    CUST_TERM)
+_EVENT_HISTORY = O.with_fx(U5_FX + ["fx_labels"], _history(
+    "SELECT CAST(99 AS BIGINT) AS case_id, CAST(-1 AS BIGINT) AS trace_id, 1 AS t",
+    """SELECT n.trace_id FROM t_nodes n JOIN fx_facts a USING (address)
+       WHERE a.is_exchange AND n.address IN (SELECT next FROM t_edges)""",
+    "consolidation", "sanctioned", "mixer"), U5_TERM)
+
+
+@query("trace_history", f"""
+  SELECT * FROM ({_CUSTOMER_HISTORY}) UNION ALL SELECT * FROM ({_EVENT_HISTORY})""")
 def trace_history(spark, sf):
-    inp = R.finding_inputs(spark, sf, "customers")
-    return CW.trace_history(R.traces(spark, sf), inp.result.nodes, E.exits(inp.result),
-                            G.funds_at_rest(inp)).select(
+    """The customer traces, and the trace over labelled wallets as case 99."""
+    inp, events = (R.finding_inputs(spark, sf, which) for which in ("customers", "u5"))
+
+    def ids(df):
+        return df.select("trace_id")
+
+    def moved(df):
+        return ids(df).withColumn("trace_id", -F.col("trace_id"))
+    ours = (G.funds_at_rest(inp), G.consolidation_point(inp), G.unresolved_edges(inp))
+    theirs = (G.consolidation_point(events), G.sanctioned_contact(events), G.mixer_contact(events))
+    findings = reduce(DataFrame.unionAll, [*map(ids, ours), *map(moved, theirs)])
+    traces = R.traces(spark, sf).select("case_id", "trace_id").unionByName(spark.range(1).select(
+        F.lit(99).cast("bigint").alias("case_id"), F.lit(-1).cast("bigint").alias("trace_id")))
+    return CW.trace_history(
+        traces, ids(inp.result.nodes).unionAll(moved(events.result.nodes)),
+        ids(E.exits(inp.result)).unionAll(moved(E.exits(events.result))), findings).select(
         "case_id", "trace_id", "exits", "addresses", "findings")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fundflow import schemas as S
 from fundflow.operators import classify as C
+from fundflow.operators import flows as FL
 from fundflow.operators import screening as SC
 from fundflow.operators import tables as TB
 from fundflow.plans import fixtures as X
@@ -17,6 +18,7 @@ from fundflow.session import scratch_path
 from fundflow.sources import labels as L
 from fundflow.sources import packs as PK
 from fundflow.sources import reports as RP
+from fundflow.sources.ledger import address_activity
 
 # --------------------------------------------------------- explorer tags
 
@@ -307,21 +309,31 @@ def screen_csv(spark, sf):
 
 
 @query("wallet_facts", O.with_fx(["fx_facts"], """
-  SELECT f.address, coalesce(f.flagged, false) AS flagged, n.role, n.depth,
+  SELECT f.address, coalesce(f.flagged, false) AS flagged, w.i % 3 = 1 AS watched,
+         CASE WHEN w.i % 4 = 0 THEN CAST(w.i % 5 AS BIGINT) END AS report_count,
+         a.n AS activity, n.role, n.depth, n.at_rest, c.n_in AS sender_count, c.n_out AS receiver_count,
          CASE WHEN f.is_exchange THEN 'custodian' WHEN coalesce(n.at_rest, false) THEN 'at_rest'
               WHEN w.i % 4 <> 0 THEN 'look_up' ELSE 'continue' END AS next_step
   FROM fx_facts f JOIN fx_wallets w ON w.address = f.address
-  LEFT JOIN t_nodes n ON n.address = f.address""", u5_ctes()))
+  LEFT JOIN (SELECT address, count(DISTINCT txid) AS n FROM (
+      SELECT src AS address, txid FROM fx_moves UNION SELECT dst, txid FROM fx_moves) GROUP BY 1) a
+    ON a.address = f.address
+  LEFT JOIN t_nodes n ON n.address = f.address
+  LEFT JOIN (SELECT address, count(DISTINCT s) AS n_in, count(DISTINCT r) AS n_out FROM (
+      SELECT dst AS address, src AS s, NULL AS r FROM t_edges
+      UNION ALL SELECT src, NULL, dst FROM t_edges) GROUP BY 1) c ON c.address = n.address""", u5_ctes()))
 def wallet_facts(spark, sf):
+    """Watches, report lookups, activity, and each wallet's part in one trace."""
     run = R.u5(spark, sf, S.FORWARD, S.BALANCED)
-    wallets = X.wallets(X.moves(spark, sf)).select(F.lit(X.CHAIN).alias("chain"), "address")
-    reports = X.wallets(X.moves(spark, sf)).filter("i % 4 = 0").select(
-        F.lit(X.CHAIN).alias("chain"), "address", F.lit(0).alias("report_count"))
-    watches = wallets.filter(F.lit(False))
-    return SC.wallet_facts(wallets, X.labels(spark, sf), X.flags(spark, sf), watches, reports,
-                           nodes=run.nodes).select(
-        "address", F.col("agency_flag").isNotNull().alias("flagged"), "role", "depth",
-        "next_step")
+    wallets = X.wallets(X.moves(spark, sf)).select(F.lit(X.CHAIN).alias("chain"), "address", "i")
+    reports = wallets.filter("i % 4 = 0").select(
+        "chain", "address", (F.col("i") % 5).cast("bigint").alias("report_count"))
+    return SC.wallet_facts(
+        wallets.drop("i"), X.labels(spark, sf), X.flags(spark, sf), wallets.filter("i % 3 = 1"), reports,
+        nodes=run.nodes, counts=FL.wallet_counts(run.edges),
+        activity=address_activity(R.moves(spark, sf))).select(
+        "address", F.col("agency_flag").isNotNull().alias("flagged"), "watched", "report_count",
+        "activity", "role", "depth", "at_rest", "sender_count", "receiver_count", "next_step")
 
 
 # -------------------------------------------------------------- packs, reports

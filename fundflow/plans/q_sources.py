@@ -214,11 +214,34 @@ def contract_registry(spark, sf):
 
 # ----------------------------------------------------------------------- tron
 
+# Base58check of the address of each number: five limbs of 40 bits, divided by 58
+# once for each of the 34 characters.
+_BASE58 = """
+  b58 AS (
+    SELECT n, 0 AS i, '' AS txt, CAST('0x' || substr(h, 1, 10) AS BIGINT) AS a1,
+           CAST('0x' || substr(h, 11, 10) AS BIGINT) AS a2, CAST('0x' || substr(h, 21, 10) AS BIGINT) AS a3,
+           CAST('0x' || substr(h, 31, 10) AS BIGINT) AS a4, CAST('0x' || substr(h, 41, 10) AS BIGINT) AS a5
+    FROM (SELECT n, h || substr(sha256(unhex(sha256(unhex(h)))), 1, 8) AS h FROM (
+      SELECT n, '41' || lpad(lower(to_hex(n)), 40, '0') AS h
+      FROM (SELECT k AS n FROM acc UNION SELECT k + 1 FROM acc)))
+    UNION ALL
+    SELECT n, i + 1, substr('123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz',
+                            CAST(r5 AS INTEGER) + 1, 1) || txt, q1, q2, q3, q4, q5
+    FROM (SELECT n, i, txt, a1 // 58 AS q1, a1 % 58 AS r1,
+            (r1 * 1099511627776 + a2) // 58 AS q2, (r1 * 1099511627776 + a2) % 58 AS r2,
+            (r2 * 1099511627776 + a3) // 58 AS q3, (r2 * 1099511627776 + a3) % 58 AS r3,
+            (r3 * 1099511627776 + a4) // 58 AS q4, (r3 * 1099511627776 + a4) % 58 AS r4,
+            (r4 * 1099511627776 + a5) // 58 AS q5, (r4 * 1099511627776 + a5) % 58 AS r5
+          FROM b58 WHERE i < 34))"""
+
+
 @query("tron_native", f"""
-  SELECT txid, sec AS ts, cents AS value_raw, k % 2 = 0 AS is_self_transfer FROM ({_ACCOUNT})
-  WHERE cents > 0 AND k % 5 <> 0 AND sec <> 0
-  UNION ALL SELECT txid, NULL, cents, k % 2 = 0 FROM ({_ACCOUNT})
-  WHERE cents > 0 AND k % 5 <> 0 AND sec = 0""")
+  WITH RECURSIVE acc AS ({_ACCOUNT}), {_BASE58}
+  SELECT txid, nullif(sec, 0) AS ts, cents AS value_raw, k % 2 = 0 AS is_self_transfer,
+         f.txt AS from_address, t.txt AS to_address
+  FROM acc JOIN b58 f ON f.n = k AND f.i = 34
+  JOIN b58 t ON t.n = CASE WHEN k % 2 = 0 THEN k ELSE k + 1 END AND t.i = 34
+  WHERE cents > 0 AND k % 5 <> 0""")
 def tron_native(spark, sf):
     k = F.col("k")
 
@@ -234,7 +257,7 @@ def tron_native(spark, sf):
                                   .alias("parameter"))).alias("contract")).alias("raw_data"))
     return TR.tron_native(raw).select(
         "txid", "ts", F.col("value_raw").cast("bigint").alias("value_raw"),
-        "is_self_transfer")
+        "is_self_transfer", "from_address", "to_address")
 
 
 @query("tron_tokens", f"""
