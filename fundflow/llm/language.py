@@ -7,7 +7,8 @@ the language with the largest cosine.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0;
 without any learned language every text is ``und``; ties go to the first name
-in order.  Words shorter than three letters count through their blanks.
+in order.  Words shorter than three letters count through their blanks.  Any number
+of languages: prototypes go to the tasks in blocks of a fixed number.
 """
 
 from __future__ import annotations
@@ -26,12 +27,13 @@ from fundflow.llm import common
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DIMENSIONS = 512
-SAMPLE = 1000          # texts learned from, at most, for each language
-LANGUAGES = 500        # a proven bound of what is broadcast
+SAMPLE = 1000          # ids learned from, at most, for each language
+BLOCK = 1000           # languages compared in one pass over the texts (2 MB of prototypes)
 KEPT_GRAMS = 20_000    # vectors of frequent grams held by a worker
 SEED = 17
-SCHEMA = "doc_id long, lang_pred string, score double"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
+ROWS = "doc_id long, text string, lang_pred string, score double"
+_ARROW = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang_pred", pa.string()),
+                    ("score", pa.float64())])
 
 
 class Space:
@@ -108,14 +110,17 @@ def grams_of(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
 
 
 def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Prototypes from rows (doc_id, text, lang): per language up to ``SAMPLE``
-    texts, those of the smallest hash.  Sums are formed in the tasks; one vector
-    for each language and task reaches the driver."""
-    ids = labelled.filter("lang IS NOT NULL AND text IS NOT NULL") \
-        .select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"))
-    order = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    chosen = ids.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= SAMPLE)
-    rows = labelled.select("doc_id", "text").join(chosen.select("doc_id", "lang").distinct(), "doc_id")
+    """Prototypes from rows (doc_id, text, lang): per language the texts of up to
+    ``SAMPLE`` ids, those of the smallest hash.  Only ids are shuffled to find the
+    last hash of each language; texts are then picked where they lie.  Sums are
+    formed in the tasks; one vector for each language and task reaches the driver."""
+    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select(
+        "lang", "text", F.struct(F.xxhash64("doc_id").alias("h"), "doc_id").alias("_at"))
+    order = Window.partitionBy("lang").orderBy("_at")
+    last = rows.select("lang", "_at").distinct().withColumn("_n", F.row_number().over(order)) \
+        .filter(F.col("_n") <= SAMPLE).groupBy("lang").agg(F.max("_at").alias("_last"))
+    # One row for each language, like the prototypes themselves.
+    rows = rows.join(F.broadcast(last), "lang").filter(F.col("_at") <= F.col("_last"))
     schema = pa.schema([("lang", pa.string()), ("vector", pa.list_(pa.float64()))])
 
     def run(batches):
@@ -133,31 +138,41 @@ def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     sums: dict[str, np.ndarray] = {}
     for row in parts.toLocalIterator():
         sums[row["lang"]] = sums.get(row["lang"], 0) + np.array(row["vector"])
-        if len(sums) > LANGUAGES:
-            raise ValueError(f"over {LANGUAGES} languages")
     names = sorted(sums)
     matrix = np.array([sums[n] / (np.linalg.norm(sums[n]) or 1) for n in names], np.float32)
     return names, matrix.reshape(len(names), DIMENSIONS)
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """Language and cosine of every text.  Narrow: nothing is shuffled."""
+    """Language and cosine of every text.  Narrow: nothing is shuffled.  Each block
+    of languages is one step over the texts that keeps the better name so far."""
     names, matrix = model
+    rows = common.texts(docs, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    for at in range(0, len(names), BLOCK):
+        step = _step(names[at:at + BLOCK], matrix[at:at + BLOCK], last=at + BLOCK >= len(names))
+        rows = rows.mapInArrow(step, ROWS)
+    return rows.select("doc_id", "lang_pred", "score")
 
+
+def _step(names: list[str], matrix: np.ndarray, last: bool):
     def run(batches):
         space = Space()
 
-        def one(text):
-            v = space.profile(text) if names else None
+        def one(text, name, score):
+            v = space.profile(text)
             if v is None:
                 return "und", 0.0
             cosines = matrix @ v
             best = int(np.argmax(cosines))
-            return names[best], float(min(1.0, max(0.0, cosines[best])))
+            got = float(min(1.0, max(0.0, cosines[best])))
+            return (names[best], got) if name == "und" or got > score else (name, score)
 
         def part(batch):
-            rows = [one(t) for t in batch.column("text").to_pylist()]
-            return [batch.column("doc_id"), pa.array([r[0] for r in rows], pa.string()),
+            rows = [one(*r) for r in zip(*(batch.column(c).to_pylist()
+                                           for c in ("text", "lang_pred", "score")))]
+            text = pa.nulls(batch.num_rows, pa.string()) if last else batch.column("text")
+            return [batch.column("doc_id"), text,
+                    pa.array([r[0] for r in rows], pa.string()),
                     pa.array([r[1] for r in rows], pa.float64())]
         yield from common.per_chunk(part, _ARROW)(batches)
-    return common.texts(docs).mapInArrow(run, SCHEMA)
+    return run

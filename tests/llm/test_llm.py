@@ -349,6 +349,42 @@ def test_language_without_letters(spark, docs):
     assert {r["lang_pred"] for r in language.predict(docs, nothing).collect()} == {"und"}
 
 
+def test_any_number_of_languages(spark, docs):
+    """Prototypes of 2,500 languages in three blocks, against one comparison with all."""
+    rng = np.random.default_rng(3)
+    matrix = rng.normal(size=(2500, language.DIMENSIONS)).astype(np.float32)
+    matrix[7] = matrix[2100]                            # a tie across blocks: the first name
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    names = [f"l{i:04d}" for i in range(2500)]
+    space = language.Space()
+    rows = language.predict(docs, (names, matrix)).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert len(rows) == docs.count()
+    for r in rows:
+        v = space.profile(texts[r.doc_id])
+        if v is None:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        else:
+            best = matrix @ v
+            assert r.lang_pred == names[int(np.argmax(best))] and abs(r.score - max(0, best.max())) < 1e-5
+
+
+def test_learned_texts_of_each_language(spark, monkeypatch):
+    """The ids of the smallest hashes, all rows of each, whatever the size of a language."""
+    rows = [(i % 40, f"{'ab' if i % 40 < 30 else 'xy'} word{i}", "a" if i % 40 < 30 else "x") for i in range(90)]
+    rows += [(None, "no id", "a"), (50, None, "a"), (51, "no language", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(language, "SAMPLE", 5)
+    names, matrix = language.learn(docs)
+    hashes = {r.doc_id: r.h for r in docs.selectExpr("doc_id", "xxhash64(doc_id) AS h").collect()}
+    space = language.Space()
+    assert names == ["a", "x"]
+    for name, vector in zip(names, matrix):
+        ids = sorted({i for i, t, l in rows if l == name and t and i is not None}, key=hashes.get)[:5]
+        total = sum(space.profile(t) for i, t, l in rows if i in ids and l == name)
+        assert np.allclose(vector, total / np.linalg.norm(total), atol=1e-5)
+
+
 def test_empty_tables(spark, docs):
     none = docs.filter("false")
     bench = spark.createDataFrame([], "item_id long, text string")
