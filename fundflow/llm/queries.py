@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fundflow.llm import (
     blocks, bpe, common, decontaminate, forest, jaccard, language, licences, merkle,
     quality, secrets_ledger, statements, suffixes, toxicity, whitening)
+from fundflow.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,7 +66,8 @@ def op6_suffixes(spark, sf_dir):
 @query
 def op7_secrets(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents")
-    return secrets_ledger.report(secrets_ledger.by_document(docs, secrets_ledger.scan(docs)))
+    ledger = secrets_ledger.extend(docs, scratch_path(spark, "secret-ledger"))
+    return secrets_ledger.report(secrets_ledger.by_document(docs, ledger))
 
 
 @query

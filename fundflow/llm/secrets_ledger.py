@@ -1,9 +1,11 @@
 """Secret scan over a content-addressed ledger, with DataFrame functions only.
 
-Every text version is addressed by its SHA-256.  The ledger holds one row for
-each (blob, rule, version) that was scanned, with the spans found.  A scan reads
-only blobs with a rule version the ledger lacks, each blob once however many
-documents hold it, and findings are joined back to all documents by address.
+Every text version is addressed by its SHA-256.  The ledger is a written table with
+one row for each (blob, rule, version) that was scanned, with the spans found, clean
+ones included.  ``extend`` reads it, scans only blobs with a rule version it lacks,
+each blob once however many documents hold it, and appends them; findings of the
+current rules are joined back to all documents by address.  An append that fails
+leaves nothing behind, so running it again scans what is still missing.
 
 Defined cases: null texts are empty; documents with the same text share one
 blob; documents that repeat, or whose id is null, keep their rows; offsets count
@@ -42,6 +44,7 @@ KNOWN = Rule("known", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----|gh[pousr]_[A-Za-
                       r"|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+")
 RULES = (*BASE, KNOWN)
 SPAN = "array<struct<start:int,rule:int,end:int,kind:string>>"
+LEDGER = f"blob string, rule string, version int, spans {SPAN}"
 
 
 def spans(rule: Rule, number: int) -> Column:
@@ -97,15 +100,29 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES,
         F.col("found")[F.col("o.kind")].alias("spans"))
 
 
-def by_blob(ledger: DataFrame) -> DataFrame:
-    """(blob, spans): all spans of each blob that has some, by start, then rule."""
-    return ledger.filter("size(spans) > 0").groupBy("blob").agg(
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+def extend(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scan what the ledger at ``path`` lacks of ``docs``, append it, return the ledger."""
+    spark = docs.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    known = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    old = spark.read.schema(LEDGER).parquet(path) if known else None
+    scan(docs, rules, old).write.mode("append").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path)
 
 
-def by_document(docs: DataFrame, ledger: DataFrame) -> DataFrame:
+def by_blob(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, spans): the spans that ``rules`` in their versions found in each blob
+    that has some, by start, then rule.  Rows of older versions take no part."""
+    current = F.struct("rule", "version").isin(*[
+        F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version")) for r in rules])
+    return ledger.filter((F.size("spans") > 0) & current).groupBy("blob").agg(
+        F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"))
+
+
+def by_document(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, blob, spans): all spans of each document, by start, then rule."""
-    return addressed(docs).select("doc_id", "blob").join(by_blob(ledger), "blob", "left").withColumn(
+    found = by_blob(ledger, rules)
+    return addressed(docs).select("doc_id", "blob").join(found, "blob", "left").withColumn(
         "spans", F.coalesce("spans", F.expr(f"cast(array() as {SPAN})")))
 
 

@@ -266,6 +266,36 @@ def test_secrets(docs, texts):
     assert "abc123" not in text and "AKIA" not in text and "[secret]" in text
 
 
+def test_secret_ledger_grows(spark, tmp_path):
+    """Each blob and rule version is scanned once, clean ones too; a new version replaces the old."""
+    path, ddl = str(tmp_path / "ledger"), "doc_id long, text string"
+    hexes = "f00dfacef00dfacef00dfacef00dface"
+    first = spark.createDataFrame([(1, hexes), (2, "clean"), (3, hexes), (4, None)], ddl)
+    ledger = secrets_ledger.extend(first, path)
+    assert ledger.count() == 3 * len(secrets_ledger.RULES)
+    assert secrets_ledger.extend(first, path).count() == ledger.count()
+    more = first.union(spark.createDataFrame([(5, "clean"), (6, "password: hunter2hunter2")], ddl))
+    ledger = secrets_ledger.extend(more, path)
+    assert ledger.count() == 4 * len(secrets_ledger.RULES) == ledger.select("blob", "rule").distinct().count()
+    assert {r.doc_id: len(r.spans) for r in secrets_ledger.by_document(more, ledger).collect()} == {
+        1: 1, 2: 0, 3: 1, 4: 0, 5: 0, 6: 1}
+    # Version 2 of one rule finds longer runs only: version 1 is kept, and no longer reported.
+    newer = (*secrets_ledger.BASE[:2], secrets_ledger.Rule("hex", "[0-9a-f]{40,}", version=2),
+             secrets_ledger.KNOWN)
+    after = secrets_ledger.extend(more, path, newer)
+    assert after.count() == 4 * len(secrets_ledger.RULES) + 4
+    assert {r.doc_id: len(r.spans) for r in secrets_ledger.by_document(more, after, newer).collect()} == {
+        1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: 1}
+    assert secrets_ledger.by_blob(after).count() == 2
+    # A row that two appends wrote counts once; no rows at all are no error.
+    for _ in range(2):
+        after.write.mode("append").parquet(str(tmp_path / "twice"))
+    twice = spark.read.parquet(str(tmp_path / "twice"))
+    assert sorted(secrets_ledger.by_blob(twice).collect()) == sorted(secrets_ledger.by_blob(after).collect())
+    none = secrets_ledger.extend(first.limit(0), str(tmp_path / "none"))
+    assert none.count() == 0 and secrets_ledger.by_document(first, none).count() == 4
+
+
 def test_quality(docs, texts):
     want = []
     for doc_id, t in _all(texts):
