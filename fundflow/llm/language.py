@@ -28,6 +28,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DIMENSIONS = 512
 SAMPLE = 1000          # ids learned from, at most, for each language
+SALTS = 64             # pieces in which the ids of one language are ranked first
 BLOCK = 1000           # languages compared in one pass over the texts (2 MB of prototypes)
 KEPT_GRAMS = 20_000    # vectors of frequent grams held by a worker
 SEED = 17
@@ -116,9 +117,11 @@ def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     formed in the tasks; one vector for each language and task reaches the driver."""
     rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select(
         "lang", "text", F.struct(F.xxhash64("doc_id").alias("h"), "doc_id").alias("_at"))
-    order = Window.partitionBy("lang").orderBy("_at")
-    last = rows.select("lang", "_at").distinct().withColumn("_n", F.row_number().over(order)) \
-        .filter(F.col("_n") <= SAMPLE).groupBy("lang").agg(F.max("_at").alias("_last"))
+    first = rows.select("lang", "_at", F.pmod("_at.h", F.lit(SALTS)).alias("_salt")).distinct()
+    for key in (["lang", "_salt"], ["lang"]):        # the second sees at most SALTS x SAMPLE ids
+        order = Window.partitionBy(*key).orderBy("_at")
+        first = first.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= SAMPLE)
+    last = first.groupBy("lang").agg(F.max("_at").alias("_last"))
     # One row for each language, like the prototypes themselves.
     rows = rows.join(F.broadcast(last), "lang").filter(F.col("_at") <= F.col("_last"))
     schema = pa.schema([("lang", pa.string()), ("vector", pa.list_(pa.float64()))])
