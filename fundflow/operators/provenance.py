@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import sys
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundflow.functions.skew import number_within
 
+# Executors get these functions by value, so they need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def hash_captures(captures: DataFrame) -> DataFrame:
     """Adds the SHA-256 of every ``body``."""
@@ -62,6 +71,67 @@ def manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
                         F.octet_length("body").alias("bytes"))
 
 
+BLOCK = 64 << 20
+CHUNK = 1 << 20
+
+
+def _hash_blocks(batches):
+    """SHA-256 of byte ranges of files, a chunk in memory at a time."""
+    for batch in batches:
+        out = []
+        for path, start, size in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "size"))):
+            system, place = fs.FileSystem.from_uri(path)
+            digest = hashlib.sha256()
+            with system.open_input_file(place) as file:
+                file.seek(start)
+                while size > 0:
+                    part = file.read(min(CHUNK, size))
+                    if not part:
+                        raise OSError(f"{path} is shorter than it was")
+                    digest.update(part)
+                    size -= len(part)
+            out.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("path", "bytes", "block")), pa.array(out, pa.string())],
+            names=["path", "bytes", "block", "sha256"])
+
+
+def block_hashes(spark: SparkSession, path: str, glob: str = "*", block: int = BLOCK) -> DataFrame:
+    """(path, bytes, block, sha256) of every block of every file below ``path``.  The
+    listing gives the sizes, tasks read the ranges; no file or block is ever a row,
+    and the blocks of one large file are spread over tasks.  Empty files are left out,
+    as Spark lists none.  The tasks open files by their address (local, HDFS, S3, GCS)."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob) \
+        .option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("bytes"))
+    last = F.ceil(F.col("bytes") / block) - 1
+    ranges = files.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("block"))
+    ranges = ranges.withColumn("start", F.col("block") * block).withColumn(
+        "size", F.least(F.lit(block), F.col("bytes") - F.col("start")))
+    return ranges.repartition("path", "block").mapInArrow(
+        _hash_blocks, "path string, bytes bigint, block bigint, sha256 string")
+
+
+def block_manifest(spark: SparkSession, path: str, glob: str = "*", block: int = BLOCK,
+                   fan: int = 1024) -> DataFrame:
+    """(path, file, bytes, n_blocks, root) of files of any size: the root is the hash
+    of the hashes of its blocks in order, taken ``fan`` at a time until one is left."""
+    hashes = block_hashes(spark, path, glob, block)
+    level = hashes.select("path", "bytes", F.col("block").alias("at"), "sha256",
+                          F.ceil(F.col("bytes") / block).alias("n_blocks"))
+    widest = spark.read.format("binaryFile").option("pathGlobFilter", glob) \
+        .option("recursiveFileLookup", "true").load(path).agg(F.max("length")).first()[0] or 0
+    width = max(1, -(-widest // block))
+    while True:
+        level = level.groupBy("path", "bytes", "n_blocks", F.floor(F.col("at") / fan).alias("at")).agg(
+            F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("at", "sha256"))),
+                                               lambda s: s["sha256"])), 256).alias("sha256"))
+        width = -(-width // fan)
+        if width == 1:
+            break
+    return level.select("path", F.element_at(F.split("path", "/"), -1).alias("file"), "bytes",
+                        "n_blocks", F.col("sha256").alias("root"))
+
+
 # ---------------------------------------------------------------- cases
 
 def export_case(case_id: int, cases: DataFrame, traces: DataFrame, custody: DataFrame,
@@ -109,7 +179,27 @@ def import_case(tables: dict[str, DataFrame], new_case_id: int, highest_trace_id
            for name in ("annotations", "flags", "watches")}}
 
 
+BUCKETS = 64
+
+
+def _bucket(trace_id: Column) -> Column:
+    return F.pmod(F.xxhash64(trace_id), F.lit(BUCKETS)).cast("int")
+
+
 def export_result(nodes: DataFrame, edges: DataFrame, exits: DataFrame, path: str) -> None:
-    """Full result of a run as JSON lines, one folder per table, split by trace."""
+    """Full result of a run as JSON lines: per table a fixed number of folders by
+    the hash of the trace, however many traces there are.  The rebalance step joins
+    small folders' rows into one file and splits those of a very large trace."""
     for name, df in (("nodes", nodes), ("edges", edges), ("exits", exits)):
-        df.write.mode("overwrite").partitionBy("trace_id").json(f"{path}/{name}")
+        df.withColumn("bucket", _bucket(F.col("trace_id"))).hint("rebalance", "bucket") \
+            .write.mode("overwrite").partitionBy("bucket").json(f"{path}/{name}")
+
+
+def read_result(spark: SparkSession, path: str, name: str, schema: str,
+                trace_id: int | None = None) -> DataFrame:
+    """A table of an exported result; for one trace only its folder is read."""
+    rows = spark.read.schema(f"{schema}, bucket int").json(f"{path}/{name}")
+    if trace_id is not None:
+        wanted = F.lit(trace_id).cast("bigint")
+        rows = rows.filter((F.col("bucket") == _bucket(wanted)) & (F.col("trace_id") == wanted))
+    return rows.drop("bucket")

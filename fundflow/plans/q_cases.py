@@ -114,6 +114,22 @@ def manifest(spark, sf):
         F.col("bytes").cast("bigint").alias("bytes"))
 
 
+@query("manifest_blocks", """
+  SELECT page_id, bytes, count(*) AS n_blocks, sha256(string_agg(h, '' ORDER BY k)) AS root FROM (
+    SELECT page_id, octet_length(b) AS bytes, k, sha256(b[k * 512 + 1 : k * 512 + 512]) AS h
+    FROM (SELECT page_id, encode(html) || encode(chr(10)) AS b,
+                 unnest(range((octet_length(encode(html)) + 512) // 512)) AS k FROM pages))
+  GROUP BY 1, 2""")
+def manifest_blocks(spark, sf):
+    """Roots over blocks of 512 bytes of every page's file."""
+    path = scratch_path(spark, "artefacts")
+    X.table(spark, sf, "pages").select("page_id", F.col("html").alias("value")) \
+        .write.partitionBy("page_id").text(path)
+    return P.block_manifest(spark, path, "part-*", 512).select(
+        F.regexp_extract("path", "page_id=([0-9]+)", 1).cast("bigint").alias("page_id"),
+        "bytes", "n_blocks", "root")
+
+
 # ------------------------------------------------------------------- cases
 
 @query("latest_trace", """

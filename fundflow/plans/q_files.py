@@ -184,9 +184,9 @@ def text_forms(spark, sf):
 
 
 @query("result_export", O.with_fx(["fx_facts"], """
-  SELECT 'node' AS part, address AS item, role AS note FROM t_nodes
-  UNION ALL SELECT 'edge', txid, asset FROM t_edges
-  UNION ALL SELECT 'exit', address, role FROM t_nodes WHERE is_exchange AND depth > 0""",
+  SELECT 'node' AS part, trace_id, address AS item, role AS note FROM t_nodes
+  UNION ALL SELECT 'edge', trace_id, txid, asset FROM t_edges
+  UNION ALL SELECT 'exit', trace_id, address, role FROM t_nodes WHERE is_exchange AND depth > 0""",
                                   u5_ctes()))
 def result_export(spark, sf):
     """Full result as JSON lines, read back."""
@@ -195,8 +195,8 @@ def result_export(spark, sf):
     P.export_result(run.nodes, run.edges, E.exits(run), path)
 
     def part(name, kind, item, note):
-        rows = spark.read.schema(f"{item} string, {note} string").json(f"{path}/{name}")
-        return rows.select(F.lit(kind).alias("part"), F.col(item).alias("item"),
+        rows = P.read_result(spark, path, name, f"trace_id bigint, {item} string, {note} string")
+        return rows.select(F.lit(kind).alias("part"), "trace_id", F.col(item).alias("item"),
                            F.col(note).alias("note"))
     return part("nodes", "node", "address", "role").unionByName(
         part("edges", "edge", "txid", "asset")).unionByName(

@@ -172,6 +172,36 @@ def test_captures_and_custody(spark, tmp_path):
         1: "ok", 2: "mismatch", 3: "missing"}
 
 
+def test_files_of_many_blocks(spark, tmp_path, monkeypatch):
+    def root(data, block, fan):
+        level = [hashlib.sha256(data[i:i + block]).hexdigest() for i in range(0, len(data), block)]
+        n = len(level)
+        for _ in range(rounds):
+            level = [hashlib.sha256("".join(level[i:i + fan]).encode()).hexdigest()
+                     for i in range(0, len(level), fan)]
+        return n, level[0]
+    files = {"empty": b"", "one": b"x", "even": b"ab" * 50, "long": bytes(range(256)) * 40}
+    (tmp_path / "f" / "deep").mkdir(parents=True)
+    for name, data in files.items():
+        (tmp_path / "f" / "deep" / name).write_bytes(data)
+    monkeypatch.setattr(PV, "CHUNK", 7)
+    for block, fan, rounds in ((10, 4, 5), (100, 1024, 1), (1 << 20, 2, 1)):
+        got = {r.file: (r.bytes, r.n_blocks, r.root) for r in PV.block_manifest(
+            spark, str(tmp_path / "f"), block=block, fan=fan).collect()}
+        assert got == {n: (len(d), *root(d, block, fan)) for n, d in files.items() if d}
+
+
+def test_result_of_many_traces_has_few_folders(spark, tmp_path):
+    rows = frame(spark, [(i % 500, f"a{i}") for i in range(2_000)], "trace_id bigint, address string")
+    PV.export_result(rows, rows, rows.limit(0), str(tmp_path / "r"))
+    assert len(list((tmp_path / "r" / "nodes").glob("bucket=*"))) <= PV.BUCKETS
+    one = PV.read_result(spark, str(tmp_path / "r"), "edges", "trace_id bigint, address string", 7)
+    assert sorted(r.address for r in one.collect()) == sorted(f"a{i}" for i in range(7, 2_000, 500))
+    assert "PartitionFilters: [isnotnull(bucket" in one._jdf.queryExecution().toString()
+    whole = PV.read_result(spark, str(tmp_path / "r"), "nodes", "trace_id bigint, address string")
+    assert sorted(whole.collect()) == sorted(rows.collect())
+
+
 def test_case_moves_between_stores(spark, tmp_path):
     cases = frame(spark, [(3, "Case", "C-3"), (4, "Else", "C-4")],
                   "id bigint, name string, case_number string")
