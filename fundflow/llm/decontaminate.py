@@ -8,7 +8,8 @@ parts were moved about is still covered.  A document is contaminated by an item
 when tiles cover at least ``COVERAGE`` of the item's words.
 
 Defined cases: null texts are empty and match nothing; items of fewer than
-``SEED_WORDS`` words are no evidence and match nothing; repeated documents each
+``SEED_WORDS`` words match where all their words stand in a row; items of fewer than
+``SHORTEST`` words are no evidence and match nothing; repeated documents each
 get their rows; items with the same id and text count once; of equally long
 runs the first in the item, then in the document, is marked first.
 """
@@ -33,9 +34,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SEED_WORDS = 5
 COVERAGE = 0.5
-BLOCK_WORDS = 500_000  # benchmark words broadcast at once; more items go in further passes
+SHORTEST = 3
+BLOCK_CHARS = 4_000_000  # benchmark characters broadcast at once; more items go in further passes
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(int(_MIX), -1, 1 << 64))
 SCHEMA = "doc_id long, item_id long, coverage double, covered_words long, n_tiles long"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()),
                     ("covered_words", pa.int64()), ("n_tiles", pa.int64())])
@@ -46,16 +49,25 @@ def words(text: str) -> list[str]:
 
 
 def windows(ids: np.ndarray, size: int) -> np.ndarray:
-    """Karp-Rabin hashes (modulo 2^64) of all windows of ``size`` numbers."""
+    """Karp-Rabin hashes (modulo 2^64) of all windows of ``size`` numbers, running:
+    sums of numbers times powers, of which each window takes a difference and shifts
+    it back to power zero, so the work does not depend on the size."""
     n = len(ids) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for i in range(size):
-        out = out * _MIX + ids[i:i + n]
+    up, down = _powers(len(ids), _MIX), _powers(n, _BACK)
+    sums = np.zeros(len(ids) + 1, np.uint64)
+    np.cumsum(ids * up, out=sums[1:])
+    out = (sums[size:] - sums[:n]) * down
     return out ^ (out >> np.uint64(29))
 
 
+def _powers(n: int, base: np.uint64) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
 def common_run(doc: np.ndarray, item: np.ndarray, size: int) -> tuple[int, int] | None:
     """First place (in the item, then the document) where both have the same
     ``size`` numbers, none of them zero; equal hashes are compared in full."""
@@ -103,12 +115,19 @@ class Items:
     def __init__(self, rows: list[tuple[int, str]]):
         self.vocabulary: dict[str, int] = {}
         self.ids, self.items = [], []
+        self.short: dict[int, dict[tuple, list[int]]] = {}
         for item_id, text in rows:
             split = words(text or "")
-            if len(split) >= SEED_WORDS:
+            if len(split) < SHORTEST:
+                continue
+            item = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in split]
+            if len(item) < SEED_WORDS:
+                self.short.setdefault(len(item), {}).setdefault(tuple(item), []).append(item_id)
+            else:
                 self.ids.append(item_id)
-                self.items.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
-                                            for w in split], np.uint64))
+                self.items.append(np.array(item, np.uint64))
+        self.short_hashes = {n: windows(np.array([i for item in held for i in item], np.uint64), n)[::n]
+                             for n, held in self.short.items()}
         seeds = [windows(i, SEED_WORDS) for i in self.items]
         owner = np.repeat(np.arange(len(seeds)), [len(s) for s in seeds])
         every = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
@@ -120,22 +139,19 @@ class Items:
         get = self.vocabulary.get
         split = words(text)
         ids = np.fromiter((get(w, 0) for w in split), np.uint64, len(split))
+        out = [(item, 1.0, n, 1) for n in self.short for item in self._whole(ids, n)]
         known = np.cumsum(np.r_[0, ids != 0])
         at = np.flatnonzero(known[SEED_WORDS:] - known[:-SEED_WORDS] == SEED_WORDS) \
             if len(ids) >= SEED_WORDS else []
         if not len(at):
-            return []
-        seeds = np.zeros(len(at), np.uint64)
-        for i in range(SEED_WORDS):
-            seeds = seeds * _MIX + ids[at + i]
-        seeds ^= seeds >> np.uint64(29)
+            return out
+        seeds = windows(ids, SEED_WORDS)[at]
         left = np.searchsorted(self.seeds, seeds, "left")
         right = np.searchsorted(self.seeds, seeds, "right")
         places: dict[int, list[int]] = {}
         for p, lo, hi in zip(at.tolist(), left.tolist(), right.tolist()):
             for item in set(self.owner[lo:hi].tolist()):
                 places.setdefault(item, []).append(p)
-        out = []
         for k, found in places.items():
             near = np.zeros(len(ids) + 1, bool)  # only words under a seed can be in a tile
             for i in range(SEED_WORDS):
@@ -149,6 +165,12 @@ class Items:
                 out.append((self.ids[k], coverage, covered, len(got)))
         return out
 
+    def _whole(self, ids: np.ndarray, n: int) -> list[int]:
+        """Short items of ``n`` words that stand in a text as they are."""
+        hits = np.flatnonzero(np.isin(windows(ids, n), self.short_hashes[n]))
+        return sorted({item for p in hits.tolist()
+                       for item in self.short[n].get(tuple(ids[p:p + n].tolist()), ())})
+
 
 def _pass(docs: DataFrame, rows: list[tuple[int, str]]) -> DataFrame:
     block = docs.sparkSession.sparkContext.broadcast(rows)
@@ -166,14 +188,14 @@ def _pass(docs: DataFrame, rows: list[tuple[int, str]]) -> DataFrame:
 
 
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """Benchmark items in blocks of about ``BLOCK_WORDS`` words; the driver holds one."""
+    """Benchmark items in blocks of about ``BLOCK_CHARS`` characters; the driver holds one."""
     block, held = [], 0
     for row in benchmark.select("item_id", "text").filter("text IS NOT NULL").distinct().toLocalIterator():
-        if held >= BLOCK_WORDS:
+        if held >= BLOCK_CHARS:
             yield block
             block, held = [], 0
         block.append((row["item_id"], row["text"]))
-        held += len(row["text"].split())
+        held += len(row["text"])
     yield block
 
 

@@ -320,11 +320,58 @@ def test_tiling_catches_moved_parts():
     assert item.matches(" ".join(words[:12])) == [] and item.matches("") == []
 
 
+def _tiles_by_definition(doc, item, least):
+    """Longest common unmarked run, first in the item, then in the document; mark; again."""
+    doc, item, out = list(doc), list(item), []
+    while True:
+        best = None
+        for j in range(len(item)):
+            for i in range(len(doc)):
+                n = 0
+                while i + n < len(doc) and j + n < len(item) and doc[i + n] and doc[i + n] == item[j + n]:
+                    n += 1
+                if n >= least and (best is None or n > best[2]):
+                    best = (i, j, n)
+        if best is None:
+            return out
+        out.append(best)
+        doc[best[0]:best[0] + best[2]] = item[best[1]:best[1] + best[2]] = [0] * best[2]
+
+
+def test_tiling_against_its_definition():
+    rng = random.Random(11)
+    for _ in range(150):
+        letters = rng.choice([2, 3, 6])
+        doc, item = ([rng.randint(0 if k else 1, letters) for _ in range(rng.randint(0, 45))] for k in (1, 0))
+        got = decontaminate.tiles(np.array(doc, np.uint64), np.array(item, np.uint64), 3)
+        assert got == _tiles_by_definition(doc, item, 3)
+
+
+def test_running_hash_and_short_items():
+    ids = np.array([random.Random(1).randint(0, 9) for _ in range(300)], np.uint64)
+    for size in (1, 5, 40, 300, 301):
+        got, seen = decontaminate.windows(ids, size), {}
+        assert len(got) == max(0, 301 - size)
+        for i, h in enumerate(got.tolist()):      # equal hashes just for equal windows
+            assert seen.setdefault(h, tuple(ids[i:i + size])) == tuple(ids[i:i + size])
+        assert len(seen) == len({tuple(ids[i:i + size]) for i in range(len(got))})
+    started = time.time()
+    big = " ".join(f"w{i % 9973}" for i in range(20_000)).split()
+    item = decontaminate.Items([(1, " ".join(big))])
+    assert item.matches(" ".join(big[10_000:] + big[:10_000]))[0][1] > 0.99
+    assert time.time() - started < 5
+    short = decontaminate.Items([(1, "Who wrote Hamlet?"), (2, "who wrote"), (3, "a b c d"), (4, "who wrote hamlet"),
+                                 (5, "")])
+    assert short.matches("I ask: who wrote Hamlet, then?") == [(1, 1.0, 3, 1), (4, 1.0, 3, 1)]
+    assert short.matches("hamlet who wrote") == short.matches("a b c") == short.matches("") == []
+    assert short.matches("x a b c d a b c d") == [(3, 1.0, 4, 1)]
+
+
 def test_decontaminate_in_blocks(spark, docs, texts, monkeypatch):
     bench = spark.createDataFrame([(1, texts[9]), (2, None), (3, "w1 w2"), (4, texts[13])],
                                   "item_id long, text string")
     once = _rows(decontaminate.find(docs, bench))
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 1)
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 1)
     assert once and _rows(decontaminate.find(docs, bench)) == once
     left = decontaminate.clean(docs, bench)
     assert left.columns == docs.columns
