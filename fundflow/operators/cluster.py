@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fundflow import schemas as S
 from fundflow.functions import order as N
 from fundflow.functions.skew import join_group_stats
-from fundflow.session import materialise_observed
+from fundflow.session import materialise_observed, shuffled
 
 COINJOIN_INPUTS, COINJOIN_EQUAL_OUTPUTS = 5, 3
 WIDE_INPUTS = 12
@@ -29,14 +29,14 @@ def coinjoin_like(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     equal = outputs.groupBy("txid", "value").agg(F.count(F.lit(1)).alias("_n")) \
         .groupBy("txid").agg(F.max("_n").alias("n_equal")) \
         .filter(F.col("n_equal") >= COINJOIN_EQUAL_OUTPUTS)
-    return many.join(equal, "txid")
+    return many.join(shuffled(equal), "txid")
 
 
 def linking_inputs(inputs: DataFrame, outputs: DataFrame | None = None) -> DataFrame:
     """Distinct inputs of transactions that may link their inputs."""
     rows = inputs.filter("address is not null").select("txid", "address").distinct()
     if outputs is not None:
-        rows = rows.join(coinjoin_like(inputs, outputs).select("txid"), "txid", "left_anti")
+        rows = rows.join(shuffled(coinjoin_like(inputs, outputs).select("txid")), "txid", "left_anti")
     return rows
 
 
@@ -51,7 +51,7 @@ def cospend_edges(linking: DataFrame) -> DataFrame:
     """A star per transaction from its smallest address: n - 1 edges, not all
     pairs."""
     tx = cospend_tx(linking).select("txid", "first")
-    return linking.join(tx, "txid").filter("address <> first").select(
+    return linking.join(shuffled(tx), "txid").filter("address <> first").select(
         F.col("first").alias("a"), F.col("address").alias("b")).distinct()
 
 
@@ -114,14 +114,14 @@ def cluster_rollup(members: DataFrame, linking: DataFrame) -> DataFrame:
     evidence = evidence_tx(members, linking).groupBy("component").agg(
         F.count(F.lit(1)).alias("evidence_count"),
         F.max(F.col("n_inputs") >= WIDE_INPUTS).alias("_wide"))
-    return size.join(evidence, "component").withColumn(
+    return size.join(shuffled(evidence), "component").withColumn(
         "confidence", F.when(F.col("_wide"), "low").otherwise("medium")).drop("_wide")
 
 
 def evidence_tx(members: DataFrame, linking: DataFrame) -> DataFrame:
     """(component, txid, n_inputs) for every linking transaction."""
     return cospend_tx(linking).withColumnRenamed("first", "address").join(
-        members, "address").select("component", "txid", "n_inputs")
+        shuffled(members), "address").select("component", "txid", "n_inputs")
 
 
 def listed(rows: DataFrame, item: str, limit: int) -> DataFrame:
@@ -139,8 +139,8 @@ def service_label(members: DataFrame, nodes: DataFrame, labels: DataFrame) -> Da
     named = labels.filter(F.col("category").isin(S.EXCHANGE, S.MIXER))
     best = address_facts(named).select("chain", "address",
                                        F.col("label.entity_name").alias("entity_name"))
-    return nodes.select("trace_id", "chain", "address").join(members, "address") \
-        .join(best, ["chain", "address"]).groupBy("trace_id", "chain", "component").agg(
+    return shuffled(nodes.select("trace_id", "chain", "address")).join(shuffled(members), "address") \
+        .join(shuffled(best), ["chain", "address"]).groupBy("trace_id", "chain", "component").agg(
         F.min_by("entity_name", "address").alias("service_label"))
 
 
@@ -149,11 +149,11 @@ def clusters(members: DataFrame, linking: DataFrame, nodes: DataFrame,
     """Clusters with a traced member, per trace, numbered C1, C2, ... by traced
     members and size."""
     rollup = cluster_rollup(members, linking)
-    traced = nodes.select("trace_id", "chain", "address").join(members, "address") \
+    traced = shuffled(nodes.select("trace_id", "chain", "address")).join(shuffled(members), "address") \
         .groupBy("trace_id", "chain", "component").agg(
         F.count(F.lit(1)).alias("n_traced"), F.min("address").alias("first_traced"))
-    rows = traced.join(rollup, "component").join(
-        service_label(members, nodes, labels), ["trace_id", "chain", "component"], "left")
+    rows = traced.join(shuffled(rollup), "component").join(
+        shuffled(service_label(members, nodes, labels)), ["trace_id", "chain", "component"], "left")
     order = [F.col("n_traced").desc(), F.col("size").desc(), F.col("component").asc()]
     line = N.placed(rows, ["trace_id"], order, "clusters")
     return N.running(line, ["trace_id"], {"cluster_no": F.lit(1)}).drop("at") \

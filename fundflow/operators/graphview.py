@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundflow import schemas as S
-from fundflow.session import materialise, materialise_observed
+from fundflow.session import materialise, materialise_observed, shuffled
 
 LEAF_LIMIT, LEAVES_SHOWN = 6, 3
 
@@ -35,7 +35,7 @@ def overlay_nodes(traces: DataFrame, nodes: DataFrame) -> DataFrame:
     """Union of the wallets of a case; a wallet keeps its strongest role.  A
     wallet stands once in a trace, so counting rows counts traces."""
     rows = overlay_traces(traces).select("case_id", "chain", "trace_id").join(
-        nodes.select("trace_id", "chain", "address", "role", "depth"),
+        shuffled(nodes.select("trace_id", "chain", "address", "role", "depth")),
         ["trace_id", "chain"])
     best = F.min_by(F.struct("role", "depth"),
                     F.struct(role_priority(F.col("role")), "trace_id"))
@@ -48,7 +48,7 @@ def overlay_edges(traces: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct movements of a case, each from its earliest trace."""
     key = ["case_id", "chain", "txid", "from_address", "to_address", "asset"]
     rows = overlay_traces(traces).select("case_id", "chain", "trace_id").join(
-        edges, ["trace_id", "chain"])
+        shuffled(edges), ["trace_id", "chain"])
     first = F.min_by(F.struct("trace_id", "ts", "value", "value_raw"),
                      F.struct("trace_id", "value_raw"))
     return rows.groupBy(*key).agg(first.alias("f")).select(*key, "f.*")
@@ -66,12 +66,12 @@ def convergence(traces: DataFrame, nodes: DataFrame) -> DataFrame:
     """Wallets reached from two or more different victims of a case."""
     chosen = overlay_traces(traces)
     rows = chosen.select("case_id", "chain", "trace_id", "victim").join(
-        nodes.select("trace_id", "chain", "address"), ["trace_id", "chain"])
+        shuffled(nodes.select("trace_id", "chain", "address")), ["trace_id", "chain"])
     victims = chosen.select("case_id", "chain", F.col("victim").alias("address")).distinct()
     return rows.groupBy("case_id", "chain", "address").agg(
         F.count_distinct("victim").alias("n_victims"),
         F.count(F.lit(1)).alias("n_traces")) \
-        .filter("n_victims >= 2").join(victims, ["case_id", "chain", "address"], "left_anti")
+        .filter("n_victims >= 2").join(shuffled(victims), ["case_id", "chain", "address"], "left_anti")
 
 
 # ---------------------------------------------------------------- flow graph
@@ -104,8 +104,8 @@ def _pass_through(flows: DataFrame, nodes: DataFrame) -> DataFrame:
     went = flows.groupBy("trace_id", "chain", F.col("from_address").alias("address")).agg(
         F.count(F.lit(1)).alias("_out"), F.min("to_address").alias("succ"))
     return (nodes.filter(F.col("role") == S.INTERMEDIARY).select(*key)
-            .join(came.filter("_in = 1").drop("_in"), key)
-            .join(went.filter("_out = 1").drop("_out"), key)
+            .join(shuffled(came.filter("_in = 1").drop("_in")), key)
+            .join(shuffled(went.filter("_out = 1").drop("_out")), key)
             .filter("pred <> address and succ <> address"))
 
 
@@ -129,7 +129,7 @@ def chain_members(flows: DataFrame, nodes: DataFrame) -> DataFrame:
                            F.col("pred").alias("head"), F.col("succ").alias("tail"))
     inner = runs.select("trace_id", "chain", F.col("address").alias("pred"),
                         F.lit(True).alias("_inner"))
-    state = runs.join(inner, ["trace_id", "chain", "pred"], "left").select(
+    state = runs.join(shuffled(inner), ["trace_id", "chain", "pred"], "left").select(
         *key, F.when(F.col("_inner"), F.col("pred")).otherwise(F.col("address")).alias("ptr"),
         F.when(F.col("_inner"), 1).otherwise(0).cast("bigint").alias("dist"),
         F.col("_inner").isNull().alias("done"))
@@ -140,19 +140,19 @@ def chain_members(flows: DataFrame, nodes: DataFrame) -> DataFrame:
         target = state.select("trace_id", "chain", F.col("address").alias("ptr"),
                               F.col("ptr").alias("_ptr"), F.col("dist").alias("_dist"),
                               F.col("done").alias("_done"))
-        moved = state.filter("not done").join(target, ["trace_id", "chain", "ptr"]).select(
+        moved = state.filter("not done").join(shuffled(target), ["trace_id", "chain", "ptr"]).select(
             *key, F.col("_ptr").alias("ptr"), (F.col("dist") + F.col("_dist")).alias("dist"),
             F.col("_done").alias("done"))
         state, left = materialise_observed(state.filter("done").unionByName(moved),
                                            "pointers", rows_left)
     placed = state.filter("done").select(*key, F.col("ptr").alias("first"),
                                          (F.col("dist") + 1).alias("position"))
-    rows = placed.join(runs, key)
+    rows = placed.join(shuffled(runs), key)
     ends = rows.groupBy("trace_id", "chain", "first").agg(
         F.min_by("pred", "position").alias("head"),
         F.max_by("succ", "position").alias("tail"),
         F.max_by("address", "position").alias("_last"), F.max("position").alias("_n"))
-    rows = rows.select(*key, "first", "position").join(ends, ["trace_id", "chain", "first"])
+    rows = rows.select(*key, "first", "position").join(shuffled(ends), ["trace_id", "chain", "first"])
     loop = F.col("head") == F.col("tail")
     return rows.filter(~loop | (F.col("position") < F.col("_n"))) \
         .withColumn("tail", F.when(loop, F.col("_last")).otherwise(F.col("tail"))) \
@@ -162,7 +162,7 @@ def chain_members(flows: DataFrame, nodes: DataFrame) -> DataFrame:
 def collapse_chains(flows: DataFrame, members: DataFrame) -> DataFrame:
     """Flows with every run replaced by one edge (kind 'chain') that carries
     the value and asset of its first segment and the number of wallets."""
-    hidden = members.select("trace_id", "chain", "address")
+    hidden = shuffled(members.select("trace_id", "chain", "address"))
     kept = flows.join(hidden.withColumnRenamed("address", "from_address"),
                       ["trace_id", "chain", "from_address"], "left_anti") \
         .join(hidden.withColumnRenamed("address", "to_address"),
@@ -172,7 +172,7 @@ def collapse_chains(flows: DataFrame, members: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_members"))
     entry = flows.select("trace_id", "chain", F.col("to_address").alias("first"), "asset",
                          "value", "value_raw", "usd_cents", "usd_complete", "n_movements")
-    chains = runs.join(entry, ["trace_id", "chain", "first"]).select(
+    chains = runs.join(shuffled(entry), ["trace_id", "chain", "first"]).select(
         "trace_id", "chain", F.col("head").alias("from_address"),
         F.col("tail").alias("to_address"), "asset", "value", "value_raw", "usd_cents",
         "usd_complete", "n_movements", F.lit("chain").alias("kind"), "n_members")
@@ -193,9 +193,9 @@ def fold_minor(view: DataFrame, nodes: DataFrame) -> DataFrame:
     into = view.groupBy(*at, "to_address").agg(F.count(F.lit(1)).alias("_in"))
     leaves_of = nodes.filter(F.col("role").isin(S.INTERMEDIARY, S.UNEXPANDED)).select(
         *at, F.col("address").alias("to_address"))
-    leaf = (view.filter("kind = 'flow'").join(leaves_of, [*at, "to_address"], "left_semi")
-            .join(into.filter("_in = 1").drop("_in"), [*at, "to_address"], "left_semi")
-            .join(view.select(*at, F.col("from_address").alias("to_address")),
+    leaf = (view.filter("kind = 'flow'").join(shuffled(leaves_of), [*at, "to_address"], "left_semi")
+            .join(shuffled(into.filter("_in = 1").drop("_in")), [*at, "to_address"], "left_semi")
+            .join(shuffled(view.select(*at, F.col("from_address").alias("to_address"))),
                   [*at, "to_address"], "left_anti"))
     leaf = materialise(leaf, "leaf-flows", rebalance=False)  # used four times below
     parent = [*at, "from_address"]
@@ -204,7 +204,7 @@ def fold_minor(view: DataFrame, nodes: DataFrame) -> DataFrame:
     order = Window.partitionBy(*parent).orderBy(F.col("_size").desc(), "to_address", "asset")
     counts = leaf.groupBy(*parent).agg(F.count(F.lit(1)).alias("_leaves"))
     front = leaf.withColumn("_size", size).withColumn("_n", F.row_number().over(order)) \
-        .filter(F.col("_n") <= LEAF_LIMIT).join(counts, parent)
+        .filter(F.col("_n") <= LEAF_LIMIT).join(shuffled(counts), parent)
     shown = front.filter((F.col("_leaves") <= LEAF_LIMIT) | (F.col("_n") <= LEAVES_SHOWN)) \
         .select(*view.columns)
     big = counts.filter(F.col("_leaves") > LEAF_LIMIT).select(*parent)
@@ -214,13 +214,13 @@ def fold_minor(view: DataFrame, nodes: DataFrame) -> DataFrame:
                 F.sum("usd_cents").alias(f"{prefix}_usd"), F.count("usd_cents").alias(f"{prefix}_known"),
                 F.count_if(~F.coalesce("usd_complete", F.lit(False))).alias(f"{prefix}_partly"),
                 F.sum("n_movements").alias(f"{prefix}_moves"), F.count(F.lit(1)).alias(f"{prefix}_n")]
-    total = leaf.join(big, parent, "left_semi").groupBy(*parent, "asset").agg(*sums("_all"))
+    total = leaf.join(shuffled(big), parent, "left_semi").groupBy(*parent, "asset").agg(*sums("_all"))
     top = front.filter((F.col("_leaves") > LEAF_LIMIT) & (F.col("_n") <= LEAVES_SHOWN)) \
         .groupBy(*parent, "asset").agg(*sums("_top"))
 
     def rest(of):
         return F.col(f"_all_{of}") - F.coalesce(f"_top_{of}", F.lit(0))
-    stub = total.join(top, [*parent, "asset"], "left").select(
+    stub = total.join(shuffled(top), [*parent, "asset"], "left").select(
         *at, "from_address", F.concat(F.lit("stub:"), "from_address").alias("to_address"),
         "asset", rest("value").alias("value"), rest("raw").alias("value_raw"),
         F.when(rest("known") > 0, rest("usd")).alias("usd_cents"),
@@ -228,5 +228,5 @@ def fold_minor(view: DataFrame, nodes: DataFrame) -> DataFrame:
         F.lit("stub").alias("kind"), rest("n").alias("n_members")) \
         .filter("n_members > 0")
     leaf_key = leaf.select(*at, "from_address", "to_address", "asset")
-    others = view.join(leaf_key, [*at, "from_address", "to_address", "asset"], "left_anti")
+    others = view.join(shuffled(leaf_key), [*at, "from_address", "to_address", "asset"], "left_anti")
     return others.unionByName(shown).unionByName(stub)
