@@ -18,6 +18,7 @@ from fundflow.session import scratch_path
 from fundflow.sources import labels as L
 
 PER_FILE = 50
+ENTRIES_PER_FILE = 100_000   # of a sanctions list; an XML file is read by one task
 
 
 @query("sanctions_file", """
@@ -41,7 +42,8 @@ def sanctions_file(spark, sf):
     X.table(spark, sf, "customer").select(
         F.when(k % 3 == 0, "First").alias("firstName"), F.col("c_name").alias("lastName"),
         F.struct(ids.alias("id")).alias("idList")).write.format("xml").option(
-        "rowTag", "sdnEntry").option("rootTag", "sdnList").save(path)
+        "rowTag", "sdnEntry").option("rootTag", "sdnList").option(
+        "maxRecordsPerFile", ENTRIES_PER_FILE).save(path)
     return L.load_sdn(spark, path).select("address", "chain", "entity_name")
 
 
@@ -67,8 +69,9 @@ def tagpack_files(spark, sf):
         F.lit("B\n    label: Own\n    currency: eth\n    category: mixer\n"))
     path = scratch_path(spark, "packs")
     suppliers = X.table(spark, sf, "supplier")
-    suppliers.select("s_suppkey", header.alias("value")).write.partitionBy(
-        "s_suppkey").text(path)
+    # a file per row in one folder: a folder each costs more than the file
+    suppliers.select(header.alias("value")).repartition(X.file_tasks(spark)).write.option(
+        "maxRecordsPerFile", 1).option(*X.MOVED_BY_TASKS).text(path)
     tags, _ = L.read_tagpacks(spark, path, "*.txt", ".")
     return L.load_tagpacks(tags).select("address", "chain", "entity_name", "category")
 

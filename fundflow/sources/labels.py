@@ -31,9 +31,14 @@ def _rows(df: DataFrame, source: str) -> DataFrame:
 def _whole_files(spark: SparkSession, path: str, end: str, what: str) -> None:
     """Raise unless there is a file and every file ends with ``end``: a page of
     an error or half a download must never pass for a list without entries."""
-    files = spark.read.format("binaryFile").load(path)
-    tail = F.decode(F.substring("content", -200, 200), "UTF-8")
-    ends = files.select("path", X.strip(tail).endswith(end).alias("whole"))
+    # lines, since a file as one row must fit a task; its last line with text decides
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"), X.strip(F.col("value")).alias("line"),
+        F.struct(F.col("_metadata.file_block_start").alias("b"),
+                 F.monotonically_increasing_id().alias("i")).alias("at"))
+    ends = lines.groupBy("path").agg(F.max(F.when(
+        F.col("line") != "", F.struct("at", F.substring("line", -200, 200).alias("tail")))).alias("last")) \
+        .select("path", F.coalesce(F.col("last.tail").endswith(end), F.lit(False)).alias("whole"))
     seen = ends.agg(F.count(F.lit(1)).alias("n"), F.min_by("path", "whole").alias("path"),
                     F.bool_and("whole").alias("whole")).first()
     if not seen["n"]:
@@ -86,21 +91,22 @@ def _parse_packs(batches):
     def text(value):
         return None if value is None else str(value)
     for batch in batches:
+        rows = []
         for path, content in zip(batch["path"], batch["content"]):
             try:
                 pack = yaml.safe_load(content)
                 if not isinstance(pack, dict):
                     raise ValueError("unexpected format")
             except Exception as exc:  # one bad file must not stop the import
-                yield pd.DataFrame([[path, str(exc)[:300]] + [None] * 8], columns=columns)
+                rows.append([path, str(exc)[:300]] + [None] * 8)
                 continue
             head = [path, None, *(text(pack.get(k)) for k in
                                   ("label", "currency", "category", "lastmod"))]
             tags = [t for t in pack.get("tags") or [] if isinstance(t, dict)]
-            rows = [head + [text(t.get(k)) for k in
-                            ("address", "label", "currency", "category")] for t in tags]
-            if rows:
-                yield pd.DataFrame(rows, columns=columns)
+            rows += [head + [text(t.get(k)) for k in
+                             ("address", "label", "currency", "category")] for t in tags]
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
 
 
 def read_tagpacks(spark: SparkSession, path: str, glob: str = "*.yaml",
