@@ -69,8 +69,9 @@ def tagpack_files(spark, sf):
         F.lit("B\n    label: Own\n    currency: eth\n    category: mixer\n"))
     path = scratch_path(spark, "packs")
     suppliers = X.table(spark, sf, "supplier")
-    # a file per row in one folder: a folder each costs more than the file
-    suppliers.select(header.alias("value")).repartition(X.file_tasks(spark)).write.option(
+    # a file per pack in one folder: a folder each costs more than the file
+    packs = suppliers.groupBy("s_suppkey").agg(F.array_join(F.collect_list(header), "\n").alias("value"))
+    packs.select("value").repartition(X.file_tasks(spark)).write.option(
         "maxRecordsPerFile", 1).option(*X.MOVED_BY_TASKS).text(path)
     tags, _ = L.read_tagpacks(spark, path, "*.txt", ".")
     return L.load_tagpacks(tags).select("address", "chain", "entity_name", "category")
