@@ -49,7 +49,8 @@ def cospend_tx(linking: DataFrame) -> DataFrame:
 
 def cospend_edges(linking: DataFrame) -> DataFrame:
     """A star per transaction from its smallest address: n - 1 edges, not all
-    pairs."""
+    pairs.  The inputs are dealt by transaction once, for both sides of the join."""
+    linking = linking.filter("txid is not null and address is not null").repartition("txid")
     tx = cospend_tx(linking).select("txid", "first")
     return linking.join(shuffled(tx), "txid").filter("address <> first").select(
         F.col("first").alias("a"), F.col("address").alias("b")).distinct()
