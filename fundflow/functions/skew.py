@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fundflow.session import materialise
+from fundflow.session import materialise, shuffled
 
 # A key is hot when it holds more than 1/HOT_SHARE of the rows.  At most
 # HOT_SHARE keys can, which bounds the broadcast below whatever the data size.
@@ -19,7 +19,8 @@ def join_group_stats(rows: DataFrame, stats: DataFrame, keys: list[str],
 
     Hot groups never meet in one shuffle partition: their statistics, at most
     HOT_SHARE rows, are broadcast to wherever their rows already are.  All
-    other groups are joined by an ordinary shuffle.
+    other groups, one row each, are joined by an ordinary shuffle: their written
+    table seems small enough for a broadcast with a million groups.
     """
     limit = max(n_rows // HOT_SHARE, 10_000)
     if n_rows <= limit:
@@ -29,7 +30,7 @@ def join_group_stats(rows: DataFrame, stats: DataFrame, keys: list[str],
     cold = stats.filter(F.col(count_col) <= limit).drop(count_col)
     return (rows.join(hot, keys)
             .unionByName(rows.join(hot.select(*keys), keys, "left_anti")
-                         .join(cold, keys)))
+                         .join(shuffled(cold), keys)))
 
 
 def number_within(df: DataFrame, keys: list[str], bucket: str, order: list,

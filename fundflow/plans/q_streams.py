@@ -8,6 +8,7 @@ from fundflow.plans import fixtures as X
 from fundflow.plans import oracle as O
 from fundflow.plans import runs as R
 from fundflow.plans.catalog import query
+from fundflow.session import shuffled
 from fundflow.streaming import run_available, run_lots
 from fundflow.streaming import late as LT
 from fundflow.streaming import live as LV
@@ -197,7 +198,7 @@ def sweep_stream(spark, sf):
             F.concat(F.lit("c"), "o_custkey").alias("from_address"),
             F.concat(F.lit("o"), "o_orderkey").alias("to_address"),
             F.col("raw").alias("value_raw"), F.timestamp_seconds("ts").alias("event_time"))
-        forwards = orders.filter("o_orderkey % 2 = 1").join(nation, "o_custkey").select(
+        forwards = orders.filter("o_orderkey % 2 = 1").join(shuffled(nation), "o_custkey").select(
             chain, asset, F.concat(F.lit("s"), "o_orderkey").alias("txid"),
             F.concat(F.lit("o"), "o_orderkey").alias("from_address"),
             F.concat(F.lit("n"), "c_nationkey").alias("to_address"),
