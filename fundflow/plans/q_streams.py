@@ -8,7 +8,7 @@ from fundflow.plans import fixtures as X
 from fundflow.plans import oracle as O
 from fundflow.plans import runs as R
 from fundflow.plans.catalog import query
-from fundflow.session import shuffled
+from fundflow.session import materialise, shuffled
 from fundflow.streaming import run_available, run_lots
 from fundflow.streaming import late as LT
 from fundflow.streaming import live as LV
@@ -61,10 +61,11 @@ def _timed(moves):
     return moves.withColumn("event_time", F.timestamp_seconds("ts"))
 
 
+@R.shared
 def _watched(spark, sf):
-    """Odd wallets are on the watch list."""
-    return X.wallets(X.moves(spark, sf)).filter("i % 2 = 1").select(
-        F.lit(X.CHAIN).alias("chain"), "address")
+    """Odd wallets are on the watch list, written once for all lots."""
+    return shuffled(materialise(X.wallets(X.moves(spark, sf)).filter("i % 2 = 1").select(
+        F.lit(X.CHAIN).alias("chain"), "address"), "watched"))
 
 
 def _alerts(spark, sf):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -21,39 +22,42 @@ INTERVAL = "30 minutes"
 ALERT_SCHEMA = ("chain string, address string, ts bigint, before_count bigint, "
                 "after_count bigint, before_balance string, after_balance string, late boolean")
 STATE_SCHEMA = "tx_count bigint, balance string, ts bigint, seq bigint"
-_COLUMNS = [c.split()[0] for c in ALERT_SCHEMA.split(", ")]
 
 
 def _compare(key, batches: Iterator[pd.DataFrame], state: GroupState):
     """Alert whenever a snapshot differs from the one before.  The first one
     only sets the baseline; one older than the baseline is given back as late."""
-    rows = pd.concat(list(batches), ignore_index=True)
-    rows = rows.sort_values(["ts", "seq"], kind="stable")
-    rows = rows.assign(balance=rows["balance"].astype(str), chain=key[0], address=key[1])
-    rows = rows.rename(columns={"tx_count": "after_count", "balance": "after_balance"})
+    parts = list(batches)
+    rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+    # plain arrays: a wallet has few rows in a lot, and columns of a frame cost more than they do
+    ts, seq = rows["ts"].to_numpy(), rows["seq"].to_numpy()
+    line = np.lexsort((seq, ts))
+    ts, seq, count = ts[line], seq[line], rows["tx_count"].to_numpy()[line]
+    balance = rows["balance"].astype(str).to_numpy(dtype=object)[line]
     past = state.get if state.exists else None
-    old = pd.Series(False, index=rows.index)
+    late = np.zeros(len(ts), dtype=bool)
     if past:
-        old = (rows["ts"] < past[2]) | ((rows["ts"] == past[2]) & (rows["seq"] < past[3]))
-    new, late = rows[~old].assign(late=False), rows[old].assign(late=True)
+        late = (ts < past[2]) | ((ts == past[2]) & (seq < past[3]))
+    new = np.flatnonzero(~late)
+    before_count, before_balance = np.zeros_like(count), np.empty(len(ts), dtype=object)
     if past:
-        late = late.assign(before_count=past[0], before_balance=past[1])
+        before_count[late], before_balance[late] = past[0], past[1]
+    shown = late.copy()
     if len(new):
-        new["before_count"] = new["after_count"].shift(1).astype("Int64")
-        new["before_balance"] = new["after_balance"].shift(1)
+        before_count[new[1:]], before_balance[new[1:]] = count[new[:-1]], balance[new[:-1]]
         if past:
-            new.iloc[0, new.columns.get_loc("before_count")] = past[0]
-            new.iloc[0, new.columns.get_loc("before_balance")] = past[1]
-        last = new.iloc[-1]
-        state.update((int(last["after_count"]), last["after_balance"],
-                      int(last["ts"]), int(last["seq"])))
-        changed = new["before_count"].notna() & (
-            (new["before_count"] != new["after_count"])
-            | (new["before_balance"] != new["after_balance"])).fillna(False).astype(bool)
-        new = new[changed]
-    for out in (new, late):
-        if len(out):
-            yield out[_COLUMNS]
+            before_count[new[0]], before_balance[new[0]] = past[0], past[1]
+        known = pd.notna(before_count)
+        if not past:
+            known[new[0]] = False
+        shown |= ~late & known & ((before_count != count) | (before_balance != balance))
+        last = new[-1]
+        state.update((int(count[last]), balance[last], int(ts[last]), int(seq[last])))
+    if shown.any():
+        yield pd.DataFrame({
+            "chain": key[0], "address": key[1], "ts": ts[shown], "before_count": before_count[shown],
+            "after_count": count[shown], "before_balance": before_balance[shown],
+            "after_balance": balance[shown], "late": late[shown]})
 
 
 def watch_alerts(snapshots: DataFrame, watches: DataFrame) -> DataFrame:
