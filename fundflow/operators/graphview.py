@@ -161,25 +161,35 @@ def chain_members(flows: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def collapse_chains(flows: DataFrame, members: DataFrame) -> DataFrame:
     """Flows with every run replaced by one edge (kind 'chain') that carries
-    the value and asset of its first segment and the number of wallets."""
-    hidden = shuffled(members.select("trace_id", "chain", "address"))
-    kept = flows.join(hidden.withColumnRenamed("address", "from_address"),
-                      ["trace_id", "chain", "from_address"], "left_anti") \
-        .join(hidden.withColumnRenamed("address", "to_address"),
-              ["trace_id", "chain", "to_address"], "left_anti")
-    runs = members.groupBy("trace_id", "chain", "first").agg(
-        F.first("head").alias("head"), F.first("tail").alias("tail"),
-        F.count(F.lit(1)).alias("n_members"))
-    entry = flows.select("trace_id", "chain", F.col("to_address").alias("first"), "asset",
-                         "value", "value_raw", "usd_cents", "usd_complete", "n_movements")
-    chains = runs.join(shuffled(entry), ["trace_id", "chain", "first"]).select(
-        "trace_id", "chain", F.col("head").alias("from_address"),
-        F.col("tail").alias("to_address"), "asset", "value", "value_raw", "usd_cents",
-        "usd_complete", "n_movements", F.lit("chain").alias("kind"), "n_members")
-    return kept.select("trace_id", "chain", "from_address", "to_address", "asset", "value",
-                       "value_raw", "usd_cents", "usd_complete", "n_movements",
-                       F.lit("flow").alias("kind"),
-                       F.lit(0).cast("bigint").alias("n_members")).unionByName(chains)
+    the value and asset of its first segment and the number of wallets.
+
+    Flows meet the members once by each of their ends; the first meeting also
+    gives a run its edge, so all flows are dealt twice and not three times."""
+    at = ["trace_id", "chain"]
+    runs = members.groupBy(*at, "first").agg(
+        F.first("head").alias("_head"), F.first("tail").alias("_tail"),
+        F.count(F.lit(1)).alias("_n"))
+    hidden = members.select(*at, "address").distinct()
+    # one row per end of a flow: a hidden wallet, the first of a run, or both
+    ends = hidden.withColumn("_hidden", F.lit(True)).join(
+        shuffled(runs.withColumnRenamed("first", "address")), [*at, "address"], "full") \
+        .withColumnRenamed("address", "to_address")
+    entry = F.col("_n").isNotNull()
+    rows = flows.join(shuffled(ends), [*at, "to_address"], "left").filter(
+        entry | F.col("_hidden").isNull())
+    # a flow into a run is its chain; into a first wallet that shows, it is a flow as well
+    kinds = F.when(entry & F.col("_hidden").isNull(), F.array(F.lit("flow"), F.lit("chain"))) \
+        .when(entry, F.array(F.lit("chain"))).otherwise(F.array(F.lit("flow")))
+    chain = F.col("kind") == "chain"
+    out = rows.withColumn("kind", F.explode(kinds)).select(
+        *at, F.when(chain, F.col("_head")).otherwise(F.col("from_address")).alias("from_address"),
+        F.when(chain, F.col("_tail")).otherwise(F.col("to_address")).alias("to_address"),
+        "asset", "value", "value_raw", "usd_cents", "usd_complete", "n_movements", "kind",
+        F.when(chain, F.col("_n")).otherwise(F.lit(0)).cast("bigint").alias("n_members"))
+    left = hidden.select(*(F.col(c).alias(f"_{c}") for c in (*at, "address")))
+    same = (F.col("kind") == "flow") & (F.col("trace_id") == F.col("_trace_id")) \
+        & (F.col("chain") == F.col("_chain")) & (F.col("from_address") == F.col("_address"))
+    return out.join(shuffled(left), same, "left_anti")
 
 
 def fold_minor(view: DataFrame, nodes: DataFrame) -> DataFrame:
